@@ -1,0 +1,2 @@
+"""Intentionally empty: the rule-discovery workload is batch only. It has no
+stream source, watermark, stateful operator or late-data rule."""
