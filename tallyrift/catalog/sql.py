@@ -89,7 +89,8 @@ MEAN = SIDES + """,
 spread AS (SELECT z.s, z.freq, z.n_counter, z.mean, z.mean_counter,
   sum(h.n_set * pow(h.target - z.mean, 2)) / z.freq AS var_set,
   sum(h.n_counter * pow(h.target - z.mean_counter, 2)) / z.n_counter AS var_counter
-  FROM sizes z JOIN hist h ON h.s = z.s WHERE z.n_counter > 0 GROUP BY ALL),
+  FROM sizes z JOIN hist h ON h.s = z.s WHERE z.n_counter > 0
+  GROUP BY z.s, z.freq, z.n_counter, z.mean, z.mean_counter),
 scored AS (SELECT *, mean - mean_counter AS score,
   (mean - mean_counter) / sqrt(var_set / freq + var_counter / n_counter) AS z FROM spread)"""
 
@@ -99,7 +100,8 @@ fits AS (SELECT z.s, z.freq, z.n_counter, z.mean, 1 / z.mean AS rate_set, 1 / z.
     + (1 / z.mean) / 2 * (2 * h.target + 1)) END) AS fit_set,
   sum(CASE WHEN h.n_counter > 0 THEN (h.n_counter / z.n_counter) * (ln(h.n_counter / z.n_counter)
     - ln(1 / z.mean_counter) + (1 / z.mean_counter) / 2 * (2 * h.target + 1)) END) AS fit_counter
-  FROM sizes z JOIN hist h ON h.s = z.s WHERE z.n_counter > 0 AND z.mean > 0 AND z.mean_counter > 0 GROUP BY ALL),
+  FROM sizes z JOIN hist h ON h.s = z.s WHERE z.n_counter > 0 AND z.mean > 0 AND z.mean_counter > 0
+  GROUP BY z.s, z.freq, z.n_counter, z.mean, z.mean_counter),
 scored AS (SELECT *, ln(rate_counter) - ln(rate_set) + rate_set / rate_counter - 1 AS score FROM fits)"""
 
 

@@ -31,17 +31,20 @@ class Split:
         return Split(kept, cells, self.totals, self.n)
 
 
-def split_cells(encoded: Encoded, itemsets: DataFrame) -> Split:
-    """Count every itemset's transactions by target, combined on the map side."""
+def split_cells(encoded: Encoded, itemsets: DataFrame, store: bool = True) -> Split:
+    """Count every itemset's transactions by target, combined on the map side.
+    Without ``store`` the cells are computed in the one plan that reads them."""
     counted = (
-        containing(encoded, itemsets).groupBy("set_id", "target").agg(F.sum("weight").alias("n_set"))
+        containing(encoded, itemsets, "set_id", itemsets.count())
+        .groupBy("set_id", "target")
+        .agg(F.sum("weight").alias("n_set"))
     )
     cells = counted.join(encoded.totals, "target").select(
         "set_id", "target", "n_set", (F.col("n_tot") - F.col("n_set")).alias("n_counter")
     )
-    return Split(
-        itemsets.select("set_id", "itemset", "freq"), materialize(cells, "cells"), encoded.totals, encoded.n
-    )
+    if store:
+        cells = materialize(cells, "cells")
+    return Split(itemsets.select("set_id", "itemset", "freq"), cells, encoded.totals, encoded.n)
 
 
 def full_histogram(split: Split, wanted: DataFrame, slot: str, slots: int) -> DataFrame:

@@ -21,6 +21,7 @@ BITS = 62
 MASK_WORDS = 64
 BROADCAST_BYTES = 64 * 1024 * 1024
 ROWS_PER_SLICE = 2_000_000
+LOCAL_SETS = 10_000
 
 
 @dataclass(frozen=True)
@@ -40,9 +41,13 @@ class Encoded:
 
     @property
     def words(self) -> int:
-        """Mask columns; none when the ids would need too many."""
-        needed = -(-len(self.names) // BITS)
-        return needed if needed <= MASK_WORDS else 0
+        return _mask_words(len(self.names))
+
+
+def _mask_words(items: int) -> int:
+    """Mask columns for so many ids; none when there would be too many."""
+    needed = -(-items // BITS)
+    return needed if needed <= MASK_WORDS else 0
 
 
 def _masks(ids: str, words: int, prefix: str) -> list[Column]:
@@ -82,74 +87,72 @@ def encode(transactions: DataFrame, min_support: float) -> Encoded:
     least ``min_support`` of the transactions, so there are at most
     (mean transaction length / min_support) of them."""
     source = materialize(transactions.select("items", "target", "weight"), "transactions")
-    totals = materialize(source.groupBy("target").agg(F.sum("weight").alias("n_tot")), "totals")
-    n = totals.agg(F.sum("n_tot")).first()[0] or 0
-    min_count = math.ceil(min_support * n)
-    frequent = (
-        source.select(F.explode(F.array_distinct("items")).alias("item"), "weight")
-        .filter(F.col("item").isNotNull())
+    items = F.array_compact(F.array_distinct("items"))
+    n = F.greatest(source.agg(F.sum("weight")).scalar(), F.lit(0))
+    least = F.greatest(F.ceil(F.lit(float(min_support)) * n), F.lit(1))
+    # one extra null per transaction counts the transactions in the same pass
+    counted = (
+        source.select(F.explode(F.array_append(items, F.lit(None))).alias("item"), "weight")
         .groupBy("item")
         .agg(F.sum("weight").alias("freq"))
-        .filter(F.col("freq") >= max(min_count, 1))
+        .filter(F.col("item").isNull() | (F.col("freq") >= least))
         .select("item", "freq", F.xxhash64("item").alias("hashed"))
         .collect()
     )
+    n = sum(row.freq for row in counted if row.item is None)
+    frequent = [row for row in counted if row.item is not None]
     frequent.sort(key=lambda row: (row.freq, row.item))
     names = [row.item for row in frequent]
     lookup = _item_lookup([(r.item, r.hashed) for r in frequent], {x: i for i, x in enumerate(names)})
-    ids = F.array_sort(F.array_compact(F.transform(F.array_distinct("items"), lookup)))
+    ids = F.array_sort(F.array_compact(F.transform(items, lookup)))
     merged = (
         source.select((ids if names else F.array().cast("array<int>")).alias("ids"), "target", "weight")
         .groupBy("ids", "target")
         .agg(F.sum("weight").alias("weight"))
     )
-    encoded = Encoded(merged, totals, names, [row.freq for row in frequent], n, min_support)
-    rows = materialize(merged.select("*", *_masks("ids", encoded.words, "w")), "encoded")
-    return Encoded(rows, totals, names, encoded.counts, n, min_support)
-
-
-def _set_bytes(encoded: Encoded, sets: DataFrame) -> int:
-    """Size of the itemset side of a containment join, counted before the join."""
-    if encoded.words:
-        return sets.count() * (32 + 8 * encoded.words)
-    return sets.agg(F.sum(32 + 4 * F.size("ids"))).first()[0] or 0
+    rows = materialize(merged.select("*", *_masks("ids", _mask_words(len(names)), "w")), "encoded")
+    totals = materialize(rows.groupBy("target").agg(F.sum("weight").alias("n_tot")), "totals")
+    return Encoded(rows, totals, names, [row.freq for row in frequent], n, min_support)
 
 
-def containing(encoded: Encoded, sets: DataFrame) -> DataFrame:
-    """Every (set_id, target, weight) where the transaction holds the itemset.
+def containing(encoded: Encoded, sets: DataFrame, key: str, count: int) -> DataFrame:
+    """Every (key, target, weight) where the transaction holds the itemset.
 
-    ``sets`` is a materialized table of ``set_id`` and sorted ``ids``. Up to
-    ``BROADCAST_BYTES`` it is broadcast and the transactions do not move. Beyond
-    that both sides shuffle on the anchor, cut into slices by the anchor's known
-    support, so that no key carries much more than ``ROWS_PER_SLICE`` transactions."""
-    small = _set_bytes(encoded, sets) <= BROADCAST_BYTES
+    ``sets`` has ``key`` and sorted ``ids``, at most ``count`` rows. While they
+    fit ``BROADCAST_BYTES`` they are broadcast and the transactions do not move.
+    Beyond that both sides shuffle on the anchor, cut into slices by the anchor's
+    known support, so that no key carries much more than ``ROWS_PER_SLICE``
+    transactions."""
+    small = count * (64 + 8 * (encoded.words or len(encoded.names))) <= BROADCAST_BYTES
     keyed = sets.select(
-        "set_id",
+        F.col(key),
         F.col("ids").alias("wanted"),
         F.get("ids", F.lit(0)).alias("anchor"),
         *_masks("ids", encoded.words, "m"),
     )
     masks = [f"w{i}" for i in range(encoded.words)]
     exploded = encoded.rows.select(
-        "target", "weight", *masks, *([] if masks else ["ids"]), F.explode("ids").alias("anchor"),
+        "target",
+        "weight",
+        *(masks or [F.col("ids").alias("held")]),
+        F.explode("ids").alias("anchor"),
         *([] if small else [F.xxhash64("ids", "target").alias("_hash")]),
     )
     if encoded.words:
         holds = F.lit(True)
         for i in range(encoded.words):
             holds = holds & (F.col(f"w{i}").bitwiseAND(F.col(f"m{i}")) == F.col(f"m{i}"))
-        keyed = keyed.drop("wanted")
     else:
-        holds = F.size(F.array_except("wanted", "ids")) == 0
+        holds = F.size(F.array_except("wanted", "held")) == 0
     if small:
         joined = exploded.join(F.broadcast(keyed), "anchor")
     else:
-        slices = F.array(*[F.lit(-(-count // ROWS_PER_SLICE)) for count in encoded.counts])
+        slices = F.array(*[F.lit(-(-support // ROWS_PER_SLICE)) for support in encoded.counts])
         cut = F.get(slices, F.col("anchor"))
         left = exploded.withColumn("_slice", F.pmod("_hash", cut.cast("bigint")).cast("int"))
         right = keyed.withColumn("_slice", F.explode(F.sequence(F.lit(0), cut - 1)))
         joined = left.join(right, ["anchor", "_slice"])
-    return joined.filter(holds).select("set_id", "target", "weight")
+    return joined.filter(holds).select(key, "target", "weight")
 
 
 def _pairs(encoded: Encoded) -> DataFrame:
@@ -169,47 +172,70 @@ def _extend(level: DataFrame, size: int) -> DataFrame:
     joined = left.join(
         right, (F.col("l.stem") == F.col("r.stem")) & (F.col("l.last") < F.col("r.last"))
     ).select(F.concat("l.stem", F.array("l.last", "r.last")).alias("ids"))
-    shorter = F.transform(
-        F.sequence(F.lit(0), F.lit(size - 3)),
-        lambda gone: F.filter(F.col("ids"), lambda _, at: at != gone),
-    )
-    known = level.select(F.col("ids").alias("part"))
-    return (
-        joined.select("ids", F.explode(shorter).alias("part"))
-        .join(known, "part")
-        .groupBy("ids")
-        .agg(F.count(F.lit(1)).alias("parts"))
-        .filter(F.col("parts") == size - 2)
-        .select("ids")
-    )
+    for gone in range(size - 2):
+        part = F.concat(F.slice("ids", 1, gone), F.slice("ids", gone + 2, size - gone - 1))
+        known = level.select(F.col("ids").alias("part"))
+        joined = joined.withColumn("part", part).join(known, "part", "left_semi").drop("part")
+    return joined
+
+
+def _ahead(frequent: list[tuple[int, ...]], room: int, sizes: int) -> list[tuple[int, ...]] | None:
+    """Candidates of the next ``sizes`` sizes, the later ones assuming that the
+    earlier ones turn out frequent; stops before ``room`` is exceeded. None when
+    the next size alone does not fit."""
+    found: list[tuple[int, ...]] = []
+    current = sorted(frequent)
+    while current and sizes > 0:
+        known = set(current)
+        by_stem: dict[tuple[int, ...], list[int]] = {}
+        for ids in current:
+            by_stem.setdefault(ids[:-1], []).append(ids[-1])
+        if len(found) + sum(len(ends) * (len(ends) - 1) // 2 for ends in by_stem.values()) > room:
+            return found or None
+        joined = [(*stem, a, b) for stem, ends in by_stem.items() for a in ends for b in ends if a < b]
+        current = [c for c in joined if all(c[:i] + c[i + 1 :] in known for i in range(len(c) - 2))]
+        found, sizes = found + current, sizes - 1
+    return found
 
 
-def _level_wise(encoded: Encoded) -> DataFrame:
-    """One counting pass per itemset size over the merged transactions. Counts
-    combine on the map side, so no task ever holds an item's transactions."""
-    spark = encoded.rows.sparkSession
-    level = spark.createDataFrame(
-        [([i], count) for i, count in enumerate(encoded.counts)], "ids array<int>, freq bigint"
-    )
-    found, size, width = level, 2, len(encoded.names)
-    while width >= size:
-        candidates = _pairs(encoded) if size == 2 else _extend(level, size)
-        candidates = materialize(
-            candidates.withColumn("set_id", F.monotonically_increasing_id()), "candidates"
-        )
-        if candidates.isEmpty():
+def _level_wise(encoded: Encoded) -> tuple[DataFrame, int]:
+    """Counting passes over the merged transactions: first all pairs, then as many
+    sizes at once as give at most ``LOCAL_SETS`` candidates. Counts combine on the
+    map side, so no task ever holds an item's transactions. While a level is that
+    small its candidates are listed by the driver, otherwise they are joined."""
+    spark, items = encoded.rows.sparkSession, len(encoded.names)
+    schema = "ids array<int>, freq bigint"
+    local = [(i,) for i in range(items)]  # None once a level is too large to list
+    level = spark.createDataFrame([([i], count) for i, count in enumerate(encoded.counts)], schema)
+    found, total, width, size = level, items, items, 2
+    while width >= size:  # an itemset of this size needs that many frequent parts
+        listed = None if local is None else _ahead(local, LOCAL_SETS, 1 if size == 2 else items)
+        if listed == []:
             break
+        if listed:
+            candidates = spark.createDataFrame([(list(ids),) for ids in listed], "ids array<int>")
+            most, size = len(listed), len(listed[-1])
+        else:
+            candidates = _pairs(encoded) if size == 2 else _extend(level, size)
+            most = width * (width - 1) // 2 if size == 2 else width * items
         counted = (
-            containing(encoded, candidates)
-            .groupBy("set_id")
+            containing(encoded, candidates, "ids", most)
+            .groupBy("ids")
             .agg(F.sum("weight").alias("freq"))
             .filter(F.col("freq") >= encoded.min_count)
         )
-        level = materialize(counted.join(candidates, "set_id").select("ids", "freq"), "level")
-        width = level.count()
-        found = found.unionByName(level)
-        size += 1
-    return found
+        if most <= LOCAL_SETS:
+            rows = counted.collect()
+            counted, count = spark.createDataFrame(rows, schema), len(rows)
+            local = [tuple(row.ids) for row in rows if len(row.ids) == size]
+            width = len(local)
+        else:
+            counted = materialize(counted, "level")
+            count = width = counted.count()
+            local = [tuple(row.ids) for row in counted.collect()] if count <= LOCAL_SETS else None
+        level = counted.filter(F.size("ids") == size)
+        found, total, size = found.unionByName(counted), total + count, size + 1
+    return found, total
 
 
 def repeat_rows(df: DataFrame, times: str, chunk: int = 10_000) -> DataFrame:
@@ -223,21 +249,21 @@ def repeat_rows(df: DataFrame, times: str, chunk: int = 10_000) -> DataFrame:
     )
 
 
-def _fp_growth(encoded: Encoded) -> DataFrame:
+def _fp_growth(encoded: Encoded) -> tuple[DataFrame, int]:
     """MLlib's FP-growth on the unmerged transactions (it knows no weights)."""
     rows = materialize(repeat_rows(encoded.rows.select("ids", "weight"), "weight"), "unmerged")
     model = FPGrowth(itemsCol="ids", minSupport=encoded.min_support).fit(rows)
-    return model.freqItemsets.select(F.array_sort("items").alias("ids"), "freq")
+    found = materialize(model.freqItemsets.select(F.array_sort("items").alias("ids"), "freq"), "mined")
+    return found, found.count()
 
 
 def frequent_itemsets(encoded: Encoded, miner: str = "levels") -> DataFrame:
     """``set_id, itemset, ids, freq`` of all itemsets with enough support.
 
-    ``set_id`` is 0..M-1 in itemset order. ``miner`` picks the level-wise joins
-    or MLlib's ``fpgrowth``; both return the same itemsets."""
-    miners = {"levels": _level_wise, "fpgrowth": _fp_growth}
+    ``set_id`` is 0..M-1 in the order of ``ids``. ``miner`` picks the level-wise
+    joins or MLlib's ``fpgrowth``; both return the same itemsets."""
+    found, count = {"levels": _level_wise, "fpgrowth": _fp_growth}[miner](encoded)
     names = F.array(*[F.lit(name) for name in encoded.names]).cast("array<string>")
-    named = miners[miner](encoded).select(
-        F.array_sort(F.transform("ids", lambda i: F.get(names, i))).alias("itemset"), "ids", "freq"
-    )
-    return materialize(number_rows(named, [F.col("itemset")], "set_id"), "itemsets")
+    itemset = F.array_sort(F.transform("ids", lambda i: F.get(names, i)))
+    numbered = number_rows(found, [F.col("ids")], "set_id", count)
+    return materialize(numbered.select("set_id", itemset.alias("itemset"), "ids", "freq"), "itemsets")

@@ -12,17 +12,17 @@ from tallyrift.session import materialize
 SINGLE_TASK_ROWS = 100_000
 
 
-def number_rows(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+def number_rows(df: DataFrame, order: Sequence[Column], name: str, rows: int | None = None) -> DataFrame:
     """Add the 0-based position of every row in ``order`` (a total order).
+    ``df`` is read twice, so pass a stored table; ``rows`` is its size if known.
 
     Up to ``SINGLE_TASK_ROWS`` rows, measured first, one sort does it. Beyond
     that rows are range partitioned, numbered inside their range and shifted by
     the sizes of the ranges before; only one count per range meets in a task."""
-    table = materialize(df, "numbering")
-    if table.count() <= SINGLE_TASK_ROWS:
-        return table.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("bigint") - 1)
+    if (df.count() if rows is None else rows) <= SINGLE_TASK_ROWS:
+        return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("bigint") - 1)
     ranged = materialize(
-        table.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges"
+        df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges"
     )
     sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -51,6 +51,7 @@ def top_rules(scored: DataFrame, k: int = 10) -> DataFrame:
 
 def top_percent(rules: DataFrame, percent: float) -> DataFrame:
     """The best ``percent`` of all rules, rounded down."""
+    rules = materialize(rules, "scored")
+    keep = int(rules.count() * (percent / 100))
     numbered = number_rows(rules, score_order(), "_position")
-    keep = F.floor(F.lit(numbered.count()) * F.lit(percent / 100.0))
     return numbered.filter(F.col("_position") < keep).drop("_position")

@@ -13,10 +13,12 @@ from tallyrift.operators.ranking import top_rules
 MEASURES = ("kl", "expo", "normal", "mean")
 
 
-def split_population(transactions: DataFrame, min_support: float, miner: str = "levels") -> Split:
+def split_population(
+    transactions: DataFrame, min_support: float, miner: str = "levels", store: bool = True
+) -> Split:
     """Mine the frequent itemsets and split the target values at each of them."""
     encoded = encode(transactions, min_support)
-    return split_cells(encoded, frequent_itemsets(encoded, miner))
+    return split_cells(encoded, frequent_itemsets(encoded, miner), store)
 
 
 def score_rules(
@@ -60,5 +62,5 @@ def discover_rules(
     **scoring,
 ) -> DataFrame:
     """The ``k`` best rules of ``transactions`` under ``measure``."""
-    split = split_population(transactions, min_support, miner)
+    split = split_population(transactions, min_support, miner, store=measure == "normal")
     return top_rules(score_rules(split, measure, **scoring), k)
