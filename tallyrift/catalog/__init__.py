@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from tallyrift.catalog import mining_queries, registry  # noqa: F401  (registers)
+from tallyrift.catalog import (  # noqa: F401  (importing registers)
+    mining_queries,
+    preparation_queries,
+    registry,
+    report_queries,
+)
 
 
 def all_queries() -> dict[str, registry.Query]:
