@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tallyrift.catalog import (  # noqa: F401  (importing registers)
+    comparison_queries,
     mining_queries,
     preparation_queries,
     registry,
