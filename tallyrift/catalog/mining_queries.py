@@ -8,7 +8,7 @@ from tallyrift.catalog import bindings as b
 from tallyrift.catalog import sql
 from tallyrift.catalog.registry import num, query, show_rules, text
 from tallyrift.operators.histogram import all_histograms
-from tallyrift.operators.itemsets import encode, frequent_itemsets
+from tallyrift.operators.itemsets import frequent_itemsets
 from tallyrift.plans.discovery import discover_rules, split_population
 
 ITEMSETS = f"SELECT {sql.text()}, freq FROM itemsets"
@@ -21,7 +21,7 @@ ORDERS = sql.mined(sql.ORDERS, 0.025, 3)
 
 
 def _itemsets(transactions, min_support, miner="levels"):
-    return frequent_itemsets(encode(transactions, min_support), miner).select(text(), "freq")
+    return frequent_itemsets(transactions, min_support, miner).select(text(), "freq")
 
 
 @query("flat_itemsets", sql.query(FLAT, select=ITEMSETS))

@@ -31,11 +31,11 @@ class Split:
         return Split(kept, cells, self.totals, self.n)
 
 
-def split_cells(encoded: Encoded, itemsets: DataFrame, store: bool = True) -> Split:
+def split_cells(encoded: Encoded, itemsets: DataFrame, count: int, store: bool = True) -> Split:
     """Count every itemset's transactions by target, combined on the map side.
     Without ``store`` the cells are computed in the one plan that reads them."""
     counted = (
-        containing(encoded, itemsets, "set_id", itemsets.count())
+        containing(encoded, itemsets, "set_id", count)
         .groupBy("set_id", "target")
         .agg(F.sum("weight").alias("n_set"))
     )

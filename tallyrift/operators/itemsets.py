@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
@@ -22,6 +23,7 @@ MASK_WORDS = 64
 BROADCAST_BYTES = 64 * 1024 * 1024
 ROWS_PER_SLICE = 2_000_000
 LOCAL_SETS = 10_000
+FOUND = "ids array<int>, freq bigint"
 
 
 @dataclass(frozen=True)
@@ -198,16 +200,16 @@ def _ahead(frequent: list[tuple[int, ...]], room: int, sizes: int) -> list[tuple
     return found
 
 
-def _level_wise(encoded: Encoded) -> tuple[DataFrame, int]:
-    """Counting passes over the merged transactions: first all pairs, then as many
-    sizes at once as give at most ``LOCAL_SETS`` candidates. Counts combine on the
-    map side, so no task ever holds an item's transactions. While a level is that
-    small its candidates are listed by the driver, otherwise they are joined."""
+def _level_wise(encoded: Encoded) -> list[tuple[DataFrame, int]]:
+    """Frequent itemsets ``ids, freq``, with their number, in counting passes over the merged
+    transactions: first all pairs, then as many sizes at once as give at most
+    ``LOCAL_SETS`` candidates. Counts combine on the map side, so no task ever
+    holds an item's transactions. While a level is that small its candidates are
+    listed by the driver, otherwise they are joined."""
     spark, items = encoded.rows.sparkSession, len(encoded.names)
-    schema = "ids array<int>, freq bigint"
     local = [(i,) for i in range(items)]  # None once a level is too large to list
-    level = spark.createDataFrame([([i], count) for i, count in enumerate(encoded.counts)], schema)
-    found, total, width, size = level, items, items, 2
+    level = spark.createDataFrame([([i], c) for i, c in enumerate(encoded.counts)], FOUND)
+    found, width, size = [(level, items)], items, 2
     while width >= size:  # an itemset of this size needs that many frequent parts
         listed = None if local is None else _ahead(local, LOCAL_SETS, 1 if size == 2 else items)
         if listed == []:
@@ -224,18 +226,20 @@ def _level_wise(encoded: Encoded) -> tuple[DataFrame, int]:
             .agg(F.sum("weight").alias("freq"))
             .filter(F.col("freq") >= encoded.min_count)
         )
-        if most <= LOCAL_SETS:
+        if most > LOCAL_SETS:
+            counted = materialize(counted, "level")
+            count = width = counted.count()
+        if most <= LOCAL_SETS or width <= LOCAL_SETS:
             rows = counted.collect()
-            counted, count = spark.createDataFrame(rows, schema), len(rows)
+            counted = spark.createDataFrame(rows, FOUND)
             local = [tuple(row.ids) for row in rows if len(row.ids) == size]
-            width = len(local)
+            count, width = len(rows), len(local)
         else:
-            counted = materialize(counted, "level")
-            count = width = counted.count()
-            local = [tuple(row.ids) for row in counted.collect()] if count <= LOCAL_SETS else None
-        level = counted.filter(F.size("ids") == size)
-        found, total, size = found.unionByName(counted), total + count, size + 1
-    return found, total
+            local = None
+        level = counted
+        found.append((counted, count))
+        size += 1
+    return found
 
 
 def repeat_rows(df: DataFrame, times: str, chunk: int = 10_000) -> DataFrame:
@@ -249,21 +253,33 @@ def repeat_rows(df: DataFrame, times: str, chunk: int = 10_000) -> DataFrame:
     )
 
 
-def _fp_growth(encoded: Encoded) -> tuple[DataFrame, int]:
+def _fp_growth(encoded: Encoded) -> list[tuple[DataFrame, int]]:
     """MLlib's FP-growth on the unmerged transactions (it knows no weights)."""
     rows = materialize(repeat_rows(encoded.rows.select("ids", "weight"), "weight"), "unmerged")
     model = FPGrowth(itemsCol="ids", minSupport=encoded.min_support).fit(rows)
     found = materialize(model.freqItemsets.select(F.array_sort("items").alias("ids"), "freq"), "mined")
-    return found, found.count()
-
-
-def frequent_itemsets(encoded: Encoded, miner: str = "levels") -> DataFrame:
-    """``set_id, itemset, ids, freq`` of all itemsets with enough support.
-
-    ``set_id`` is 0..M-1 in the order of ``ids``. ``miner`` picks the level-wise
-    joins or MLlib's ``fpgrowth``; both return the same itemsets."""
-    found, count = {"levels": _level_wise, "fpgrowth": _fp_growth}[miner](encoded)
+    return [(found, found.count())]
+
+
+def mine(encoded: Encoded, miner: str = "levels") -> tuple[DataFrame, int]:
+    """``set_id, itemset, ids, freq`` of all itemsets with enough support, and
+    how many there are. ``set_id`` is 0..M-1 in the order of ``ids``. ``miner``
+    picks the level-wise joins or MLlib's ``fpgrowth``; both find the same."""
+    parts = {"levels": _level_wise, "fpgrowth": _fp_growth}[miner](encoded)
+    count = sum(size for _, size in parts)
+    if count <= LOCAL_SETS:
+        rows = sorted((list(row.ids), row.freq) for part, _ in parts for row in part.collect())
+        named = [(i, sorted(encoded.names[x] for x in ids), ids, freq) for i, (ids, freq) in enumerate(rows)]
+        schema = "set_id bigint, itemset array<string>, ids array<int>, freq bigint"
+        return encoded.rows.sparkSession.createDataFrame(named, schema), count
+    found = reduce(DataFrame.unionByName, [part for part, _ in parts])
     names = F.array(*[F.lit(name) for name in encoded.names]).cast("array<string>")
     itemset = F.array_sort(F.transform("ids", lambda i: F.get(names, i)))
     numbered = number_rows(found, [F.col("ids")], "set_id", count)
-    return materialize(numbered.select("set_id", itemset.alias("itemset"), "ids", "freq"), "itemsets")
+    numbered = numbered.select("set_id", itemset.alias("itemset"), "ids", "freq")
+    return materialize(numbered, "itemsets"), count
+
+
+def frequent_itemsets(transactions: DataFrame, min_support: float, miner: str = "levels") -> DataFrame:
+    """``itemset, freq`` of all itemsets held by at least ``min_support``."""
+    return mine(encode(transactions, min_support), miner)[0].select("itemset", "freq")

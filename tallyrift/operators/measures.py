@@ -27,12 +27,12 @@ def summarise(split: Split) -> DataFrame:
     mean = split.totals.agg(F.round(F.sum(x * n_tot) / F.sum("n_tot")).cast("bigint").alias("mean"))
     centre = mean.scalar()
     whole = split.totals.agg(
-        F.max(centre).alias("centre"),
-        F.sum((x - centre) * n_tot).alias("s1"),
-        F.sum((x - centre) * (x - centre) * n_tot).alias("s2"),
-        F.sum(stats.x_log_x(F.col("n_tot"))).alias("logs"),
-    ).first()
-    centre = whole.centre or 0
+        F.struct(
+            F.sum((x - centre) * n_tot).alias("s1"),
+            F.sum((x - centre) * (x - centre) * n_tot).alias("s2"),
+            F.sum(stats.x_log_x(F.col("n_tot"))).alias("logs"),
+        ).alias("whole")
+    ).scalar()
     x = (F.col("target") - centre).cast("double")
     inside, outside = F.col("n_set"), F.col("n_counter")
     both = inside + outside
@@ -46,9 +46,9 @@ def summarise(split: Split) -> DataFrame:
     )
     freq = F.col("freq").cast("double")
     rest = F.nullif(F.lit(n) - F.col("freq"), F.lit(0)).cast("double")  # null: nobody outside
-    mean_set, mean_counter = F.col("s1") / freq, (F.lit(whole.s1) - F.col("s1")) / rest
+    mean_set, mean_counter = F.col("s1") / freq, (whole["s1"] - F.col("s1")) / rest
     variance_set = F.col("s2") / freq - mean_set * mean_set
-    variance_counter = (F.lit(whole.s2) - F.col("s2")) / rest - mean_counter * mean_counter
+    variance_counter = (whole["s2"] - F.col("s2")) / rest - mean_counter * mean_counter
     # sum of p ln(p / q) with p = n_counter / rest and q = n_set / freq
     divergence = (F.col("weighted_logs") + F.col("shared_counter") * F.log(freq / rest)) / rest
     return split.itemsets.join(sums, "set_id").select(
@@ -61,7 +61,7 @@ def summarise(split: Split) -> DataFrame:
         F.greatest(variance_set, F.lit(0.0)).alias("var_set"),
         F.when(rest.isNotNull(), F.greatest(variance_counter, F.lit(0.0))).alias("var_counter"),
         (F.col("logs") / freq - F.log(freq)).alias("p_log_p_set"),
-        ((F.lit(whole.logs) + F.col("logs_change")) / rest - F.log(rest)).alias("p_log_p_counter"),
+        ((whole["logs"] + F.col("logs_change")) / rest - F.log(rest)).alias("p_log_p_counter"),
         F.when(rest.isNotNull(), F.coalesce(divergence, F.lit(0.0))).alias("divergence"),
     )
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyrift.operators import measures
 from tallyrift.operators.histogram import Split, split_cells
-from tallyrift.operators.itemsets import encode, frequent_itemsets
+from tallyrift.operators.itemsets import encode, mine
 from tallyrift.operators.ranking import top_rules
 
 MEASURES = ("kl", "expo", "normal", "mean")
@@ -18,7 +18,7 @@ def split_population(
 ) -> Split:
     """Mine the frequent itemsets and split the target values at each of them."""
     encoded = encode(transactions, min_support)
-    return split_cells(encoded, frequent_itemsets(encoded, miner), store)
+    return split_cells(encoded, *mine(encoded, miner), store)
 
 
 def score_rules(
