@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tallyrift.functions.text import shorten_itemset
 from tallyrift.operators.histogram import Split
 from tallyrift.operators.ranking import number_rows, score_order, top_percent
-from tallyrift.session import materialize
+from tallyrift.session import materialize, plain_unions
 
 EPSILON = 1e-10  # fixed value: added to both aligned distributions
 
@@ -44,6 +44,7 @@ def best_percent(rules: RuleSet, percent: float) -> RuleSet:
 
 def merge(left: RuleSet, right: RuleSet) -> RuleSet:
     """All rules of both; where both have a rule, ``right`` wins."""
+    plain_unions(left.rules.sparkSession)
     only_left = left.restricted_to(left.rules.join(right.rules.select("itemset"), "itemset", "left_anti"))
     return RuleSet(
         only_left.rules.unionByName(right.rules), only_left.values.unionByName(right.values)
@@ -54,6 +55,7 @@ def match(left: RuleSet, right: RuleSet) -> DataFrame:
     """Rules found in both sets with the symmetrised, smoothed divergence of their
     distributions. Values are aligned by adding up both sides' counts per
     (rule, value), which takes one shuffle instead of a full outer join."""
+    plain_unions(left.rules.sparkSession)
     both = left.rules.select("itemset", F.col("score").alias("left_score")).join(
         right.rules.select("itemset", F.col("score").alias("right_score")), "itemset"
     )

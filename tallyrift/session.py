@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+UNION_KEY = "spark.sql.unionOutputPartitioning"
 
 
 def build_session(app_name: str = "tallyrift", master: str | None = None, **conf: str) -> SparkSession:
@@ -25,7 +26,14 @@ def build_session(app_name: str = "tallyrift", master: str | None = None, **conf
         builder = builder.master(master)
     for key, value in conf.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return plain_unions(builder.getOrCreate())
+
+
+def plain_unions(spark: SparkSession) -> SparkSession:
+    """Unions keep their inputs apart. Pairing up the partitions of equally
+    partitioned inputs fails when adaptive execution changes one of them."""
+    spark.conf.set(UNION_KEY, "false")
+    return spark
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -47,7 +55,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
     What follows has a short lineage, survives lost executors, and reads only
     the columns it needs. Row counts of the result come from Parquet footers."""
-    spark = df.sparkSession
+    spark = plain_unions(df.sparkSession)
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
