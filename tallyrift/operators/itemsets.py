@@ -11,19 +11,20 @@ import math
 from dataclasses import dataclass
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyrift.operators.ranking import number_rows
-from tallyrift.session import materialize
+from tallyrift.session import local_table, materialize
 
 BITS = 62
 MASK_WORDS = 64
 BROADCAST_BYTES = 64 * 1024 * 1024
 ROWS_PER_SLICE = 2_000_000
 LOCAL_SETS = 10_000
-FOUND = "ids array<int>, freq bigint"
+IDS = {"ids": pa.list_(pa.int32())}
 
 
 @dataclass(frozen=True)
@@ -208,14 +209,15 @@ def _level_wise(encoded: Encoded) -> list[tuple[DataFrame, int]]:
     listed by the driver, otherwise they are joined."""
     spark, items = encoded.rows.sparkSession, len(encoded.names)
     local = [(i,) for i in range(items)]  # None once a level is too large to list
-    level = spark.createDataFrame([([i], c) for i, c in enumerate(encoded.counts)], FOUND)
+    singles = {"ids": [[i] for i in range(items)], "freq": encoded.counts}
+    level = local_table(spark, singles, IDS | {"freq": pa.int64()})
     found, width, size = [(level, items)], items, 2
     while width >= size:  # an itemset of this size needs that many frequent parts
         listed = None if local is None else _ahead(local, LOCAL_SETS, 1 if size == 2 else items)
         if listed == []:
             break
         if listed:
-            candidates = spark.createDataFrame([(list(ids),) for ids in listed], "ids array<int>")
+            candidates = local_table(spark, {"ids": [list(ids) for ids in listed]}, IDS)
             most, size = len(listed), len(listed[-1])
         else:
             candidates = _pairs(encoded) if size == 2 else _extend(level, size)
@@ -231,7 +233,8 @@ def _level_wise(encoded: Encoded) -> list[tuple[DataFrame, int]]:
             count = width = counted.count()
         if most <= LOCAL_SETS or width <= LOCAL_SETS:
             rows = counted.collect()
-            counted = spark.createDataFrame(rows, FOUND)
+            columns = {"ids": [row.ids for row in rows], "freq": [row.freq for row in rows]}
+            counted = local_table(spark, columns, IDS | {"freq": pa.int64()})
             local = [tuple(row.ids) for row in rows if len(row.ids) == size]
             count, width = len(rows), len(local)
         else:
@@ -269,9 +272,14 @@ def mine(encoded: Encoded, miner: str = "levels") -> tuple[DataFrame, int]:
     count = sum(size for _, size in parts)
     if count <= LOCAL_SETS:
         rows = sorted((list(row.ids), row.freq) for part, _ in parts for row in part.collect())
-        named = [(i, sorted(encoded.names[x] for x in ids), ids, freq) for i, (ids, freq) in enumerate(rows)]
-        schema = "set_id bigint, itemset array<string>, ids array<int>, freq bigint"
-        return encoded.rows.sparkSession.createDataFrame(named, schema), count
+        columns = {
+            "set_id": list(range(count)),
+            "itemset": [sorted(encoded.names[i] for i in ids) for ids, _ in rows],
+            "ids": [ids for ids, _ in rows],
+            "freq": [freq for _, freq in rows],
+        }
+        types = {"set_id": pa.int64(), "itemset": pa.list_(pa.string()), **IDS, "freq": pa.int64()}
+        return local_table(encoded.rows.sparkSession, columns, types), count
     found = reduce(DataFrame.unionByName, [part for part, _ in parts])
     names = F.array(*[F.lit(name) for name in encoded.names]).cast("array<string>")
     itemset = F.array_sort(F.transform("ids", lambda i: F.get(names, i)))
