@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import functions as F
 
@@ -37,15 +38,13 @@ def sides(spark, folder, min_support, which=("l", "a", "b")):
     early, urgent = F.col("o_orderdate") < F.lit(CUT), F.col("o_orderpriority").isin(*URGENT)
     wanted = {"l": early, "a": ~early & urgent, "b": ~early & ~urgent}
     facts = b.basket_facts(spark, folder)
-    return [
-        split_population(
-            b.basket_transactions(
-                facts.join(orders.filter(wanted[side]), F.col("l_orderkey") == F.col("o_orderkey"))
-            ),
-            min_support,
-        )
-        for side in which
-    ]
+
+    def split(side):
+        mine = facts.join(orders.filter(wanted[side]), F.col("l_orderkey") == F.col("o_orderkey"))
+        return split_population(b.basket_transactions(mine), min_support)
+
+    with ThreadPoolExecutor(len(which)) as pool:  # the databases are independent
+        return list(pool.map(split, which))
 
 
 def side_sql(p: str, min_support: float) -> str:

@@ -16,6 +16,9 @@ from tallyrift.operators.itemsets import Encoded, containing
 from tallyrift.session import materialize
 
 
+SPREAD_SLOTS = 1_000
+
+
 @dataclass(frozen=True)
 class Split:
     itemsets: DataFrame  # set_id, itemset, freq
@@ -55,8 +58,11 @@ def full_histogram(split: Split, wanted: DataFrame, slot: str, slots: int) -> Da
     total repeat itself per slot and meet its itemset by equality. The output is
     (wanted itemsets x distinct target values) by definition; transactions play
     no part in it any more."""
+    totals = split.totals
+    if slots > SPREAD_SLOTS:  # few totals would repeat in few tasks
+        totals = totals.repartition(totals.sparkSession.sparkContext.defaultParallelism, "target")
     first, last = F.lit(0).cast("bigint"), F.lit(max(slots - 1, 0)).cast("bigint")
-    grid = split.totals.select("target", "n_tot", F.explode(F.sequence(first, last)).alias(slot))
+    grid = totals.select("target", "n_tot", F.explode(F.sequence(first, last)).alias(slot))
     inside = split.cells.select("set_id", "target", "n_set")
     n_set = F.coalesce("n_set", F.lit(0))
     return (

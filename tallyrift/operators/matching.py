@@ -29,9 +29,10 @@ class RuleSet:
 
 
 def rule_set(split: Split, scored: DataFrame) -> RuleSet:
-    """The set side of all scored rules, ``position`` counting from the best."""
-    stored = materialize(scored.select("set_id", "itemset", "score"), "rules")
-    rules = number_rows(stored, score_order(), "position")
+    """The set side of all rules of the stored table ``scored``, ``position``
+    counting from the best. The rules are stored again with their position."""
+    rules = number_rows(scored.select("set_id", "itemset", "score"), score_order(), "position")
+    rules = materialize(rules, "rules")
     values = split.cells.join(rules.select("set_id", "itemset"), "set_id").select(
         "itemset", "target", F.col("n_set").alias("n")
     )

@@ -50,8 +50,10 @@ def top_rules(scored: DataFrame, k: int = 10) -> DataFrame:
 
 
 def top_percent(rules: DataFrame, percent: float) -> DataFrame:
-    """The best ``percent`` of all rules, rounded down."""
-    rules = materialize(rules, "scored")
-    keep = int(rules.count() * (percent / 100))
-    numbered = number_rows(rules, score_order(), "_position")
+    """The best ``percent`` of all rules, rounded down; ``rules`` is a stored table."""
+    count = rules.count()
+    keep = int(count * (percent / 100))
+    if keep >= count:
+        return rules
+    numbered = number_rows(rules, score_order(), "_position", count)
     return numbered.filter(F.col("_position") < keep).drop("_position")

@@ -12,13 +12,22 @@ from pyspark.sql import functions as F
 from tallyrift.operators.histogram import Split
 from tallyrift.operators.matching import RuleSet, best_percent, match, merge, rule_set
 from tallyrift.plans.discovery import score_rules
+from tallyrift.session import materialize
 
 
-def rules_at(split: Split, min_support: float, measure: str = "kl") -> RuleSet:
-    """All scored rules at ``min_support``, which must not be below the support
-    the split was mined with: one mining run serves a whole sweep."""
-    kept = split.at_least(math.ceil(min_support * split.n))
-    return rule_set(kept, score_rules(kept, measure))
+def score_all(split: Split, measure: str = "kl", **scoring) -> DataFrame:
+    """The stored scores of all itemsets of ``split``."""
+    scored = score_rules(split, measure, **scoring)
+    return materialize(scored.select("set_id", "itemset", "freq", "score"), "scored")
+
+
+def rules_at(split: Split, min_support: float, scored: DataFrame | None = None) -> RuleSet:
+    """All rules at ``min_support``, which must not be below the support the split
+    was mined with. A score does not depend on the support threshold, so one
+    mining run and one table of scores serve a whole sweep."""
+    scored = score_all(split) if scored is None else scored
+    least = math.ceil(min_support * split.n)
+    return rule_set(split, scored.filter(F.col("freq") >= least))
 
 
 def match_sweep(
@@ -27,9 +36,11 @@ def match_sweep(
     """Matched rules for every (min_support, percent). The rule sets of ``rights``
     are cut to their best share each and merged, later ones winning."""
     runs = []
+    scores = [score_all(split) for split in (left, *rights)]
     for min_support in min_supports:
-        left_rules = rules_at(left, min_support)
-        right_rules = [rules_at(split, min_support) for split in rights]
+        left_rules, *right_rules = (
+            rules_at(split, min_support, scored) for split, scored in zip((left, *rights), scores)
+        )
         for percent in percents:
             right = reduce(merge, [best_percent(rules, percent) for rules in right_rules])
             matched = match(best_percent(left_rules, percent), right)
