@@ -86,6 +86,11 @@ def normal_rules(spark, folder):
     return show_rules(rules, num("fit_set"), num("fit_counter"))
 
 
+@query("kl_rules_orders", rules_sql(ORDERS, sql.KL))
+def kl_rules_orders(spark, folder):
+    return show_rules(discover_rules(b.order_transactions(spark, folder), 0.025, "kl"))
+
+
 Z = f", {sql.num('z', 'z')}"
 
 
@@ -98,3 +103,8 @@ def mean_rules(spark, folder):
 def mean_rules_significant(spark, folder):
     rules = discover_rules(b.flat_transactions(spark, folder), 0.05, "mean", significant=True)
     return show_rules(rules, num("z"))
+
+
+@query("mean_rules_orders", rules_sql(ORDERS, sql.MEAN, "TRUE", Z))
+def mean_rules_orders(spark, folder):
+    return show_rules(discover_rules(b.order_transactions(spark, folder), 0.025, "mean"), num("z"))

@@ -10,6 +10,7 @@ from tallyrift.catalog import sql
 from tallyrift.catalog.mining_queries import rules_sql
 from tallyrift.catalog.registry import num, query, show_rules
 from tallyrift.operators import dictionary, profile
+from tallyrift.operators.transactions import keep_marked_items
 from tallyrift.plans import clinical, flat
 from tallyrift.plans.discovery import discover_rules, score_rules, split_population
 from tallyrift.session import materialize
@@ -227,14 +228,49 @@ tx AS (SELECT patientunitstayid AS tid, list_concat(
 
 @query("kl_rules_unit_icd9", rules_sql(sql.mined(unit_tx("icd9"), 0.025, 5), sql.KL))
 def kl_rules_unit_icd9(spark, folder):
-    stays = clinical.unit_stays(c.unit_patient(spark, folder), c.unit_diagnosis(spark, folder), "icd9")
-    return show_rules(discover_rules(clinical.stay_transactions(stays), 0.025, "kl"))
+    return show_rules(discover_rules(unit_transactions(spark, folder, "icd9"), 0.025, "kl"))
 
 
 @query("mean_rules_unit_icd10", rules_sql(sql.mined(unit_tx("icd10"), 0.025, 5), sql.MEAN, "TRUE", f", {sql.num('z', 'z')}"))
 def mean_rules_unit_icd10(spark, folder):
-    stays = clinical.unit_stays(c.unit_patient(spark, folder), c.unit_diagnosis(spark, folder), "icd10")
-    return show_rules(discover_rules(clinical.stay_transactions(stays), 0.025, "mean"), num("z"))
+    return show_rules(discover_rules(unit_transactions(spark, folder, "icd10"), 0.025, "mean"), num("z"))
+
+
+def unit_transactions(spark, folder, kind):
+    stays = clinical.unit_stays(c.unit_patient(spark, folder), c.unit_diagnosis(spark, folder), kind)
+    return clinical.stay_transactions(stays)
+
+
+FITS = f", {sql.num('fit_set', 'fit_set')}, {sql.num('fit_counter', 'fit_counter')}"
+
+
+@query("expo_rules_unit_icd9", rules_sql(sql.mined(unit_tx("icd9"), 0.025, 5), sql.EXPO, "fit_set <= 0.35 AND fit_counter <= 0.35", FITS))
+def expo_rules_unit_icd9(spark, folder):
+    rules = discover_rules(unit_transactions(spark, folder, "icd9"), 0.025, "expo", fit_threshold=0.35)
+    return show_rules(rules, num("fit_set"), num("fit_counter"))
+
+
+@query("kl_rules_unit_icd10", rules_sql(sql.mined(unit_tx("icd10"), 0.025, 5), sql.KL))
+def kl_rules_unit_icd10(spark, folder):
+    return show_rules(discover_rules(unit_transactions(spark, folder, "icd10"), 0.025, "kl"))
+
+
+@query("expo_rules_unit_icd10", rules_sql(sql.mined(unit_tx("icd10"), 0.025, 5), sql.EXPO, "fit_set <= 0.35 AND fit_counter <= 0.35", FITS))
+def expo_rules_unit_icd10(spark, folder):
+    rules = discover_rules(unit_transactions(spark, folder, "icd10"), 0.025, "expo", fit_threshold=0.35)
+    return show_rules(rules, num("fit_set"), num("fit_counter"))
+
+
+@query(
+    "stay_histogram",
+    sql.query(
+        ADMISSIONS,
+        select="SELECT icu_los AS target, count(*) AS n FROM (SELECT DISTINCT hadm_id, icu_los FROM prepared) d GROUP BY icu_los",
+    ),
+)
+def stay_histogram(spark, folder):
+    stays = clinical.admission_stays(*c.first_database(spark, folder)).select("hadm_id", "icu_los").distinct()
+    return stays.groupBy(F.col("icu_los").alias("target")).agg(F.count(F.lit(1)).alias("n"))
 
 
 # flat tables -------------------------------------------------------------------------------------
@@ -276,6 +312,37 @@ def kl_rules_tagged(spark, folder):
     return show_rules(discover_rules(flat.flat_to_transactions(contracts(spark, folder), "tenure"), 0.05, "kl"))
 
 
+TAGGED_MINED = sql.mined(TAGGED_TX, 0.05, 4)
+
+
+@query("expo_rules_tagged", rules_sql(TAGGED_MINED, sql.EXPO, "fit_set <= 0.3 AND fit_counter <= 0.3", FITS))
+def expo_rules_tagged(spark, folder):
+    transactions = flat.flat_to_transactions(contracts(spark, folder), "tenure")
+    rules = discover_rules(transactions, 0.05, "expo", fit_threshold=0.3)
+    return show_rules(rules, num("fit_set"), num("fit_counter"))
+
+
+@query("mean_rules_tagged", rules_sql(TAGGED_MINED, sql.MEAN, "TRUE", f", {sql.num('z', 'z')}"))
+def mean_rules_tagged(spark, folder):
+    return show_rules(discover_rules(flat.flat_to_transactions(contracts(spark, folder), "tenure"), 0.05, "mean"), num("z"))
+
+
+@query(
+    "marked_items",
+    sql.query(
+        TAGGED,
+        select="SELECT c_mktsegment || '|' || o_orderstatus || '|' || o_orderpriority || '|' || status AS items, "
+        "tenure, count(*) AS n FROM contracts GROUP BY ALL",
+    ),
+)
+def marked_items(spark, folder):
+    """All columns of a tagged row as one array, then only the marked ones."""
+    rows = flat.tag_columns(contracts(spark, folder), "tenure")
+    whole = F.array(*[F.col(column).cast("string") for column in rows.columns])
+    items = F.array_join(keep_marked_items(whole), "|").alias("items")
+    return rows.select(items, "tenure").groupBy("items", "tenure").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     "category_share",
     sql.query(

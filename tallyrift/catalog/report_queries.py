@@ -182,6 +182,13 @@ def target_histogram(spark, folder):
     return report.target_histogram(b.flat_transactions(spark, folder))
 
 
+@query("bootstrap_sweep")
+def bootstrap_sweep(spark, folder):
+    """Random as well: error bars over two supports and two ranks."""
+    split = split_population(b.flat_transactions(spark, folder), 0.05)
+    return report.error_bars(split, "mean", (0.05, 0.1))
+
+
 @query("bootstrap_se")
 def bootstrap_se(spark, folder):
     """Random by nature: checked against a literal resampling loop in the tests."""

@@ -109,4 +109,4 @@ def roll_up(rules: RuleSet, depth: int) -> RuleSet:
         .groupBy("itemset", "target")
         .agg(F.sum("n").alias("n"))
     )
-    return RuleSet(merged, values)
+    return RuleSet(materialize(merged, "rolled"), values)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyrift.operators.histogram import Split
-from tallyrift.operators.matching import RuleSet, best_percent, match, merge, rule_set
+from tallyrift.operators.matching import RuleSet, best_percent, match, merge, roll_up, rule_set
 from tallyrift.plans.discovery import score_rules
 from tallyrift.session import materialize
 
@@ -31,16 +31,23 @@ def rules_at(split: Split, min_support: float, scored: DataFrame | None = None)
 
 
 def match_sweep(
-    left: Split, rights: Sequence[Split], min_supports: Sequence[float], percents: Sequence[float]
+    left: Split,
+    rights: Sequence[Split],
+    min_supports: Sequence[float],
+    percents: Sequence[float],
+    depth: int | None = None,
 ) -> DataFrame:
     """Matched rules for every (min_support, percent). The rule sets of ``rights``
-    are cut to their best share each and merged, later ones winning."""
+    are cut to their best share each and merged, later ones winning. With
+    ``depth`` the codes are shortened first, so related codes match."""
     runs = []
     scores = [score_all(split) for split in (left, *rights)]
     for min_support in min_supports:
         left_rules, *right_rules = (
             rules_at(split, min_support, scored) for split, scored in zip((left, *rights), scores)
         )
+        if depth is not None:
+            left_rules, right_rules = roll_up(left_rules, depth), [roll_up(r, depth) for r in right_rules]
         for percent in percents:
             right = reduce(merge, [best_percent(rules, percent) for rules in right_rules])
             matched = match(best_percent(left_rules, percent), right)

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyrift.functions import stats
+from tallyrift.operators.bootstrap import bootstrap_error
 from tallyrift.operators.histogram import Split, full_histogram
 from tallyrift.operators.itemsets import repeat_rows
+from tallyrift.operators.ranking import top_rules
+from tallyrift.plans.discovery import score_rules
+from tallyrift.session import materialize
 
 
 def rule_histograms(split: Split, rules: DataFrame, ranks: int = 2) -> DataFrame:
@@ -136,5 +144,20 @@ def value_lists(histograms: DataFrame) -> DataFrame:
     return repeat_rows(sides(histograms), "n")
 
 
+def error_bars(
+    split: Split, measure: str, min_supports: Sequence[float], ranks: int = 2, replicates: int = 10_000, seed: int = 42
+) -> DataFrame:
+    """Bootstrap errors of the best ``ranks`` rules at every support, whatever the
+    ``measure`` that ranked them. One table of scores serves all supports."""
+    scored = materialize(score_rules(split, measure).select("set_id", "itemset", "freq", "score"), "scored")
+    parts = []
+    for min_support in min_supports:
+        kept = scored.filter(F.col("freq") >= math.ceil(min_support * split.n))
+        histograms = rule_histograms(split, top_rules(kept, ranks), ranks)
+        errors = bootstrap_error(histograms, replicates, seed)
+        parts.append(errors.select(F.lit(min_support).alias("min_support"), "*"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def target_histogram(transactions: DataFrame) -> DataFrame:
     return transactions.groupBy("target").agg(F.sum("weight").alias("n"))

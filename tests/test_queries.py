@@ -33,7 +33,7 @@ def test_entry(spark):
 
 
 def test_names():
-    assert set(entry_points.oracle_sql()) == set(entry_points.queries()) - {"bootstrap_se"}
+    assert set(entry_points.oracle_sql()) == set(entry_points.queries()) - {"bootstrap_se", "bootstrap_sweep"}
 
 
 @pytest.mark.parametrize("name", NAMES)
