@@ -244,9 +244,9 @@ def unit_transactions(spark, folder, kind):
 FITS = f", {sql.num('fit_set', 'fit_set')}, {sql.num('fit_counter', 'fit_counter')}"
 
 
-@query("expo_rules_unit_icd9", rules_sql(sql.mined(unit_tx("icd9"), 0.025, 5), sql.EXPO, "fit_set <= 0.35 AND fit_counter <= 0.35", FITS))
+@query("expo_rules_unit_icd9", rules_sql(sql.mined(unit_tx("icd9"), 0.025, 5), sql.EXPO, "fit_set <= 0.4 AND fit_counter <= 0.4", FITS))
 def expo_rules_unit_icd9(spark, folder):
-    rules = discover_rules(unit_transactions(spark, folder, "icd9"), 0.025, "expo", fit_threshold=0.35)
+    rules = discover_rules(unit_transactions(spark, folder, "icd9"), 0.025, "expo", fit_threshold=0.4)
     return show_rules(rules, num("fit_set"), num("fit_counter"))
 
 
@@ -255,9 +255,9 @@ def kl_rules_unit_icd10(spark, folder):
     return show_rules(discover_rules(unit_transactions(spark, folder, "icd10"), 0.025, "kl"))
 
 
-@query("expo_rules_unit_icd10", rules_sql(sql.mined(unit_tx("icd10"), 0.025, 5), sql.EXPO, "fit_set <= 0.35 AND fit_counter <= 0.35", FITS))
+@query("expo_rules_unit_icd10", rules_sql(sql.mined(unit_tx("icd10"), 0.025, 5), sql.EXPO, "fit_set <= 0.4 AND fit_counter <= 0.4", FITS))
 def expo_rules_unit_icd10(spark, folder):
-    rules = discover_rules(unit_transactions(spark, folder, "icd10"), 0.025, "expo", fit_threshold=0.35)
+    rules = discover_rules(unit_transactions(spark, folder, "icd10"), 0.025, "expo", fit_threshold=0.4)
     return show_rules(rules, num("fit_set"), num("fit_counter"))
 
 
@@ -315,10 +315,10 @@ def kl_rules_tagged(spark, folder):
 TAGGED_MINED = sql.mined(TAGGED_TX, 0.05, 4)
 
 
-@query("expo_rules_tagged", rules_sql(TAGGED_MINED, sql.EXPO, "fit_set <= 0.3 AND fit_counter <= 0.3", FITS))
+@query("expo_rules_tagged", rules_sql(TAGGED_MINED, sql.EXPO, "fit_set <= 0.35 AND fit_counter <= 0.35", FITS))
 def expo_rules_tagged(spark, folder):
     transactions = flat.flat_to_transactions(contracts(spark, folder), "tenure")
-    rules = discover_rules(transactions, 0.05, "expo", fit_threshold=0.3)
+    rules = discover_rules(transactions, 0.05, "expo", fit_threshold=0.35)
     return show_rules(rules, num("fit_set"), num("fit_counter"))
 
 

@@ -157,11 +157,15 @@ def dist_report_normal(spark, folder):
 
 @query(
     "dist_report_mean",
-    fitted_sql(best(BASKETS, sql.MEAN), "CAST(NULL AS DOUBLE)", "round(ms - mc, 2)"),
+    sql.query(
+        *best(BASKETS, sql.MEAN), LONG,
+        select=f"""SELECT l.rank, l.side, l.target, {sql.num('l.n / m.support', 'rel')}, round(ms - mc, 2) + 0.0 AS annotation
+FROM long l JOIN moments m ON l.rank = m.rank AND l.side = m.side JOIN pairs p ON p.rank = l.rank""",
+    ),
 )
 def dist_report_mean(spark, folder):
     histograms = best_histograms(b.baskets(spark, folder), 0.05, "mean")
-    return show_fitted(report.fitted_distribution(histograms, "mean"))
+    return show_fitted(report.fitted_distribution(histograms, "mean")).drop("mass")
 
 
 @query(
