@@ -20,11 +20,11 @@ from tallyrift.session import materialize
 
 def rule_histograms(split: Split, rules: DataFrame, ranks: int = 2) -> DataFrame:
     """Full histograms of the best ``ranks`` rules: ``rank, itemset, target,
-    n_set, n_counter``."""
+    n_set, n_counter``. Stored, because every report reads them several times."""
     wanted = rules.filter(F.col("rank") <= ranks).select(
         "set_id", "rank", "itemset", (F.col("rank") - 1).cast("bigint").alias("slot")
     )
-    return full_histogram(split, wanted, "slot", ranks).drop("slot", "set_id")
+    return materialize(full_histogram(split, wanted, "slot", ranks).drop("slot", "set_id"), "best")
 
 
 def sides(histograms: DataFrame) -> DataFrame:
