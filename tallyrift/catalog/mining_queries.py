@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from tallyrift.catalog import bindings as b
 from tallyrift.catalog import sql
 from tallyrift.catalog.registry import num, query, show_rules, text

@@ -98,3 +98,25 @@ def test_transactions_from_columns_and_facts(spark):
     assert got == {("A=x", "B=m", "B=n"): 5, ("A=y",): 4}
     whole = spark.createDataFrame([(["Yes_Churn", "12", "No_Phone"],)], "row array<string>")
     assert whole.select(keep_marked_items("row")).first()[0] == ["Yes_Churn", "No_Phone"]
+
+
+def test_item_lookup_with_empty_buckets(spark):
+    items = [f"item{n}" for n in range(40)]
+    hashed = spark.createDataFrame([(i,) for i in items], "i string").select("i", F.xxhash64("i").alias("h")).collect()
+    one = [(row.i, row.h) for row in hashed if row.h % 5 == 2]
+    assert one
+    padded = one + [(f"pad{n}", 2) for n in range(40 - len(one))]  # five buckets, four of them empty
+    lookup = itemsets._item_lookup(padded, {i: n for n, (i, _) in enumerate(padded)})
+    got = spark.createDataFrame([(i,) for i in items], "i string").select("i", lookup(F.col("i")).alias("id")).collect()
+    assert {r.i: r.id for r in got if r.id is not None} == {i: n for n, (i, _) in enumerate(one)}
+
+
+def test_many_items(transactions):
+    draw = random.Random(2)
+    rows = [([f"i{n}" for n in range(150) if draw.random() < 0.03], draw.randint(0, 3)) for _ in range(150)]
+    assert mined(itemsets.frequent_itemsets(transactions(rows), 0.02)) == literal.itemsets(rows, 0.02)
+
+
+def test_no_transactions(transactions):
+    split = split_population(transactions([]), 0.1)
+    assert split.n == 0 and split.itemsets.count() == 0 and split.cells.count() == 0
