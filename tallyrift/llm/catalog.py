@@ -6,9 +6,13 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from tallyrift.llm.common import table, word_count
+from tallyrift.llm.crf import quality_scores
 from tallyrift.llm.mixing import mix, weighted_sources
 from tallyrift.llm.packing import packed
+from tallyrift.llm.perplexity import quality_rules
+from tallyrift.llm.repeats import without_repeats
 from tallyrift.llm.simhash import simhash_groups
+from tallyrift.llm.winnow import edited_fingerprints
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -29,6 +33,11 @@ def op1_simhash(spark, folder):
     return simhash_groups(table(spark, folder, "documents"))
 
 
+@query("op3_winnowing")
+def op3_winnowing(spark, folder):
+    return edited_fingerprints(table(spark, folder, "documents"))
+
+
 @query("op4_mixing")
 def op4_mixing(spark, folder):
     docs = table(spark, folder, "documents")
@@ -41,6 +50,21 @@ def op4_mixing(spark, folder):
     )
 
 
+@query("op5_quality_crf")
+def op5_quality_crf(spark, folder):
+    return quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op7_perplexity_rules")
+def op7_perplexity_rules(spark, folder):
+    return quality_rules(table(spark, folder, "documents"))
+
+
 @query("op9_packing")
 def op9_packing(spark, folder):
     return packed(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op10_repeats")
+def op10_repeats(spark, folder):
+    return without_repeats(table(spark, folder, "documents")).drop("kept")
