@@ -201,10 +201,11 @@ def score_quality(docs: DataFrame, model: Model | None, id_col: str = "doc_id",
     """``keep`` columns (default the id) plus ``score`` and ``predicted`` of every row. A null text is
     one empty line, scored like any line. Without a model every score is 0.5."""
     keep = keep or [id_col]
+    at = keep.index(text) if text in keep else len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs = texts(batch.column(len(keep)))
+            docs = texts(batch.column(at))
             score = np.full(len(docs), 0.5)
             for a, b in slices([len(d) for d in docs]) if model else ():
                 shares, sizes, lines, _ = line_shares(docs[a:b])
@@ -217,7 +218,7 @@ def score_quality(docs: DataFrame, model: Model | None, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays(columns, [*keep, "score", "predicted"])
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, f"{kinds}, score double, predicted int")
+    return docs.select(*keep, *([F.col(text)] if at == len(keep) else [])).mapInArrow(run, f"{kinds}, score double, predicted int")
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
