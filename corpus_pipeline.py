@@ -21,8 +21,9 @@ from tallyrift.session import materialize
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line classifier accepts. Null texts are scored as empty ones."""
-    model = fit(docs, table(spark, sf_dir, "labels"))
-    return score_quality(docs, model, keep=docs.columns).where("predicted = 1").select(docs.columns)
+    model, names = fit(docs, table(spark, sf_dir, "labels")), (fresh("score"), fresh("predicted"))
+    scored = score_quality(docs, model, keep=docs.columns, names=names)
+    return scored.where(F.col(names[1]) == 1).select([f"`{c}`" for c in docs.columns])
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,9 +33,10 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages that also start earlier; a text may become empty."""
-    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    kept = without_repeats(docs, keep=others).withColumn("n_chars", F.length("kept").cast("bigint"))
-    return kept.withColumnRenamed("kept", "text").select(docs.columns)
+    known = {c: fresh("column") for c in docs.columns if c not in ("doc_id", "text", "n_chars")}
+    kept = without_repeats(docs.withColumnsRenamed(known), keep=list(known.values()))
+    text = {"doc_id": F.col("doc_id"), "text": F.col("kept"), "n_chars": F.length("kept").cast("bigint")}
+    return kept.select([text[c].alias(c) if c in text else F.col(known[c]).alias(c) for c in docs.columns])
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,8 +44,9 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     size, times = fresh("size"), fresh("times")
     sized = docs.withColumn(size, word_count(F.col("text")))
     sources = weighted_sources(sized.select("source", size), size)
-    taken = mix(sized, F.array("source"), F.col(size), sources.select("source", F.col("target").alias("quota")))
-    return taken.where("repeats > 0").withColumn(times, F.explode(F.sequence(F.lit(1), "repeats"))).select(docs.columns)
+    taken = mix(sized, F.array("source"), F.col(size), sources.select("source", F.col("target").alias("quota")), name=times)
+    each = F.explode(F.sequence(F.lit(1), F.col(times)))
+    return taken.where(F.col(times) > 0).withColumn(times, each).select([f"`{c}`" for c in docs.columns])
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -197,9 +197,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     return train(np.concatenate([parts[i] for i in order]), lines[order], label_of[order].astype(float))
 
 
-def score_quality(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns (default the id) plus ``score`` and ``predicted`` of every row. A null text is
-    one empty line, scored like any line. Without a model every score is 0.5."""
+def score_quality(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """``keep`` columns (default the id) plus the score and the prediction of every row. A
+    null text is one empty line, scored like any line. Without a model every score is 0.5."""
     keep = keep or [id_col]
     at = keep.index(text) if text in keep else len(keep)
 
@@ -215,14 +215,16 @@ def score_quality(docs: DataFrame, model: Model | None, id_col: str = "doc_id",
                 score[a:b] = np.add.reduceat(good * weight, heads) / np.add.reduceat(weight, heads)
             score = np.clip(score, 0, 1)
             columns = [*batch.columns[: len(keep)], pa.array(score), pa.array((score >= ACCEPTED).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, [*keep, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays(columns, [*keep, *names])
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, *([F.col(text)] if at == len(keep) else [])).mapInArrow(run, f"{kinds}, score double, predicted int")
+    columns = [f"`{c}`" for c in (*keep, text)[: len(keep) + (at == len(keep))]]
+    return docs.select(columns).mapInArrow(run, f"{kinds}, `{names[0]}` double, `{names[1]}` int")
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, held_out, score, predicted``. A null id is in no fold and not held out.
     Repeated rows are scored alike; no rows give no rows."""
-    scored = score_quality(docs.withColumnRenamed(id_col, "doc_id"), fit(docs, labels, id_col, text), "doc_id", text)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
+    scored = score_quality(rows, fit(docs, labels, id_col, text))
     return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", "predicted")

@@ -160,8 +160,8 @@ def _fill(rows: pd.DataFrame) -> pd.DataFrame:
     return rows
 
 
-def mix(docs: DataFrame, members: Column, size: Column, quotas: DataFrame, id_col: str = "doc_id", most: int = 3, seed: int = 7) -> DataFrame:
-    """``docs`` plus ``repeats`` (0 to ``most``): how often the mix takes each row.
+def mix(docs: DataFrame, members: Column, size: Column, quotas: DataFrame, id_col: str = "doc_id", most: int = 3, seed: int = 7, name: str = "repeats") -> DataFrame:
+    """``docs`` plus ``name`` (0 to ``most``): how often the mix takes each row.
 
     ``members`` is the array of sources a row belongs to, ``size`` its words, ``quotas`` has
     ``source, quota`` (a null source is a source of its own). All rows of a pattern are
@@ -169,13 +169,13 @@ def mix(docs: DataFrame, members: Column, size: Column, quotas: DataFrame, id_co
     hash of id and size: whole hash buckets, then first fit inside the bucket where the
     quota ends. Rows without any source, or of a pattern without words, are taken 0 times.
     A null size counts 0. Repeated rows are rows of their own. No rows give no rows."""
-    pattern, words, hashed = fresh("pattern"), "_size", "_hash"
-    rows = docs.withColumns(
-        {
-            pattern: F.transform(F.array_sort(F.transform(F.array_distinct(members), lambda s: F.struct(s.isNull().alias("n"), s.alias("s")))), lambda x: x["s"]),
-            words: F.coalesce(size, F.lit(0)).cast("bigint"),
-        }
-    ).withColumn(hashed, F.xxhash64(F.lit(seed), F.col(id_col), F.col(words)))
+    named = {c: fresh("column") for c in docs.columns}  # no name of the input can clash
+    pattern, words, hashed = "_pattern", "_size", "_hash"
+    rows = docs.select(
+        *(F.col(f"`{c}`").alias(n) for c, n in named.items()),
+        F.transform(F.array_sort(F.transform(F.array_distinct(members), lambda s: F.struct(s.isNull().alias("n"), s.alias("s")))), lambda x: x["s"]).alias(pattern),
+        F.coalesce(size, F.lit(0)).cast("bigint").alias(words),
+    ).withColumn(hashed, F.xxhash64(F.lit(seed), F.col(named[id_col]), F.col(words)))
     patterns = materialize(
         rows.where(F.size(pattern) > 0).groupBy(F.col(pattern).alias("pattern")).agg(F.sum(words).alias("words"), F.count(F.lit(1)).alias("docs")),
         "patterns",
@@ -196,12 +196,13 @@ def mix(docs: DataFrame, members: Column, size: Column, quotas: DataFrame, id_co
     states = materialize(sums.select(F.col(pattern).alias("_p"), F.col("_bucket").alias("_b"), "_left", (F.col("_sum") <= F.col("_left")).alias("_whole")), "buckets")
     dealt = dealt.join(states, (F.col(pattern) == F.col("_p")) & (F.col("_bucket") == F.col("_b")), "left")
     extra = F.when(F.col("_whole"), 1).otherwise(0)
-    repeats = F.least(F.lit(most), F.coalesce("_base", F.lit(0)) + F.col("_more")).cast("int").alias("repeats")
+    repeats = F.least(F.lit(most), F.coalesce("_base", F.lit(0)) + F.col("_more")).cast("int").alias(name)
+    returned = [*(F.col(n).alias(c) for c, n in named.items()), repeats]
     settled = dealt.where(F.col("_whole").isNull() | F.col("_whole")).withColumn("_more", extra)
-    last = dealt.where(~F.col("_whole")).select(*docs.columns, "_base", words, hashed, "_left", pattern)
+    last = dealt.where(~F.col("_whole")).select(*named.values(), "_base", words, hashed, "_left", pattern)
     schema = f"{last.schema.toDDL()}, `_more` int"
     filled = last.groupBy(pattern).applyInPandas(_fill, schema)
-    return settled.select(*docs.columns, repeats).unionByName(filled.select(*docs.columns, repeats))
+    return settled.select(returned).union(filled.select(returned))
 
 
 def weighted_sources(docs: DataFrame, size: str, source: str = "source", most: int = 3) -> DataFrame:
