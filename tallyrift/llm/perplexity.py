@@ -51,27 +51,30 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return code[first], np.add.reduceat(count, first)
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    parts: list[tuple[np.ndarray, np.ndarray]] = []
-    rows = 0
+def _counted(order: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        rows = 0
 
-    def out() -> pa.RecordBatch:
-        code, count = _merged(parts)
-        return pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), pa.array(count)], ["gram", "n"])
+        def out() -> pa.RecordBatch:
+            code, count = _merged(parts)
+            return pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), pa.array(count)], ["gram", "n"])
 
-    for batch in batches:
-        docs = [d for d in texts(batch.column(0)) if d]
-        for a, b in slices([len(d) for d in docs]):
-            parts.append(np.unique(grams(docs[a:b])[0], return_counts=True))
-            rows += len(parts[-1][0])
-            if rows > MERGE_ROWS:
-                parts = [_merged(parts)]
-                rows = len(parts[0][0])
-                if rows > MERGE_ROWS // 2:
-                    yield out()
-                    parts, rows = [], 0
-    if parts:
-        yield out()
+        for batch in batches:
+            docs = [d for d in texts(batch.column(0)) if d]
+            for a, b in slices([len(d) for d in docs]):
+                parts.append(np.unique(grams(docs[a:b], order)[0], return_counts=True))
+                rows += len(parts[-1][0])
+                if rows > MERGE_ROWS:
+                    parts = [_merged(parts)]
+                    rows = len(parts[0][0])
+                    if rows > MERGE_ROWS // 2:
+                        yield out()
+                        parts, rows = [], 0
+        if parts:
+            yield out()
+
+    return run
 
 
 def _discounts(level: DataFrame) -> tuple[float, float, float]:
@@ -87,7 +90,7 @@ def _discounts(level: DataFrame) -> tuple[float, float, float]:
 def kneser_ney(docs: DataFrame, text: str = "text", order: int = ORDER) -> list[DataFrame]:
     """``gram, n, logp, bow`` for the orders 1 to ``order``: interpolated log probability of
     the last byte after the others, and the weight that shorter n-grams get after this one."""
-    levels = [materialize(docs.select(text).mapInArrow(_counted, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")), "grams")]
+    levels = [materialize(docs.select(text).mapInArrow(_counted(order), "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")), "grams")]
     for size in range(order - 1, 0, -1):
         shorter = F.col("gram").bitwiseAND(F.lit((1 << 8 * size) - 1))
         levels.append(materialize(levels[-1].groupBy(shorter.alias("gram")).agg(F.count(F.lit(1)).alias("n")), "grams"))
@@ -144,6 +147,9 @@ class Scorer:
         self.arrays, self.bits = arrays, bits
         self.top = np.full(1 << bits, np.nan, np.float32)
         self.top[arrays[-1][0]] = arrays[-1][1]
+        unseen = 256 - len(arrays[0][0])  # bytes that share what the seen ones leave
+        rest = 1 - np.exp(arrays[0][1].astype(np.float64)).sum()
+        self.floor = np.log(max(rest, 1e-9) / max(unseen, 1))
 
     def _find(self, size: int, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         slots = self.arrays[size - 1][0]
@@ -156,7 +162,7 @@ class Scorer:
         missing = np.flatnonzero(np.isnan(value))
         if len(missing):
             rest, back = code[missing], np.zeros(len(missing), np.float32)
-            value[missing] = -8 * np.log(2.0)
+            value[missing] = self.floor
             todo = np.arange(len(missing))
             for size in range(len(self.arrays) - 1, 0, -1):
                 place, known = self._find(size, rest[todo] >> np.uint64(8))
@@ -212,7 +218,7 @@ def score_documents(docs: DataFrame, arrays: list, id_col: str = "doc_id", text:
             surprise = np.full(len(docs), np.nan)
             for a, b in slices([len(docs[i]) for i in full]):
                 rows, part = full[a:b], [docs[i] for i in full[a:b]]
-                code, starts = grams(part)
+                code, starts = grams(part, len(scorer.arrays))
                 data = np.frombuffer(b"".join(part), np.uint8)
                 chars[rows] = np.add.reduceat(LETTERS[data], starts)
                 symbols[rows] = np.add.reduceat(SYMBOLS[data], starts)

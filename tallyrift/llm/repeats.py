@@ -321,19 +321,23 @@ def _sorted_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield _removals(doc[member[at]], version[member[at]].astype(np.int64), place[at], place[at] + length)
 
 
-def _versions(rows: DataFrame) -> DataFrame:
-    """``rows`` (``doc_id, text`` and more) plus ``_id`` and ``version``. Rows that repeat id
-    and text are one document and get one result each; texts that share an id are told apart
-    by their version, in the order of their hashes. A null id comes last."""
+def _versions(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` (``doc_id, text`` and more) plus ``_id`` and ``version``, and each pair of the
+    two once. Rows that repeat id and text are one document and get one result each; texts
+    that share an id are told apart by their version, in the order of their hashes. A null
+    id comes last."""
     rows = rows.withColumn("_id", F.coalesce("doc_id", F.lit(LAST_ID)))
     twice = materialize(rows.groupBy("_id").count().where("count > 1").select("_id"), "twice")
     if twice.isEmpty():
-        return rows.withColumn("version", F.lit(0))
+        rows = rows.withColumn("version", F.lit(0))
+        return rows, rows
     hashed = rows.withColumn("_hash", F.xxhash64("text"))
     order = Window.partitionBy("_id").orderBy("_hash")
     known = hashed.join(twice, "_id", "left_semi").select("_id", "_hash").distinct()
     known = materialize(known.withColumn("version", F.row_number().over(order) - 1), "versions")
-    return hashed.join(known, ["_id", "_hash"], "left").withColumn("version", F.coalesce("version", F.lit(0))).drop("_hash")
+    rows = hashed.join(known, ["_id", "_hash"], "left").withColumn("version", F.coalesce("version", F.lit(0))).drop("_hash")
+    repeated = rows.join(twice, "_id", "left_semi").dropDuplicates(["_id", "version"])
+    return rows, rows.join(twice, "_id", "left_anti").unionByName(repeated)
 
 
 def repeat_intervals(rows: DataFrame) -> DataFrame:
@@ -395,8 +399,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     named in ``keep``. Null texts are empty. Rows that repeat id and text are one document
     and share its result; a null id comes after all others. No rows give no rows."""
     named = {c: fresh("kept") for c in keep or ()}
-    rows = _versions(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).alias("text"), *(F.col(c).alias(n) for c, n in named.items())))
-    found = repeat_intervals(rows.select(F.col("_id").alias("doc_id"), "version", "text"))
+    rows, single = _versions(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).alias("text"), *(F.col(c).alias(n) for c, n in named.items())))
+    found = repeat_intervals(single.select(F.col("_id").alias("doc_id"), "version", "text"))
     spans = found.groupBy(F.col("doc_id").alias("_id"), "version").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     body = rows.join(spans, ["_id", "version"], "left").select("doc_id", *named.values(), "text", "spans")
     passed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in body.schema.fields[:-2])

@@ -9,6 +9,7 @@ from collections import defaultdict
 
 import duckdb
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import xxhash
@@ -674,5 +675,5 @@ def test_queries_are_registered(spark):
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{folder}/pages.parquet'")
     got = entry_points.queries()["op8_revisits"](spark, folder).toPandas()
     want = con.execute(entry_points.oracle_sql()["op8_revisits"]).df()[list(got.columns)]
-    clean = lambda f: sorted(tuple("-" if v is None or v != v else str(int(v) if isinstance(v, float) else v) for v in r) for r in f.itertuples(index=False))
+    clean = lambda f: sorted(tuple("-" if pd.isna(v) else str(int(v) if isinstance(v, float) else v) for v in r) for r in f.itertuples(index=False))
     assert clean(got) == clean(want)
