@@ -2,10 +2,10 @@
 
 A string of LENGTH bytes is removed wherever it also starts earlier. All strings of a corpus
 cannot be sorted together, so equal ones are first brought together: every string selects its
-smallest 32-byte gram as anchor, equal strings select equal anchors, and every string lies in
-the fragment around its anchor. Equal fragments of an anchor are settled by their hashes: all
-but the first are repeats. Different fragments of one anchor may still share strings; they
-are sorted as suffixes, and a stack scan over the common-prefix lengths lists the intervals
+smallest 32-byte gram as anchor, equal strings select equal anchors, and all strings in a row
+that select one anchor make its fragment. Equal fragments of an anchor are settled by their hashes: all
+but the first are repeats. Different fragments of one anchor may still share strings; those
+that do, by the hashes of their strings, are sorted as suffixes, and a stack scan over the common-prefix lengths lists the intervals
 of LENGTH or more whose members differ to the left: the maximal repeats, each with all its
 occurrences. All but the first occurrence go."""
 
@@ -26,7 +26,7 @@ from tallyrift.session import materialize
 LENGTH, GRAM = 100, 32
 REACH = LENGTH - GRAM  # bytes of a string before its anchor at most
 HALF = REACH // 2
-GROUP_ROWS, SORTED_ROWS = 5000, 6000
+GROUP_ROWS, SORTED_ROWS = 3000, 3000
 LAST_ID = (1 << 63) - 1
 ROW = "doc_id bigint, version int, start bigint, stop bigint"
 
@@ -60,11 +60,12 @@ def _slide(values: np.ndarray, width: int, pick) -> np.ndarray:
 
 
 def anchors(docs: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Anchors of texts: row, place, hash of the gram, hash of the fragment around it."""
+    """Anchors of texts: row, start of the fragment, its shape (bytes before the anchor * 256
+    + all its bytes), hash of the gram, hash of the fragment."""
     sizes = np.array([len(d) for d in docs])
     keep = np.flatnonzero(sizes >= LENGTH)
     if not len(keep):
-        return (np.empty(0, np.int64),) * 2 + (np.empty(0, np.uint64),) * 2
+        return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),) * 2
     data = np.frombuffer(b"".join(docs[i] for i in keep), np.uint8)
     ends = np.cumsum(sizes[keep])
     starts = ends - sizes[keep]
@@ -77,13 +78,19 @@ def anchors(docs: list[bytes]) -> tuple[np.ndarray, ...]:
         lowest[end - LENGTH + 1 : end] = 0  # strings that would cross into the next text
     padded = np.concatenate((np.zeros(REACH, np.uint64), lowest, np.zeros(REACH, np.uint64)))
     place = np.flatnonzero(_slide(padded, REACH + 1, np.maximum) == h)
+    key = h[place]
+    first, last = np.zeros(len(place), np.int64), np.full(len(place), -1)
+    for back in range(REACH + 1):  # strings that start so far before the anchor and select it
+        chosen = padded[place + (REACH - back)] == key
+        first[chosen] = back
+        last[chosen & (last < 0)] = back
     row = np.searchsorted(starts, place, "right") - 1
-    left = np.maximum(starts[row], place - REACH)
-    right = np.minimum(ends[row], place + LENGTH)
+    left, right = place - first, place - last + LENGTH
     fragment = long[left] * C1 + long[np.minimum(left + 2 * GRAM, right - 2 * GRAM)]
     fragment = _mix(fragment) * C1 + long[right - 2 * GRAM]
-    fragment = _mix(fragment + (place - left).astype(np.uint64) * C2 + (right - left).astype(np.uint64))
-    return keep[row], place - starts[row], h[place], fragment
+    shape = first * 256 + right - left
+    fragment = _mix(fragment + shape.astype(np.uint64) * C2)
+    return keep[row], left - starts[row], shape, key, fragment
 
 
 def _merge(doc: np.ndarray, version: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -107,11 +114,6 @@ def _removals(doc, version, start, stop) -> pa.RecordBatch:
     )
 
 
-def _around(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Fragment of an anchor; its end is cut at the end of the text later."""
-    return np.maximum(place - REACH, 0), place + LENGTH
-
-
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Anchors of every text. Of equal fragments in one batch only the first goes on; the
     others are repeats already and leave as intervals, so a passage that everybody has
@@ -125,17 +127,16 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found.append((row + a, *rest))
         if not found:
             continue
-        row, place, key, fragment = (np.concatenate(x) for x in zip(*found))
+        row, start, shape, key, fragment = (np.concatenate(x) for x in zip(*found))
         both = _mix(key + fragment * C1)
         order = np.argsort(both)
         same = both[order[1:]] == both[order[:-1]]
         twin = order[np.concatenate((same, [False])) | np.concatenate(([False], same))] if len(order) else order
-        twin = twin[np.lexsort((place[twin], versions[row[twin]], ids[row[twin]], fragment[twin], key[twin]))]
+        twin = twin[np.lexsort((start[twin], versions[row[twin]], ids[row[twin]], fragment[twin], key[twin]))]
         later = twin[1:][(key[twin[1:]] == key[twin[:-1]]) & (fragment[twin[1:]] == fragment[twin[:-1]])]
         first = np.ones(len(row), bool)
         first[later] = False
-        start, stop = _around(place[later])
-        doc, version, start, stop = _merge(ids[row[later]], versions[row[later]], start, stop)
+        doc, version, gone, stop = _merge(ids[row[later]], versions[row[later]], start[later], start[later] + shape[later] % 256)
         row, none = row[first], len(doc)
         yield pa.RecordBatch.from_arrays(
             [
@@ -143,57 +144,57 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.concat_arrays([pa.array(fragment[first].view(np.int64)), pa.nulls(none, pa.int64())]),
                 pa.array(np.concatenate((ids[row], doc))),
                 pa.array(np.concatenate((versions[row], version)), pa.int32()),
-                pa.array(np.concatenate((place[first], start))),
+                pa.array(np.concatenate((start[first], gone))),
                 pa.concat_arrays([pa.nulls(len(row), pa.int64()), pa.array(stop)]),
+                pa.concat_arrays([pa.array(shape[first], pa.int32()), pa.nulls(none, pa.int32())]),
             ],
-            ["key", "fragment", "doc_id", "version", "start", "stop"],
+            ["key", "fragment", "doc_id", "version", "start", "stop", "shape"],
         )
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (anchor, fragment, document, place): later rows of a fragment are
+    """Rows sorted by (anchor, fragment, document, start): later rows of a fragment are
     repeats (``stop`` is set); first rows of an anchor with several fragments are open
-    (``stop`` is null). Only the last first row is held, to learn what follows it."""
-    held = None  # key, fragment, doc, version, place and whether its key came before
-    names = ["key", "doc_id", "version", "start", "stop"]
+    (``shape`` is set). Only the last first row is held, to learn what follows it."""
+    held = None  # key, fragment, doc, version, start, shape and whether its key came before
 
-    def rows(key, doc, version, start, stop) -> pa.RecordBatch:
+    def rows(doc, version, start, stop=None, shape=None) -> pa.RecordBatch:
         size = len(doc)
         return pa.RecordBatch.from_arrays(
             [
-                pa.nulls(size, pa.int64()) if key is None else pa.array(key),
                 pa.array(doc), pa.array(version, pa.int32()), pa.array(start),
                 pa.nulls(size, pa.int64()) if stop is None else pa.array(stop),
+                pa.nulls(size, pa.int32()) if shape is None else pa.array(shape, pa.int32()),
             ],
-            names,
+            ["doc_id", "version", "start", "stop", "shape"],
         )
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        key, fragment, doc, version, place = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
+        key, fragment, doc, version, start, shape = columns
         new = np.concatenate(([True], (key[1:] != key[:-1]) | (fragment[1:] != fragment[:-1])))
         if held is not None and held[0] == key[0] and held[1] == fragment[0]:
             new[0] = False
         later = ~new
         if later.any():
-            start, stop = _around(place[later])
-            yield rows(None, *_merge(doc[later], version[later].astype(np.int64), start, stop))
+            yield rows(*_merge(doc[later], version[later].astype(np.int64), start[later], start[later] + shape[later] % 256))
         if not new.any():
             continue
-        firsts = [x[new] for x in (key, fragment, doc, version.astype(np.int64), place)]
+        firsts = [x[new].astype(np.int64) for x in columns]
         before = False
         if held is not None:
-            firsts = [np.concatenate(([h], x)) for h, x in zip(held[:5], firsts)]
-            before = held[5]
+            firsts = [np.concatenate(([h], x)) for h, x in zip(held[:6], firsts)]
+            before = held[6]
         same = firsts[0][1:] == firsts[0][:-1]
         several = np.concatenate(([before], same)) | np.concatenate((same, [False]))
         several[-1] = False
         held = [*(x[-1] for x in firsts), bool(same[-1]) if len(same) else before]
         if several.any():
-            yield rows(firsts[0][several], firsts[2][several], firsts[3][several], firsts[4][several], None)
-    if held is not None and held[5]:
-        yield rows([held[0]], [held[2]], [held[3]], [held[4]], None)
+            yield rows(*(x[several] for x in firsts[2:5]), shape=firsts[5][several])
+    if held is not None and held[6]:
+        yield rows([held[2]], [held[3]], [held[4]], shape=[held[5]])
 
 
 def _fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,10 +204,9 @@ def _fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc, version, docs = batch.column(0), batch.column(1), texts(batch.column(2))
         found: list[tuple] = []
         for row, (text, places) in enumerate(zip(docs, batch.column(3).to_pylist())):
-            for place in places or ():
-                start = max(0, place - REACH)
-                data = text[start : place + LENGTH]
-                at = place - start
+            for start, shape in ((p["start"], p["shape"]) for p in places or ()):
+                at, size = divmod(shape, 256)
+                data = text[start : start + size]
                 if at >= HALF:
                     found.append((b"<" + data[at - HALF : at + GRAM], row, start, data))
                 if len(data) - at >= GRAM + HALF:
@@ -223,45 +223,49 @@ def _fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 class SuffixArray:
     """Suffixes of at least ``least`` bytes of several fragments, sorted, with the lengths of
-    the common prefixes of neighbours. Suffixes end with their fragment."""
+    the common prefixes of neighbours. Suffixes end with their fragment. With ``repeated``
+    those whose first ``least`` bytes are nowhere else (by hash) are left out."""
 
-    def __init__(self, data: list[bytes], least: int = LENGTH):
+    def __init__(self, data: list[bytes], least: int = LENGTH, repeated: bool = False):
         sizes = np.array([len(d) for d in data])
         ends = np.cumsum(sizes)
-        size = int(ends[-1]) if len(ends) else 0
-        self.text = np.frombuffer(b"".join(data), np.uint8)
-        self.fragment = np.repeat(np.arange(len(data)), sizes)
+        # bytes from 1 on, so that zero stands for the end; 255 never occurs in UTF-8
+        text = np.frombuffer(b"".join(data) + bytes(int(sizes.max(initial=0))), np.uint8) + np.uint8(1)
         self.begin = ends - sizes
-        remain = ends[self.fragment] - np.arange(size)
-        longest = int(sizes.max()) if len(sizes) else 0
-        pad = 1
-        while pad < longest:
-            pad *= 2
-        ranks, step = [self.text.astype(np.int64) + 1], 1
-        while step < longest:
-            rank = ranks[-1]
-            after = np.zeros(size, np.int64)
-            inside = remain > step
-            after[inside] = rank[np.flatnonzero(inside) + step]
-            joint = rank * (int(rank.max()) + 1) + after
-            # up to 4 bytes the pairs are small enough to serve as ranks themselves
-            ranks.append(joint if step < 4 else np.unique(joint, return_inverse=True)[1] + 1)
-            step *= 2
+        self.fragment = np.repeat(np.arange(len(data)), sizes)
+        remain = ends[self.fragment] - np.arange(len(self.fragment))
         starts = np.flatnonzero(remain >= least)
-        self.suffix = starts[np.argsort(ranks[-1][starts], kind="stable")]
-        a, b = self.suffix[:-1], self.suffix[1:]
-        most = np.minimum(remain[a], remain[b])
-        common = np.zeros(len(a), np.int64)
-        for level in range(len(ranks) - 1, -1, -1):
-            go = common + (1 << level) <= most
-            x, y = a[go] + common[go], b[go] + common[go]
-            equal = ranks[level][x] == ranks[level][y]
-            common[np.flatnonzero(go)[equal]] += 1 << level
-        self.common = common
-        before = self.text[self.suffix - 1].astype(np.int64)
+        starts = starts[self._again(text, starts, least)] if repeated else starts
+        width = int(sizes.max(initial=1))
+        left = remain[starts]
+        suffixes = text[starts[:, None] + np.arange(width)]
+        suffixes[np.arange(width) >= left[:, None]] = 0
+        order = np.argsort(np.ascontiguousarray(suffixes).view(f"S{width}").ravel(), kind="stable") if len(starts) else starts
+        self.suffix = starts[order]
+        suffixes = suffixes[order]
+        differs = suffixes[1:] != suffixes[:-1]
+        common = np.where(differs.any(1), differs.argmax(1), width) if len(starts) else starts
+        left = left[order]
+        self.common = np.minimum(common, np.minimum(left[1:], left[:-1])) if len(starts) else starts
+        before = text[self.suffix - 1].astype(np.int64)
         at_start = self.suffix == self.begin[self.fragment[self.suffix]]
         self.before = np.where(at_start, -1 - np.arange(len(self.suffix)), before)  # unknown differs from all
 
+    @staticmethod
+    def _again(text: np.ndarray, starts: np.ndarray, least: int) -> np.ndarray:
+        """Which strings of ``least`` bytes at ``starts`` are there twice."""
+        h, step = text.astype(np.uint64) * C1, 1
+        while 2 * step <= least:
+            h = _double(h, step)
+            step *= 2
+        both = _mix(h[starts] * C1 + h[starts + least - step])
+        order = np.argsort(both)
+        same = both[order[1:]] == both[order[:-1]]
+        twice = np.zeros(len(starts), bool)
+        twice[order[1:][same]] = True
+        twice[order[:-1][same]] = True
+        return twice
+
     def maximal_repeats(self, least: int = LENGTH) -> Iterator[tuple[int, int, int]]:
         """``length, first, last`` (places in ``suffix``) of every interval of the common
         prefix tree with at least ``least`` bytes whose members differ to the left."""
@@ -299,7 +303,7 @@ def _sorted_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         if not rows.num_rows:
             continue
         doc, version, begin = (rows.column(c).to_numpy() for c in ("doc_id", "version", "start"))
-        array = SuffixArray(rows.column("data").to_pylist())
+        array = SuffixArray(rows.column("data").to_pylist(), repeated=True)
         member = array.fragment[array.suffix]
         place = begin[member] + array.suffix - array.begin[member]
         order = np.empty(len(place), np.int64)
@@ -343,12 +347,12 @@ def _versions(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 def repeat_intervals(rows: DataFrame) -> DataFrame:
     """``doc_id, version, start, stop`` of removed bytes; intervals may overlap and end
     behind the text. ``rows`` has ``doc_id, version, text``."""
-    found = rows.mapInArrow(_anchor_rows, "key bigint, fragment bigint, doc_id bigint, version int, start bigint, stop bigint")
+    found = rows.mapInArrow(_anchor_rows, f"key bigint, fragment bigint, {ROW}, shape int")
     found = materialize(found, "anchors")
     anchor = found.where("key is not null").drop("stop").repartition("key")
     anchor = anchor.sortWithinPartitions("key", "fragment", "doc_id", "version", "start")
-    settled = materialize(anchor.mapInArrow(_settle, f"key bigint, {ROW}"), "settled")
-    asked = settled.where("stop is null").groupBy("doc_id", "version").agg(F.collect_set("start").alias("places"))
+    settled = materialize(anchor.mapInArrow(_settle, f"{ROW}, shape int"), "settled")
+    asked = settled.where("stop is null").groupBy("doc_id", "version").agg(F.collect_set(F.struct("start", "shape")).alias("places"))
     with_text = rows.join(asked, ["doc_id", "version"]).select("doc_id", "version", "text", "places")
     pieces = with_text.mapInArrow(_fragments, "key bigint, doc_id bigint, version int, start bigint, data binary")
     pieces = materialize(pieces, "fragments")
