@@ -1,14 +1,15 @@
 """Frequent itemsets over weighted transactions.
 
 Items are replaced by their rank in ascending frequency, so the first id of a
-sorted itemset is its rarest item. That item, the *anchor*, is the equi-join key
-of every containment test: a transaction meets only itemsets whose rarest item
-it holds, and a bit mask comparison decides the rest inside generated code."""
+sorted itemset is its rarest item. Pairs are listed inside each transaction. A
+larger itemset is met through its two rarest items: they are the equi-join key of
+every containment test, and a bit mask comparison decides the rest inside
+generated code. A single item needs no test at all."""
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 import pyarrow as pa
@@ -17,13 +18,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyrift.operators.ranking import number_rows
-from tallyrift.session import local_table, materialize
+from tallyrift.session import local_table, materialize, plain_unions
 
 BITS = 62
 MASK_WORDS = 64
 BROADCAST_BYTES = 64 * 1024 * 1024
 ROWS_PER_SLICE = 2_000_000
 LOCAL_SETS = 10_000
+LITERAL_ITEMS = 200
 IDS = {"ids": pa.list_(pa.int32())}
 
 
@@ -33,8 +35,8 @@ class Encoded:
 
     rows: DataFrame  # ids array<int>, target, weight, w0..wN
     totals: DataFrame  # target, n_tot
-    names: list[str]  # item of every id, rarest first
-    counts: list[int]  # support of every id
+    items: DataFrame  # id, item, freq; ids from 0, rarest first
+    width: int  # number of items
     n: int
     min_support: float
 
@@ -44,7 +46,7 @@ class Encoded:
 
     @property
     def words(self) -> int:
-        return _mask_words(len(self.names))
+        return _mask_words(self.width)
 
 
 def _mask_words(items: int) -> int:
@@ -83,86 +85,113 @@ def _item_lookup(items: list[tuple[str, int]], ids: dict[str, int]):
     return lookup
 
 
+def _ids_by_lookup(source: DataFrame, items: DataFrame) -> DataFrame:
+    """Items replaced by ids with a literal dictionary; for few items."""
+    known = items.select("id", "item", F.xxhash64("item").alias("hashed")).collect()
+    lookup = _item_lookup([(r.item, r.hashed) for r in known], {r.item: r.id for r in known})
+    ids = F.array_sort(F.array_compact(F.transform(F.array_compact(F.array_distinct("items")), lookup)))
+    return source.select((ids if known else F.array().cast("array<int>")).alias("ids"), "target", "weight")
+
+
+def _ids_by_join(source: DataFrame, items: DataFrame) -> DataFrame:
+    """Items replaced by ids by meeting the dictionary; rows are put together again by a
+    number that lives inside this one plan."""
+    numbered = source.select(
+        F.monotonically_increasing_id().alias("_row"), "target", "weight", F.explode_outer(F.array_distinct("items")).alias("item")
+    )
+    return (
+        numbered.join(items.select("id", "item"), "item", "left")
+        .groupBy("_row", "target", "weight")
+        .agg(F.array_sort(F.collect_list("id")).alias("ids"))
+        .select("ids", "target", "weight")
+    )
+
+
 def encode(transactions: DataFrame, min_support: float) -> Encoded:
     """Drop infrequent items, number the others and merge equal transactions.
 
-    The item dictionary is the only thing fetched: a frequent item fills at
-    least ``min_support`` of the transactions, so there are at most
-    (mean transaction length / min_support) of them."""
+    The item dictionary is a table. Up to LITERAL_ITEMS frequent items it becomes a
+    literal of the plan, beyond that the items meet it in a join; nothing of it is
+    fetched then. Both give the same ids."""
     source = materialize(transactions.select("items", "target", "weight"), "transactions")
-    items = F.array_compact(F.array_distinct("items"))
-    n = F.greatest(source.agg(F.sum("weight")).scalar(), F.lit(0))
-    least = F.greatest(F.ceil(F.lit(float(min_support)) * n), F.lit(1))
-    # one extra null per transaction counts the transactions in the same pass
+    distinct = F.array_compact(F.array_distinct("items"))
+    n = source.agg(F.sum("weight")).first()[0] or 0
+    least = max(math.ceil(min_support * n), 1)
     counted = (
-        source.select(F.explode(F.array_append(items, F.lit(None))).alias("item"), "weight")
+        source.select(F.explode(distinct).alias("item"), "weight")
         .groupBy("item")
         .agg(F.sum("weight").alias("freq"))
-        .filter(F.col("item").isNull() | (F.col("freq") >= least))
-        .select("item", "freq", F.xxhash64("item").alias("hashed"))
-        .collect()
+        .filter(F.col("freq") >= least)
     )
-    n = sum(row.freq for row in counted if row.item is None)
-    frequent = [row for row in counted if row.item is not None]
-    frequent.sort(key=lambda row: (row.freq, row.item))
-    names = [row.item for row in frequent]
-    lookup = _item_lookup([(r.item, r.hashed) for r in frequent], {x: i for i, x in enumerate(names)})
-    ids = F.array_sort(F.array_compact(F.transform(items, lookup)))
-    merged = (
-        source.select((ids if names else F.array().cast("array<int>")).alias("ids"), "target", "weight")
-        .groupBy("ids", "target")
-        .agg(F.sum("weight").alias("weight"))
-    )
-    rows = materialize(merged.select("*", *_masks("ids", _mask_words(len(names)), "w")), "encoded")
+    counted = materialize(counted, "frequent")
+    width = counted.count()
+    numbered = number_rows(counted, [F.col("freq"), F.col("item")], "id", width)
+    items = materialize(numbered.select(F.col("id").cast("int"), "item", "freq"), "items")
+    encoded = (_ids_by_lookup if width <= LITERAL_ITEMS else _ids_by_join)(source, items)
+    merged = encoded.groupBy("ids", "target").agg(F.sum("weight").alias("weight"))
+    rows = materialize(merged.select("*", *_masks("ids", _mask_words(width), "w")), "encoded")
     totals = materialize(rows.groupBy("target").agg(F.sum("weight").alias("n_tot")), "totals")
-    return Encoded(rows, totals, names, [row.freq for row in frequent], n, min_support)
+    return Encoded(rows, totals, items, width, n, min_support)
+
+
+def _held_pairs(rows: DataFrame, *columns: str) -> DataFrame:
+    """Every pair of items of a transaction, rarer item first, with ``columns``. Two
+    explosions, so that no row ever holds all its pairs."""
+    firsts = rows.select("ids", *columns, F.posexplode("ids").alias("_at", "rare"))
+    rest = F.slice("ids", F.col("_at") + 2, F.size("ids"))
+    return firsts.select(*columns, "rare", F.explode(rest).alias("second"))
 
 
 def containing(encoded: Encoded, sets: DataFrame, key: str, count: int) -> DataFrame:
     """Every (key, target, weight) where the transaction holds the itemset.
 
-    ``sets`` has ``key`` and sorted ``ids``, at most ``count`` rows. While they
-    fit ``BROADCAST_BYTES`` they are broadcast and the transactions do not move.
-    Beyond that both sides shuffle on the anchor, cut into slices by the anchor's
-    known support, so that no key carries much more than ``ROWS_PER_SLICE``
-    transactions."""
-    small = count * (64 + 8 * (encoded.words or len(encoded.names))) <= BROADCAST_BYTES
-    keyed = sets.select(
-        F.col(key),
-        F.col("ids").alias("wanted"),
-        F.get("ids", F.lit(0)).alias("anchor"),
-        *_masks("ids", encoded.words, "m"),
-    )
+    ``sets`` has ``key`` and sorted ``ids``, at most ``count`` rows. A single item
+    meets itself; a larger set meets the transactions that hold its two rarest
+    items. While the sets fit ``BROADCAST_BYTES`` they are broadcast and the
+    transactions do not move. Beyond that both sides shuffle on the join key, cut
+    into slices by the support of the rarer item, so that no key carries much more
+    than ``ROWS_PER_SLICE`` transactions."""
+    small = count * (64 + 8 * (encoded.words or encoded.width)) <= BROADCAST_BYTES
     masks = [f"w{i}" for i in range(encoded.words)]
-    exploded = encoded.rows.select(
-        "target",
-        "weight",
-        *(masks or [F.col("ids").alias("held")]),
-        F.explode("ids").alias("anchor"),
-        *([] if small else [F.xxhash64("ids", "target").alias("_hash")]),
+    rare, second = F.get("ids", F.lit(0)).alias("rare"), F.get("ids", F.lit(1)).alias("second")
+    single = sets.filter(F.size("ids") == 1).select(key, rare)
+    larger = sets.filter(F.size("ids") > 1).select(
+        key, rare, second, *([] if masks else [F.col("ids").alias("wanted")]), *_masks("ids", encoded.words, "m")
     )
-    if encoded.words:
+    spread = F.xxhash64("ids", "target").alias("_hash")
+    rows = encoded.rows.withColumn("held", F.col("ids")) if not masks else encoded.rows
+    carried = ["target", "weight", *(masks or ["held"])]
+    ones = encoded.rows.select("target", "weight", spread, F.explode("ids").alias("rare"))
+    pairs = _held_pairs(rows.withColumn("_hash", spread), *carried, "_hash")
+    if small:
+        met = ones.join(F.broadcast(single), "rare")
+        joined = pairs.join(F.broadcast(larger), ["rare", "second"])
+    else:
+        # one row per item with more than ROWS_PER_SLICE transactions
+        hot = encoded.items.filter(F.col("freq") > ROWS_PER_SLICE).select(
+            F.col("id").alias("rare"), F.ceil(F.col("freq") / ROWS_PER_SLICE).cast("int").alias("_cut")
+        )
+        cut = F.coalesce("_cut", F.lit(1))
+
+        def sliced(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+            left = left.join(F.broadcast(hot), "rare", "left").withColumn("_slice", F.pmod("_hash", cut).cast("int")).drop("_cut")
+            right = right.join(F.broadcast(hot), "rare", "left").withColumn("_slice", F.explode(F.sequence(F.lit(0), cut - 1))).drop("_cut")
+            return left.join(right, [*on, "_slice"])
+
+        met, joined = sliced(ones, single, ["rare"]), sliced(pairs, larger, ["rare", "second"])
+    if masks:
         holds = F.lit(True)
         for i in range(encoded.words):
             holds = holds & (F.col(f"w{i}").bitwiseAND(F.col(f"m{i}")) == F.col(f"m{i}"))
     else:
         holds = F.size(F.array_except("wanted", "held")) == 0
-    if small:
-        joined = exploded.join(F.broadcast(keyed), "anchor")
-    else:
-        slices = F.array(*[F.lit(-(-support // ROWS_PER_SLICE)) for support in encoded.counts])
-        cut = F.get(slices, F.col("anchor"))
-        left = exploded.withColumn("_slice", F.pmod("_hash", cut.cast("bigint")).cast("int"))
-        right = keyed.withColumn("_slice", F.explode(F.sequence(F.lit(0), cut - 1)))
-        joined = left.join(right, ["anchor", "_slice"])
-    return joined.filter(holds).select(key, "target", "weight")
+    columns = [key, "target", "weight"]
+    return plain_union(met.select(columns), joined.filter(holds).select(columns))
 
 
-def _pairs(encoded: Encoded) -> DataFrame:
-    """All two-item candidates: ids are 0..N-1, so they can be enumerated."""
-    later = encoded.rows.sparkSession.range(1, len(encoded.names)).select(F.col("id").cast("int").alias("later"))
-    both = later.select(F.explode(F.sequence(F.lit(0), F.col("later") - 1)).alias("first"), "later")
-    return both.select(F.array("first", "later").alias("ids"))
+def plain_union(first: DataFrame, second: DataFrame) -> DataFrame:
+    plain_unions(first.sparkSession)
+    return first.unionByName(second)
 
 
 def _extend(level: DataFrame, size: int) -> DataFrame:
@@ -201,33 +230,47 @@ def _ahead(frequent: list[tuple[int, ...]], room: int, sizes: int) -> list[tuple
     return found
 
 
+def _active(rows: DataFrame, sets: list[tuple[int, ...]], size: int, width: int) -> DataFrame:
+    """Transactions without items that no frequent itemset of ``size`` holds, as far as they
+    can still hold a larger one. ``sets`` is small enough to be a literal."""
+    used = sorted({i for ids in sets for i in ids})
+    if len(used) < width and len(used) <= LITERAL_ITEMS:
+        known = F.array(*[F.lit(i) for i in used]).cast("array<int>")
+        rows = rows.withColumn("ids", F.array_intersect("ids", known))
+    return rows.filter(F.size("ids") > size)
+
+
 def _level_wise(encoded: Encoded) -> list[tuple[DataFrame, int]]:
     """Frequent itemsets ``ids, freq``, with their number, in counting passes over the merged
-    transactions: first all pairs, then as many sizes at once as give at most
-    ``LOCAL_SETS`` candidates. Counts combine on the map side, so no task ever
+    transactions: pairs are listed inside the transactions, then as many sizes at once as
+    give at most ``LOCAL_SETS`` candidates. Counts combine on the map side, so no task ever
     holds an item's transactions. While a level is that small its candidates are
     listed by the driver, otherwise they are joined."""
-    spark, items = encoded.rows.sparkSession, len(encoded.names)
-    local = [(i,) for i in range(items)]  # None once a level is too large to list
-    singles = {"ids": [[i] for i in range(items)], "freq": encoded.counts}
-    level = local_table(spark, singles, IDS | {"freq": pa.int64()})
-    found, width, size = [(level, items)], items, 2
+    spark, width = encoded.rows.sparkSession, encoded.width
+    level = encoded.items.select(F.array("id").alias("ids"), "freq")
+    found, size = [(level, width)], 2
     while width >= size:  # an itemset of this size needs that many frequent parts
-        listed = None if local is None else _ahead(local, LOCAL_SETS, 1 if size == 2 else items)
-        if listed == []:
-            break
-        if listed:
-            candidates = local_table(spark, {"ids": [list(ids) for ids in listed]}, IDS)
-            most, size = len(listed), len(listed[-1])
+        if size == 2:
+            pairs = _held_pairs(encoded.rows, "weight").groupBy("rare", "second").agg(F.sum("weight").alias("freq"))
+            counted = pairs.filter(F.col("freq") >= encoded.min_count).select(F.array("rare", "second").alias("ids"), "freq")
+            listed, most = None, LOCAL_SETS + 1
         else:
-            candidates = _pairs(encoded) if size == 2 else _extend(level, size)
-            most = width * (width - 1) // 2 if size == 2 else width * items
-        counted = (
-            containing(encoded, candidates, "ids", most)
-            .groupBy("ids")
-            .agg(F.sum("weight").alias("freq"))
-            .filter(F.col("freq") >= encoded.min_count)
-        )
+            listed = None if local is None else _ahead(local, LOCAL_SETS, encoded.width)
+            if listed == []:
+                break
+            if listed:
+                candidates = local_table(spark, {"ids": [list(ids) for ids in listed]}, IDS)
+                most, top = len(listed), len(listed[-1])
+            else:
+                candidates, most, top = _extend(level, size), width * encoded.width, size
+            rows = encoded.rows if local is None else _active(encoded.rows, local, size - 1, encoded.width)
+            counted = (
+                containing(replace(encoded, rows=rows), candidates, "ids", most)
+                .groupBy("ids")
+                .agg(F.sum("weight").alias("freq"))
+                .filter(F.col("freq") >= encoded.min_count)
+            )
+            size = top
         if most > LOCAL_SETS:
             counted = materialize(counted, "level")
             count = width = counted.count()
@@ -272,20 +315,25 @@ def mine(encoded: Encoded, miner: str = "levels") -> tuple[DataFrame, int]:
     count = sum(size for _, size in parts)
     if count <= LOCAL_SETS:
         rows = sorted((list(row.ids), row.freq) for part, _ in parts for row in part.collect())
+        # every item is an itemset, so there are at most LOCAL_SETS names
+        names = {row.id: row.item for row in encoded.items.collect()}
         columns = {
             "set_id": list(range(count)),
-            "itemset": [sorted(encoded.names[i] for i in ids) for ids, _ in rows],
+            "itemset": [sorted(names[i] for i in ids) for ids, _ in rows],
             "ids": [ids for ids, _ in rows],
             "freq": [freq for _, freq in rows],
         }
         types = {"set_id": pa.int64(), "itemset": pa.list_(pa.string()), **IDS, "freq": pa.int64()}
         return local_table(encoded.rows.sparkSession, columns, types), count
     found = reduce(DataFrame.unionByName, [part for part, _ in parts])
-    names = F.array(*[F.lit(name) for name in encoded.names]).cast("array<string>")
-    itemset = F.array_sort(F.transform("ids", lambda i: F.get(names, i)))
-    numbered = number_rows(found, [F.col("ids")], "set_id", count)
-    numbered = numbered.select("set_id", itemset.alias("itemset"), "ids", "freq")
-    return materialize(numbered, "itemsets"), count
+    numbered = number_rows(materialize(found, "found"), [F.col("ids")], "set_id", count)
+    named = (
+        numbered.select("set_id", "ids", "freq", F.explode("ids").alias("id"))
+        .join(encoded.items.select("id", "item"), "id")
+        .groupBy("set_id", "ids", "freq")
+        .agg(F.array_sort(F.collect_list("item")).alias("itemset"))
+    )
+    return materialize(named.select("set_id", "itemset", "ids", "freq"), "itemsets"), count
 
 
 def frequent_itemsets(transactions: DataFrame, min_support: float, miner: str = "levels") -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import pyarrow as pa
@@ -37,18 +36,21 @@ def plain_unions(spark: SparkSession) -> SparkSession:
     return spark
 
 
+RUN = uuid.uuid4().hex  # one folder of intermediate tables per process
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors can read and write, taken from
-    ``spark.checkpoint.dir``. Only a local master, where driver and executors
-    share one disk, may fall back to a temporary folder."""
-    folder = spark.conf.get(CHECKPOINT_KEY, None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
-        raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that every executor can reach")
-    folder = tempfile.mkdtemp(prefix="tallyrift-")
-    spark.conf.set(CHECKPOINT_KEY, folder)
-    return folder
+    """This run's folder, which all executors can read and write: below
+    ``spark.checkpoint.dir``, or below the warehouse where that is not set."""
+    folder = spark.conf.get(CHECKPOINT_KEY, None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{folder.rstrip('/')}/tallyrift-{RUN}"
+
+
+def release(spark: SparkSession) -> None:
+    """Remove this run's intermediate tables. Results that were not written elsewhere
+    cannot be read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
