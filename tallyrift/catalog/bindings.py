@@ -45,6 +45,12 @@ def baskets(spark: SparkSession, folder: str) -> DataFrame:
     return basket_transactions(basket_facts(spark, folder))
 
 
+def part_baskets(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders as baskets of their parts themselves."""
+    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
+    return from_facts(lines, "l_orderkey", {"l_partkey": "part"}, F.sum("l_quantity"))
+
+
 def order_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Orders with their customer's segment; price in steps of 10,000."""
     orders = table(spark, folder, "orders").select(

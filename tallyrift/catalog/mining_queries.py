@@ -106,3 +106,21 @@ def mean_rules_significant(spark, folder):
 @query("mean_rules_orders", rules_sql(ORDERS, sql.MEAN, "TRUE", Z))
 def mean_rules_orders(spark, folder):
     return show_rules(discover_rules(b.order_transactions(spark, folder), 0.025, "mean"), num("z"))
+
+
+PARTS = sql.mined(
+    """tx AS (SELECT l_orderkey AS tid, list(DISTINCT 'part=' || l_partkey) AS items,
+  CAST(sum(l_quantity) AS BIGINT) AS target, 1 AS weight FROM lineitem GROUP BY l_orderkey)""",
+    0.0005, 3,
+)
+
+
+@query("part_itemsets", sql.query(PARTS, select=ITEMSETS))
+def part_itemsets(spark, folder):
+    """Baskets of parts: thousands of items, few of them together."""
+    return _itemsets(b.part_baskets(spark, folder), 0.0005)
+
+
+@query("kl_rules_parts", rules_sql(PARTS, sql.KL))
+def kl_rules_parts(spark, folder):
+    return show_rules(discover_rules(b.part_baskets(spark, folder), 0.0005, "kl"))

@@ -110,26 +110,10 @@ def mean_rules_admissions(spark, folder):
 )
 def decoded_rules(spark, folder):
     """Dictionaries, integer items in offset ranges, and decoding of all rules."""
-    stays = materialize(clinical.admission_stays(*c.first_database(spark, folder)), "stays")
-    dictionaries, encoded = {}, stays
-    for kind in ("insurance", "admission_type"):
-        dictionaries[kind] = materialize(dictionary.build_dictionary(stays, kind, f"{kind}_id"), kind).select(
-            f"{kind}_id", kind
-        )
-        encoded = dictionary.encode_column(encoded, dictionaries[kind], kind)
-    row = ["hadm_id", "icu_los"]
-    for kind, column in (("procedure", "procedures"), ("diagnose", "diagnoses")):
-        long = stays.select(*row, F.explode(column).alias(kind))
-        dictionaries[kind] = materialize(dictionary.build_dictionary(long, kind, f"{kind}_id"), kind).select(
-            f"{kind}_id", kind
-        )
-        sets = dictionary.encode_column(long, dictionaries[kind], kind).groupBy(*row).agg(
-            F.collect_set(f"{kind}_id").alias(f"{kind}_ids")
-        )
-        encoded = encoded.join(sets, row)
-    split = split_population(clinical.offset_transactions(encoded), 0.05, store=False)
+    transactions, items = clinical.prepare_admissions(*c.first_database(spark, folder))
+    split = split_population(transactions, 0.05, store=False)
     scored = materialize(score_rules(split, "kl").withColumnRenamed("itemset", "items"), "scored")
-    decoded = dictionary.decode_items(scored, dictionary.item_dictionary(dictionaries), "set_id", "items")
+    decoded = dictionary.decode_items(scored, items, "set_id", "items")
     return decoded.select(F.array_join("itemset", "|").alias("itemset"), "freq", num("mean"), num("score"))
 
 
@@ -183,9 +167,7 @@ def mapped_values(spark, folder):
     sql.query(CODES, select="SELECT id AS patientunitstayid, icd_code, code_type FROM coded"),
 )
 def split_codes(spark, folder):
-    lists = c.unit_diagnosis(spark, folder)
-    both = [clinical.code_rows(lists, kind).withColumn("code_type", F.lit(kind)) for kind in ("icd9", "icd10")]
-    return both[0].unionByName(both[1])
+    return clinical.all_codes(c.unit_diagnosis(spark, folder))
 
 
 @query(
@@ -196,11 +178,33 @@ def split_codes(spark, folder):
     ),
 )
 def unit_diagnoses(spark, folder):
-    patient, lists = c.unit_patient(spark, folder), c.unit_diagnosis(spark, folder)
-    both = [
-        clinical.unit_diagnoses(patient, lists, kind).withColumn("code_type", F.lit(kind)) for kind in ("icd9", "icd10")
-    ]
-    return both[0].unionByName(both[1]).withColumn("admission_type_id", known("admission_type_id"))
+    rows = clinical.unit_diagnoses(c.unit_patient(spark, folder), c.unit_diagnosis(spark, folder))
+    return rows.withColumn("admission_type_id", known("admission_type_id"))
+
+
+@query(
+    "unit_code_dictionary",
+    sql.query(
+        UNIT, CODES,
+        select="""SELECT code_type, CAST(row_number() OVER (PARTITION BY code_type ORDER BY icd_code) AS INTEGER) AS code_id, icd_code
+FROM (SELECT DISTINCT code_type, icd_code FROM units u JOIN coded ON coded.id = u.patientunitstayid) d""",
+    ),
+)
+def unit_code_dictionary(spark, folder):
+    return clinical.prepare_units(c.unit_patient(spark, folder), c.unit_diagnosis(spark, folder))[1]
+
+
+@query(
+    "text_times",
+    """SELECT o_custkey AS customer, min(strptime(t, '%Y-%m-%d %H:%M:%S')) AS first_time, count(*) AS n
+FROM (SELECT o_custkey, strftime(o_orderdate, '%Y-%m-%d') || ' 0' || (o_orderkey % 10) || ':30:00' AS t FROM orders) o GROUP BY o_custkey""",
+)
+def text_times(spark, folder):
+    """Timestamps written as text, parsed, and the earliest per customer."""
+    orders = b.table(spark, folder, "orders")
+    text = F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" 0"), F.col("o_orderkey") % 10, F.lit(":30:00"))
+    times = clinical.parsed_times(orders.select(F.col("o_custkey").alias("customer"), text.alias("t")), ["t"])
+    return times.groupBy("customer").agg(F.min("t").alias("first_time"), F.count(F.lit(1)).alias("n"))
 
 
 @query(

@@ -8,7 +8,7 @@ from tallyrift.catalog.mining_queries import BASKETS, EVENTS, FLAT, ORDERS
 from tallyrift.catalog.registry import num, query
 from tallyrift.functions import stats
 from tallyrift.functions.text import rule_text
-from tallyrift.operators.bootstrap import bootstrap_error
+from tallyrift.operators.bootstrap import bootstrap_error, checked_error
 from tallyrift.operators.ranking import top_rules
 from tallyrift.plans import report
 from tallyrift.plans.discovery import discover_rules, score_rules, split_population
@@ -195,3 +195,30 @@ def bootstrap_sweep(spark, folder):
 def bootstrap_se(spark, folder):
     """Random by nature: checked against a literal resampling loop in the tests."""
     return bootstrap_error(best_histograms(b.baskets(spark, folder), 0.05, "kl"), replicates=10_000)
+
+
+CLOSED_FORM = """z AS (SELECT rank, sum(n_set) AS sq, sum(n_counter) AS sp FROM d GROUP BY rank),
+c AS (SELECT d.rank, n_counter / sp AS p, n_set / sq AS q, sp, sq FROM d JOIN z ON d.rank = z.rank WHERE n_set > 0 AND n_counter > 0),
+e AS (SELECT rank, sqrt((sum(p * pow(ln(p / q) + 1, 2)) - pow(sum(p * (ln(p / q) + 1)), 2)) / any_value(sp)
+  + (sum(q * pow(p / q, 2)) - pow(sum(p), 2)) / any_value(sq)) AS closed_form FROM c GROUP BY rank)"""
+
+
+@query("bootstrap_agrees", sql.query(*best(BASKETS, sql.MEAN), CLOSED_FORM, select=f"SELECT rank, {sql.num('closed_form', 'closed_form')}, TRUE AS agrees FROM e"))
+def bootstrap_agrees(spark, folder):
+    """The closed form of the standard error, and that the bootstrap lies near it. The
+    closed form is of first order: it knows no values that a draw loses altogether."""
+    histograms = best_histograms(b.baskets(spark, folder), 0.05, "mean")
+    return checked_error(histograms, 4000, 0.25).select("rank", num("closed_form"), "agrees")
+
+
+@query(
+    "bootstrap_sweep_agrees",
+    " UNION ALL ".join(
+        f"SELECT * FROM ({sql.query(*best(sql.mined(sql.BASKETS, support, 6), sql.MEAN), CLOSED_FORM, select=f'SELECT {support} + 0.0 AS min_support, rank, {sql.num('closed_form', 'closed_form')}, TRUE AS agrees FROM e')}) q{i}"
+        for i, support in enumerate((0.05, 0.1))
+    ),
+)
+def bootstrap_sweep_agrees(spark, folder):
+    split = split_population(b.baskets(spark, folder), 0.05)
+    bars = report.error_bars(split, "mean", (0.05, 0.1), replicates=4000, tolerance=0.25)
+    return bars.select("min_support", "rank", num("closed_form"), "agrees")

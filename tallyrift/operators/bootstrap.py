@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -61,3 +61,28 @@ def bootstrap_error(histograms: DataFrame, replicates: int = 10_000, seed: int =
         F.stddev_samp("divergence").alias("standard_error"),
         F.round(F.stddev_samp("divergence"), 2).alias("error_bar"),
     )
+
+
+def closed_form_error(histograms: DataFrame) -> DataFrame:
+    """Standard error of the discrete divergence by the delta method, per rule: both sides
+    are multinomial, the derivatives are ln(p / q) + 1 in p and -p / q in q at the values
+    both sides have."""
+    sizes = histograms.groupBy("rank").agg(F.sum("n_set").alias("size_q"), F.sum("n_counter").alias("size_p"))
+    p, q = F.col("n_counter") / F.col("size_p"), F.col("n_set") / F.col("size_q")
+    in_p, in_q = F.log(p / q) + 1.0, -p / q
+    shared = histograms.filter((F.col("n_set") > 0) & (F.col("n_counter") > 0)).join(sizes, "rank")
+
+    def variance(share: Column, slope: Column, size: str) -> Column:
+        mean = F.sum(share * slope)
+        return (F.sum(share * slope * slope) - mean * mean) / F.first(size)
+
+    return shared.groupBy("rank").agg(
+        F.sqrt(variance(p, in_p, "size_p") + variance(q, in_q, "size_q")).alias("closed_form")
+    )
+
+
+def checked_error(histograms: DataFrame, replicates: int, tolerance: float, seed: int = 42) -> DataFrame:
+    """The closed form per rule, and whether the bootstrap lies within ``tolerance`` of it."""
+    both = closed_form_error(histograms).join(bootstrap_error(histograms, replicates, seed), "rank")
+    gap = F.abs(F.col("standard_error") - F.col("closed_form"))
+    return both.select("rank", "closed_form", (gap <= tolerance * F.col("closed_form")).alias("agrees"))

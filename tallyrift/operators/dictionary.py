@@ -10,12 +10,25 @@ from pyspark.sql import functions as F
 from tallyrift.operators.ranking import number_rows
 from tallyrift.session import materialize
 
-# First id of every item namespace; gender itself is 0 or 1.
+# First id of every item namespace; gender itself is 0 or 1. A namespace
+# that outgrows its range moves the later ones, see ``namespace_starts``.
 OFFSETS = {"insurance": 10, "admission_type": 100, "procedure": 1000, "diagnose": 20000}
 GENDER_TEXT = {0: "female", 1: "male"}
 SUFFIXES = {"procedure": "_procedure", "diagnose": "_diagnose"}
 
 
+def namespace_starts(dictionaries: Mapping[str, DataFrame]) -> dict[str, int]:
+    """Start of every namespace: its fixed one, or behind the largest id of the
+    namespaces before it. Every dictionary is (id, code) with ids from 1."""
+    starts, end = {}, 0
+    for kind, fixed in OFFSETS.items():
+        starts[kind] = max(fixed, end)
+        if kind in dictionaries:
+            table = dictionaries[kind]
+            end = starts[kind] + (table.agg(F.max(table.columns[0])).first()[0] or 0)
+    return starts
+
+
 def build_dictionary(rows: DataFrame, code: str, identifier: str) -> DataFrame:
     """Distinct codes numbered from 1 in code order."""
     codes = materialize(rows.select(code).filter(F.col(code).isNotNull()).distinct(), "codes")
@@ -30,23 +43,27 @@ def encode_column(rows: DataFrame, dictionary: DataFrame, code: str) -> DataFram
     return rows.join(dictionary, code, "inner").drop(code)
 
 
-def item_dictionary(dictionaries: Mapping[str, DataFrame]) -> DataFrame:
-    """``item, item_text`` of all namespaces; every dictionary is (id, code)."""
+def item_dictionary(dictionaries: Mapping[str, DataFrame], starts: Mapping[str, int] | None = None) -> DataFrame:
+    """``item, item_text`` of all namespaces; every dictionary is (id, code).
+    ``starts`` defaults to the starts that these dictionaries need."""
+    starts = namespace_starts(dictionaries) if starts is None else starts
     gender = " UNION ALL ".join(f"SELECT {i} AS item, '{t}' AS item_text" for i, t in GENDER_TEXT.items())
     table = next(iter(dictionaries.values())).sparkSession.sql(gender)
     for kind, dictionary in dictionaries.items():
         identifier, code = dictionary.columns
         named = F.concat(F.col(code).cast("string"), F.lit(SUFFIXES.get(kind, "")))
         table = table.unionByName(
-            dictionary.select((F.col(identifier) + OFFSETS[kind]).cast("int").alias("item"), named.alias("item_text"))
+            dictionary.select((F.col(identifier) + starts[kind]).cast("int").alias("item"), named.alias("item_text"))
         )
     return table
 
 
 def decode_items(rules: DataFrame, dictionary: DataFrame, key: str, items: str) -> DataFrame:
-    """Item ids of each rule as text, in text order. An id nobody knows is left out."""
-    exploded = rules.select(key, F.explode(F.col(items).cast("array<int>")).alias("item"))
-    texts = exploded.join(dictionary, "item").groupBy(key).agg(
-        F.array_sort(F.collect_list("item_text")).alias("itemset")
+    """Item ids of each rule as text, in text order. An id nobody knows stays as it is."""
+    exploded = rules.select(key, F.explode(items).alias("_id")).withColumn("item", F.col("_id").try_cast("int"))
+    texts = exploded.join(dictionary, "item", "left").groupBy(key).agg(
+        F.array_sort(F.collect_list(F.coalesce("item_text", F.col("_id").cast("string")))).alias("itemset")
+    )
+    return rules.join(texts, key, "left").withColumn(
+        "itemset", F.coalesce("itemset", F.array().cast("array<string>"))
     )
-    return rules.join(texts, key)

@@ -7,6 +7,7 @@ the counter side is total minus part: the transactions are joined once."""
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -25,13 +26,23 @@ class Split:
     cells: DataFrame  # set_id, target, n_set, n_counter
     totals: DataFrame  # target, n_tot
     n: int
+    min_count: int  # support it was mined with, in transactions
+
+    def count_at(self, min_support: float) -> int:
+        """``min_support`` in transactions; must not be below the mined support."""
+        least = math.ceil(min_support * self.n)
+        if least < self.min_count:
+            raise ValueError(f"mined with at least {self.min_count} of {self.n} transactions, asked for {least}")
+        return least
 
     def at_least(self, min_count: int) -> Split:
         """The same split for a higher support: support only shrinks, so the
         itemsets of a higher threshold are a part of those of a lower one."""
+        if min_count < self.min_count:
+            raise ValueError(f"mined with at least {self.min_count} transactions, asked for {min_count}")
         kept = self.itemsets.filter(F.col("freq") >= min_count)
         cells = self.cells.join(kept.select("set_id"), "set_id", "left_semi")
-        return Split(kept, cells, self.totals, self.n)
+        return Split(kept, cells, self.totals, self.n, min_count)
 
 
 def split_cells(encoded: Encoded, itemsets: DataFrame, count: int, store: bool = True) -> Split:
@@ -47,7 +58,7 @@ def split_cells(encoded: Encoded, itemsets: DataFrame, count: int, store: bool =
     )
     if store:
         cells = materialize(cells, "cells")
-    return Split(itemsets.select("set_id", "itemset", "freq"), cells, encoded.totals, encoded.n)
+    return Split(itemsets.select("set_id", "itemset", "freq"), cells, encoded.totals, encoded.n, encoded.min_count)
 
 
 def full_histogram(split: Split, wanted: DataFrame, slot: str, slots: int) -> DataFrame:

@@ -96,11 +96,11 @@ def _ids_by_lookup(source: DataFrame, items: DataFrame) -> DataFrame:
 def _ids_by_join(source: DataFrame, items: DataFrame) -> DataFrame:
     """Items replaced by ids by meeting the dictionary; rows are put together again by a
     number that lives inside this one plan."""
-    numbered = source.select(
-        F.monotonically_increasing_id().alias("_row"), "target", "weight", F.explode_outer(F.array_distinct("items")).alias("item")
-    )
+    # numbered before the explosion: in one step every item would get a number of its own
+    numbered = source.withColumn("_row", F.monotonically_increasing_id())
+    exploded = numbered.select("_row", "target", "weight", F.explode_outer(F.array_distinct("items")).alias("item"))
     return (
-        numbered.join(items.select("id", "item"), "item", "left")
+        exploded.join(items.select("id", "item"), "item", "left")
         .groupBy("_row", "target", "weight")
         .agg(F.array_sort(F.collect_list("id")).alias("ids"))
         .select("ids", "target", "weight")

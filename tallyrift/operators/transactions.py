@@ -22,6 +22,14 @@ def tag(column: str, name: str | None = None, style: str = "column=value") -> Co
     raise ValueError(f"unknown item style: {style}")
 
 
+def whole(target: Column) -> Column:
+    """A numeric target as bigint. A fraction ends the job: bin it while preparing the
+    transactions, cutting it here would move values silently."""
+    value = target.cast("double")
+    cut = F.raise_error(F.concat(F.lit("target is no whole number: "), target.cast("string"))).cast("bigint")
+    return F.when(value == F.floor(value), target.cast("bigint")).when(target.isNotNull(), cut)
+
+
 def from_columns(
     rows: DataFrame, item_columns: Sequence[str], target: str, style: str = "column=value"
 ) -> DataFrame:
@@ -31,7 +39,7 @@ def from_columns(
     row per combination and task, however often a combination repeats."""
     counted = (
         rows.filter(F.col(target).isNotNull())
-        .groupBy(*item_columns, F.col(target).cast("bigint").alias("target"))
+        .groupBy(*item_columns, whole(F.col(target)).alias("target"))
         .agg(F.count(F.lit(1)).alias("weight"))
     )
     items = F.array_compact(F.array(*[tag(c, style=style) for c in item_columns]))
@@ -51,10 +59,10 @@ def from_facts(
         F.collect_set(tag(column, prefix)).alias(f"_set{i}")
         for i, (column, prefix) in enumerate(item_columns.items())
     ]
-    grouped = facts.groupBy(*keys).agg(*sets, target.cast("bigint").alias("target"))
+    grouped = facts.groupBy(*keys).agg(*sets, target.alias("_target"))
     items = F.flatten(F.array(*[F.col(f"_set{i}") for i in range(len(sets))]))
-    return grouped.filter(F.col("target").isNotNull()).select(
-        F.array_sort(items).alias("items"), "target", F.lit(1).cast("bigint").alias("weight")
+    return grouped.filter(F.col("_target").isNotNull()).select(
+        F.array_sort(items).alias("items"), whole(F.col("_target")).alias("target"), F.lit(1).cast("bigint").alias("weight")
     )
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyrift.functions import text
-from tallyrift.operators.dictionary import OFFSETS
+from tallyrift.operators import dictionary
 from tallyrift.operators.profile import earliest_records
+from tallyrift.session import materialize
 
 # Admission source -> admission type, and admission type -> id.
 ADMISSION_TYPE_OF_SOURCE = {
@@ -55,6 +56,7 @@ def admission_stays(
     Codes are merged into sets before they meet the admission, so diagnoses and
     procedures never multiply. Admissions without either drop out. Simultaneous
     earliest stays with different lengths stay apart."""
+    stays = parsed_times(stays, ["intime"])
     first = earliest_records(stays.select("subject_id", "hadm_id", "los", "intime"), "hadm_id", "intime")
     base = (
         first.join(patients.select("subject_id", "gender"), "subject_id")
@@ -76,19 +78,25 @@ def admission_stays(
     return base.join(diagnosis_sets, "hadm_id").join(procedure_sets, "hadm_id")
 
 
-def code_rows(diagnosis: DataFrame, code_type: str) -> DataFrame:
-    """Distinct (patientunitstayid, icd_code) of one code system, from lists that
-    mix both systems."""
+def all_codes(diagnosis: DataFrame) -> DataFrame:
+    """Distinct (patientunitstayid, icd_code, code_type) of lists that mix code systems,
+    in one pass; a code of no known system is left out."""
     parts = diagnosis.na.drop(subset=["patientunitstayid", "icd9code"]).select(
         "patientunitstayid", F.explode(text.split_list("icd9code")).alias("code")
     )
+    kinds = [F.when(F.col("code").rlike(pattern), F.lit(kind)) for kind, pattern in text.CODE_PATTERNS.items()]
     return (
-        parts.filter(F.col("code").rlike(text.CODE_PATTERNS[code_type]))
-        .select("patientunitstayid", text.without_dots(F.col("code")).alias("icd_code"))
+        parts.select("patientunitstayid", text.without_dots(F.col("code")).alias("icd_code"), F.coalesce(*kinds).alias("code_type"))
+        .filter(F.col("code_type").isNotNull())
         .distinct()
     )
 
 
+def code_rows(diagnosis: DataFrame, code_type: str) -> DataFrame:
+    """The codes of one system: distinct (patientunitstayid, icd_code)."""
+    return all_codes(diagnosis).filter(F.col("code_type") == code_type).drop("code_type")
+
+
 def unit_patients(patient: DataFrame) -> DataFrame:
     """Adults discharged alive: ``patientunitstayid, uniquepid, gender,
     admission_type, admission_type_id, icu_los``. Incomplete records are dropped;
@@ -98,7 +106,7 @@ def unit_patients(patient: DataFrame) -> DataFrame:
         "unitdischargeoffset", "hospitaldischargestatus", "age", "uniquepid",
     ]
     minutes = F.col("unitdischargeoffset") - F.col("hospitaladmitoffset")
-    age = F.when(F.col("age") == OLDEST, F.lit(OLDEST_AGE)).otherwise(F.col("age").try_cast("int"))
+    age = F.when(F.col("age") == OLDEST, F.lit(OLDEST_AGE)).otherwise(F.col("age").cast("int"))
     return (
         patient.select(*columns)
         .na.drop()
@@ -115,9 +123,11 @@ def unit_patients(patient: DataFrame) -> DataFrame:
     )
 
 
-def unit_diagnoses(patient: DataFrame, diagnosis: DataFrame, code_type: str) -> DataFrame:
-    """Patients joined with the codes of one system, one row per code."""
-    return unit_patients(patient).join(code_rows(diagnosis, code_type), "patientunitstayid")
+def unit_diagnoses(patient: DataFrame, diagnosis: DataFrame, code_type: str | None = None) -> DataFrame:
+    """Patients joined with their codes, one row per code: of one system, or of all with
+    their ``code_type``."""
+    codes = all_codes(diagnosis) if code_type is None else code_rows(diagnosis, code_type)
+    return unit_patients(patient).join(codes, "patientunitstayid")
 
 
 def unit_stays(patient: DataFrame, diagnosis: DataFrame, code_type: str) -> DataFrame:
@@ -149,19 +159,71 @@ def stay_transactions(stays: DataFrame) -> DataFrame:
     )
 
 
-def offset_transactions(encoded_stays: DataFrame) -> DataFrame:
-    """Transactions with integer items: ids moved into their namespace's range.
-    Expects id columns ``gender, insurance_id, admission_type_id`` and id arrays
+def encoded_stays(stays: DataFrame) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """``stays`` (of ``admission_stays``) with ids instead of codes, and the dictionaries
+    ``(id, code)`` of insurance, admission_type, procedure and diagnose."""
+    stays = materialize(stays, "stays")
+    dictionaries, encoded, row = {}, stays, ["hadm_id", "icu_los"]
+    for kind in ("insurance", "admission_type"):
+        numbered = dictionary.build_dictionary(stays, kind, f"{kind}_id")
+        dictionaries[kind] = materialize(numbered, kind).select(f"{kind}_id", kind)
+        encoded = dictionary.encode_column(encoded, dictionaries[kind], kind)
+    for kind, column in (("procedure", "procedures"), ("diagnose", "diagnoses")):
+        long = stays.select(*row, F.explode(column).alias(kind))
+        numbered = dictionary.build_dictionary(long, kind, f"{kind}_id")
+        dictionaries[kind] = materialize(numbered, kind).select(f"{kind}_id", kind)
+        sets = dictionary.encode_column(long, dictionaries[kind], kind).groupBy(*row)
+        encoded = encoded.join(sets.agg(F.collect_set(f"{kind}_id").alias(f"{kind}_ids")), row)
+    return encoded, dictionaries
+
+
+def prepare_admissions(*tables: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The whole preparation of the first database: transactions with integer items, and
+    the dictionary ``item, item_text`` that decodes them."""
+    encoded, dictionaries = encoded_stays(admission_stays(*tables))
+    starts = dictionary.namespace_starts(dictionaries)
+    return offset_transactions(encoded, starts), dictionary.item_dictionary(dictionaries, starts)
+
+
+def prepare_units(patient: DataFrame, diagnosis: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The whole preparation of the second database: a row per patient, code and system,
+    and the dictionary ``code_type, code_id, icd_code`` numbered from 1 in each system."""
+    rows = materialize(unit_diagnoses(patient, diagnosis), "units")
+    codes = rows.select("code_type", "icd_code").distinct()
+    order = Window.partitionBy("code_type").orderBy("icd_code")
+    return rows, codes.select("code_type", F.row_number().over(order).alias("code_id"), "icd_code")
+
+
+def parsed_times(rows: DataFrame, columns: list[str], pattern: str = "yyyy-MM-dd HH:mm:ss") -> DataFrame:
+    """``columns`` as timestamps. Text that does not follow ``pattern`` ends the job rather
+    than turning into null; nulls stay."""
+    return rows.withColumns({c: F.to_timestamp(c, pattern) for c in columns if dict(rows.dtypes)[c] == "string"})
+
+
+def offset_transactions(encoded_stays: DataFrame, starts: dict[str, int] | None = None) -> DataFrame:
+    """Transactions with integer items: ids moved into their namespace's range. With
+    the default ``starts`` an id beyond its range ends the job. Expects id columns ``gender, insurance_id, admission_type_id`` and id arrays
     ``procedure_ids, diagnose_ids``; the ids travel as strings."""
 
+    starts = dictionary.OFFSETS if starts is None else starts
+    after = [*list(starts.values())[1:], None]
+    room = {kind: end and end - start for (kind, start), end in zip(starts.items(), after)}
+
+    def place(value: Column, kind: str) -> Column:
+        item = value + starts[kind]
+        if room[kind] is None:
+            return item
+        full = F.raise_error(F.concat(F.lit(f"{kind} id beyond its range: "), value.cast("string"))).cast("int")
+        return F.when(value <= room[kind], item).otherwise(F.when(value.isNotNull(), full))
+
     def moved(column: str, kind: str) -> Column:
-        return F.transform(column, lambda i: i + OFFSETS[kind])
+        return F.transform(column, lambda i: place(i, kind))
 
     single = F.array_compact(
         F.array(
             F.col("gender").cast("int"),
-            F.col("insurance_id") + OFFSETS["insurance"],
-            F.col("admission_type_id") + OFFSETS["admission_type"],
+            place(F.col("insurance_id"), "insurance"),
+            place(F.col("admission_type_id"), "admission_type"),
         )
     )
     items = F.concat(single, moved("procedure_ids", "procedure"), moved("diagnose_ids", "diagnose"))

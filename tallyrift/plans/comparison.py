@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -26,7 +25,7 @@ def rules_at(split: Split, min_support: float, scored: DataFrame | None = None)
     was mined with. A score does not depend on the support threshold, so one
     mining run and one table of scores serve a whole sweep."""
     scored = score_all(split) if scored is None else scored
-    least = math.ceil(min_support * split.n)
+    least = split.count_at(min_support)
     return rule_set(split, scored.filter(F.col("freq") >= least))
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -10,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyrift.functions import stats
-from tallyrift.operators.bootstrap import bootstrap_error
+from tallyrift.operators.bootstrap import bootstrap_error, checked_error
 from tallyrift.operators.histogram import Split, full_histogram
 from tallyrift.operators.itemsets import repeat_rows
 from tallyrift.operators.ranking import top_rules
@@ -145,16 +144,21 @@ def value_lists(histograms: DataFrame) -> DataFrame:
 
 
 def error_bars(
-    split: Split, measure: str, min_supports: Sequence[float], ranks: int = 2, replicates: int = 10_000, seed: int = 42
+    split: Split, measure: str, min_supports: Sequence[float], ranks: int = 2, replicates: int = 10_000, seed: int = 42,
+    tolerance: float | None = None,
 ) -> DataFrame:
     """Bootstrap errors of the best ``ranks`` rules at every support, whatever the
-    ``measure`` that ranked them. One table of scores serves all supports."""
+    ``measure`` that ranked them. One table of scores serves all supports. With
+    ``tolerance`` the errors are compared with their closed form."""
     scored = materialize(score_rules(split, measure).select("set_id", "itemset", "freq", "score"), "scored")
     parts = []
     for min_support in min_supports:
-        kept = scored.filter(F.col("freq") >= math.ceil(min_support * split.n))
+        kept = scored.filter(F.col("freq") >= split.count_at(min_support))
         histograms = rule_histograms(split, top_rules(kept, ranks), ranks)
-        errors = bootstrap_error(histograms, replicates, seed)
+        if tolerance is None:
+            errors = bootstrap_error(histograms, replicates, seed)
+        else:
+            errors = checked_error(histograms, replicates, tolerance, seed)
         parts.append(errors.select(F.lit(min_support).alias("min_support"), "*"))
     return reduce(DataFrame.unionByName, parts)
 

@@ -1,12 +1,13 @@
 """Rules as text: ``item,item;score;value,value``.
 
+Items are written with ``%`` escapes for the signs that divide a line.
 A value may carry a count, ``12*340``, so that a line grows with the distinct
 values of a rule and not with its support. Plain values, and lines with a comma
 after a score in scientific notation, are read as well."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyrift.functions.text import rule_text
@@ -15,16 +16,31 @@ from tallyrift.operators.ranking import number_rows
 from tallyrift.session import materialize
 
 LINE = r"^([^;]*);([^;,]+)[;,](.*)$"
+ESCAPES = {"%": "%25", ",": "%2C", ";": "%3B", "\n": "%0A", "\r": "%0D"}
+MOST_COPIES = 10_000_000  # of one value in a line without counts
+
+
+def escaped(item: Column) -> Column:
+    for sign, code in ESCAPES.items():
+        item = F.replace(item, F.lit(sign), F.lit(code))
+    return item
+
+
+def unescaped(item: Column) -> Column:
+    for sign, code in reversed(ESCAPES.items()):
+        item = F.replace(item, F.lit(code), F.lit(sign))
+    return item
 
 
 def rule_lines(rules: RuleSet, counted: bool = True) -> DataFrame:
     """One line per rule in column ``value``. ``counted=False`` writes every value
-    out for readers that know no counts; a line then holds the whole support."""
+    out for readers that know no counts; a line then holds the whole support, and a
+    value with more than MOST_COPIES copies ends the job."""
     entry = F.concat(F.col("target").cast("string"), F.lit("*"), F.col("n").cast("string"))
     if not counted:
-        entry = F.substring(
-            F.repeat(F.concat(F.lit(","), F.col("target").cast("string")), F.col("n").cast("int")), 2, 2**31 - 1
-        )
+        most = F.raise_error(F.lit("too many copies for a line without counts")).cast("int")
+        copies = F.when(F.col("n") <= MOST_COPIES, F.col("n").cast("int")).otherwise(most)
+        entry = F.substring(F.repeat(F.concat(F.lit(","), F.col("target").cast("string")), copies), 2, 2**31 - 1)
     lists = (
         rules.values.select("itemset", F.struct("target", entry.alias("entry")).alias("cell"))
         .groupBy("itemset")
@@ -32,7 +48,7 @@ def rule_lines(rules: RuleSet, counted: bool = True) -> DataFrame:
     )
     joined = rules.rules.join(lists, "itemset")
     return joined.select(
-        F.concat_ws(";", F.array_join("itemset", ","), F.col("score").cast("string"), "list").alias("value")
+        F.concat_ws(";", F.array_join(F.transform("itemset", escaped), ","), F.col("score").cast("string"), "list").alias("value")
     )
 
 
@@ -42,11 +58,15 @@ def write_rule_lines(rules: RuleSet, path: str, counted: bool = True, mode: str
 
 def read_rule_lines(spark: SparkSession, path: str) -> RuleSet:
     """Parse rule lines. Items are sorted, so the order in which a miner listed
-    them does not matter; of several lines for one rule the last one counts."""
+    them does not matter; of several lines for one rule the last one counts. A line
+    that is no rule ends the job and is named; empty lines are skipped."""
     place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row"))
-    parsed = spark.read.text(path).select(
+    bad = F.raise_error(F.concat(F.lit("no rule line: "), F.col("value")))
+    checked = F.when(F.col("value").rlike(LINE), F.col("value")).otherwise(bad)
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    parsed = lines.withColumn("value", checked).select(
         place.alias("place"),
-        F.array_sort(F.split(F.regexp_extract("value", LINE, 1), ",")).alias("itemset"),
+        F.array_sort(F.transform(F.split(F.regexp_extract("value", LINE, 1), ","), unescaped)).alias("itemset"),
         F.struct(
             F.regexp_extract("value", LINE, 2).cast("double").alias("score"),
             F.split(F.regexp_extract("value", LINE, 3), ",").alias("entries"),

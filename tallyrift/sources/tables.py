@@ -44,13 +44,15 @@ def read_values(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_rule_set(rules: RuleSet, path: str, dataset: str, measure: str, min_support: float) -> None:
-    """Append a rule set to the store, one partition per run of the sweep."""
+    """Write a rule set to the store, one partition per run of the sweep. A second
+    write of the same run replaces the first; other runs stay."""
     for name, table in (("rules", rules.rules), ("values", rules.values)):
         (
             table.withColumn("dataset", F.lit(dataset))
             .withColumn("measure", F.lit(measure))
             .withColumn("min_support", F.lit(str(min_support)))
-            .write.mode("append")
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
             .partitionBy("dataset", "measure", "min_support")
             .parquet(f"{path}/{name}")
         )
