@@ -280,35 +280,37 @@ def stay_histogram(spark, folder):
 # flat tables -------------------------------------------------------------------------------------
 
 
-def contract_rows(spark, folder):
-    """Order lines as contracts: one categorical column per attribute, a closed flag."""
+def contract_rows(spark, folder, gaps=False):
+    """Order lines as contracts: one categorical column per attribute, a closed flag.
+    With ``gaps`` the largest lines have no status."""
+    status = F.when(F.col("l_quantity") < 49, F.col("l_linestatus")) if gaps else F.col("l_linestatus")
     return b.flat_rows(spark, folder).select(
         *b.FLAT_ITEMS[:3],
-        F.when(F.col("l_quantity") < 49, F.col("l_linestatus")).alias("status"),
+        status.alias("status"),
         F.col("l_returnflag").alias("closed"),
         F.col("l_quantity").cast("int").alias("tenure"),
         F.col("o_custkey").alias("customer"),
     )
 
 
-def contracts(spark, folder):
-    return flat.clean_flat(contract_rows(spark, folder), F.col("closed") == "R", ["customer", "closed"])
+def contracts(spark, folder, gaps=False):
+    return flat.clean_flat(contract_rows(spark, folder, gaps), F.col("closed") == "R", ["customer", "closed"])
 
 
 TAGGED = """contracts AS (SELECT c_mktsegment || '_c_mktsegment' AS c_mktsegment, o_orderstatus || '_o_orderstatus' AS o_orderstatus,
   o_orderpriority || '_o_orderpriority' AS o_orderpriority, l_linestatus || '_status' AS status,
   CAST(l_quantity AS INTEGER) AS tenure
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
-  WHERE l_returnflag = 'R' AND l_quantity < 49)"""
+  WHERE l_returnflag = 'R')"""
 TAGGED_TX = TAGGED + """,
 counted AS (SELECT *, count(*) AS weight FROM contracts GROUP BY ALL),
 tx AS (SELECT row_number() OVER () AS tid, [c_mktsegment, o_orderstatus, o_orderpriority, status] AS items,
   CAST(tenure AS BIGINT) AS target, weight FROM counted)"""
 
 
-@query("tagged_rows", sql.query(TAGGED, select="SELECT * FROM contracts"))
+@query("tagged_rows", sql.query(TAGGED, select="SELECT * FROM contracts WHERE tenure < 49"))
 def tagged_rows(spark, folder):
-    return flat.tag_columns(contracts(spark, folder), "tenure")
+    return flat.tag_columns(contracts(spark, folder, gaps=True), "tenure")
 
 
 @query("kl_rules_tagged", rules_sql(sql.mined(TAGGED_TX, 0.05, 4), sql.KL))

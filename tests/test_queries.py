@@ -1,4 +1,4 @@
-"""Named queries against their SQL. All of them with TALLYRIFT_ALL_QUERIES=1."""
+"""Named queries against their SQL."""
 
 import os
 
@@ -6,16 +6,13 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from tallyrift.catalog import all_queries, all_sql
 
 FOLDER = os.environ.get("TALLYRIFT_DATA", "/root/testdata/sf0.001")
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
-SOME = [
-    "flat_histogram", "kl_rules_basket", "expo_rules", "normal_rules", "mean_rules_significant", "decoded_rules",
-    "unit_diagnoses", "category_share", "rule_summary", "dist_report_normal", "rules_matched", "rules_text_roundtrip",
-]
-NAMES = list(entry_points.oracle_sql()) if os.environ.get("TALLYRIFT_ALL_QUERIES") else SOME
+NAMES = list(all_sql())
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 
@@ -33,7 +30,8 @@ def test_entry(spark):
 
 
 def test_names():
-    assert set(entry_points.oracle_sql()) == set(entry_points.queries()) - {"bootstrap_se", "bootstrap_sweep"}
+    assert set(all_sql()) == set(all_queries()) - {"bootstrap_se", "bootstrap_sweep"}  # their closed forms have SQL
+    assert set(all_queries()) <= set(entry_points.queries()) and set(all_sql()) <= set(entry_points.oracle_sql())
 
 
 @pytest.mark.parametrize("name", NAMES)
