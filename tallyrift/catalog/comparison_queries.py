@@ -14,7 +14,7 @@ from tallyrift.catalog.preparation_queries import MINED_ADMISSIONS, admission_tr
 from tallyrift.catalog.registry import num, query, text
 from tallyrift.functions.text import plain_item
 from tallyrift.operators.matching import RuleSet, best_percent, match, match_rate, merge, roll_up
-from tallyrift.plans.comparison import match_sweep, rules_at, sweep_summary
+from tallyrift.plans.comparison import match_sweep, rules_at, sweep_rates, sweep_summary
 from tallyrift.plans.discovery import discover_rules, split_population
 from tallyrift.session import shared_folder
 from tallyrift.sources import exchange, tables
@@ -22,6 +22,7 @@ from tallyrift.sources import exchange, tables
 URGENT = ("1-URGENT", "2-HIGH")
 CUT = "1996-01-01"
 SWEEP = (0.05, 0.075)
+RATES = (0.05, 0.06, 0.075)
 PERCENTS = (40, 100)
 
 # The first database holds the orders before the cut, the second the later ones,
@@ -167,6 +168,28 @@ def match_summary(spark, folder):
     return summary.select("min_support", "percent", "n_matched", num("mean"), num("sd"))
 
 
+def _rates_sql() -> str:
+    parts, selects = [], []
+    for i, support in enumerate(RATES):
+        names = [f"{side}{i}_" for side in "lab"]
+        parts += [side_sql(name, support) for name in names]
+        for percent in PERCENTS:
+            out = f"o{i}_{percent}_"
+            parts.append(matched_sql(percent, *names, out=out))
+            selects.append(
+                f"""SELECT CAST({support} AS DOUBLE) AS min_support, {percent} AS percent, l.n AS n_left, r.n AS n_right, m.n AS n_matched,
+  {sql.num('m.n * 100.0 / least(l.n, r.n)', 'match_rate')} FROM (SELECT count(*) AS n FROM {out}best) l,
+  (SELECT count(*) AS n FROM {out}merged) r, (SELECT count(*) AS n FROM {out}matched) m WHERE l.n > 0 AND r.n > 0"""
+            )
+    return sql.query(*parts, select="\nUNION ALL ".join(selects))
+
+
+@query("match_rates", _rates_sql())
+def match_rates(spark, folder):
+    left, *rights = sides(spark, folder, min(RATES))
+    return sweep_rates(left, rights, RATES, PERCENTS).withColumn("match_rate", num("match_rate"))
+
+
 def plain_rules(rules: RuleSet) -> RuleSet:
     """Rules with items as they read in text."""
     plain = F.array_sort(F.transform("itemset", plain_item))
@@ -257,6 +280,26 @@ def csv_roundtrip(spark, folder):
     )
 
 
+@query(
+    "indexed_lines",
+    f"""WITH {FLAT}, c AS (SELECT target, CAST(sum(weight) AS BIGINT) AS n FROM tx GROUP BY target)
+SELECT 'all' AS itemset, 0.25 AS score, target, n FROM c""",
+)
+def indexed_lines(spark, folder):
+    """A histogram written with an index column, read without it, and a rule that a file
+    holds twice: the later line counts."""
+    path, lines = new_path(spark, "indexed"), new_path(spark, "twice")
+    counts = b.flat_transactions(spark, folder).groupBy("target").agg(F.sum("weight").alias("n"))
+    tables.write_csv(counts.select(F.col("target").alias("_c0"), "target", "n"), path)
+    cells = tables.read_csv(spark, path, "_c0 bigint, target bigint, n bigint").withColumn("itemset", F.array(F.lit("all")))
+    head = spark.range(1).select(F.array(F.lit("all")).alias("itemset"), F.lit(0.5).alias("score"), F.lit(0).cast("bigint").alias("position"))
+    old = exchange.rule_lines(RuleSet(head, cells.filter("n % 2 = 0")))
+    new = exchange.rule_lines(RuleSet(head.withColumn("score", F.lit(0.25)), cells))
+    both = old.withColumn("at", F.lit(0)).unionByName(new.withColumn("at", F.lit(1)))
+    both.coalesce(1).sortWithinPartitions("at").select("value").write.text(lines)
+    return show_exchanged(exchange.read_rule_lines(spark, lines))
+
+
 @query("csv_inferred", "SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
 def csv_inferred(spark, folder):
     paths = {}

@@ -69,15 +69,18 @@ def match(left: RuleSet, right: RuleSet) -> DataFrame:
         .groupBy("itemset", "target")
         .agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
     )
-    sizes = aligned.groupBy("itemset").agg(F.sum("l").alias("size_l"), F.sum("r").alias("size_r"))
+    return both.join(symmetric_divergence(aligned, ["itemset"]), "itemset")
+
+
+def symmetric_divergence(aligned: DataFrame, key: list[str]) -> DataFrame:
+    """Half the sum of both smoothed divergences per ``key``; ``aligned`` has the counts
+    ``l`` and ``r`` of every value of either side."""
+    sizes = aligned.groupBy(*key).agg(F.sum("l").alias("size_l"), F.sum("r").alias("size_r"))
     p = F.col("l") / F.col("size_l") + EPSILON
     q = F.col("r") / F.col("size_r") + EPSILON
     forward = F.sum(F.when(F.col("l") > 0, p * F.log(p / q)))
     backward = F.sum(F.when(F.col("r") > 0, q * F.log(q / p)))
-    divergence = (
-        aligned.join(sizes, "itemset").groupBy("itemset").agg((0.5 * (forward + backward)).alias("divergence"))
-    )
-    return both.join(divergence, "itemset")
+    return aligned.join(sizes, key).groupBy(*key).agg((0.5 * (forward + backward)).alias("divergence"))
 
 
 def match_rate(left: RuleSet, right: RuleSet, matched: DataFrame) -> DataFrame:

@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyrift.operators.histogram import Split
-from tallyrift.operators.matching import RuleSet, best_percent, match, merge, roll_up, rule_set
+from tallyrift.operators.matching import RuleSet, best_percent, match, merge, roll_up, rule_set, symmetric_divergence
+from tallyrift.operators.ranking import number_rows, score_order
 from tallyrift.plans.discovery import score_rules
-from tallyrift.session import materialize
+from tallyrift.session import materialize, plain_unions
 
 
 def score_all(split: Split, measure: str = "kl", **scoring) -> DataFrame:
@@ -29,6 +30,42 @@ def rules_at(split: Split, min_support: float, scored: DataFrame | None = None)
     return rule_set(split, scored.filter(F.col("freq") >= least))
 
 
+def _ranked(split: Split, min_supports: Sequence[float]) -> DataFrame:
+    """All rules of every support with their position and how many there are:
+    ``min_support, itemset, set_id, score, position, size``."""
+    scored, parts = score_all(split), []
+    for min_support in min_supports:
+        kept = scored.filter(F.col("freq") >= split.count_at(min_support))
+        size = kept.count()
+        numbered = number_rows(kept, score_order(), "position", size)
+        parts.append(
+            numbered.select(
+                F.lit(float(min_support)).alias("min_support"), "itemset", "set_id", "score", "position", F.lit(size).alias("size")
+            )
+        )
+    return materialize(reduce(DataFrame.unionByName, parts), "ranked")
+
+
+def _best(ranked: DataFrame, percents: Sequence[float]) -> DataFrame:
+    """The best share of every support, once per percent."""
+    each = ranked.withColumn("percent", F.explode(F.array(*[F.lit(p) for p in percents])))
+    return each.filter(F.col("position") < F.floor(F.col("size") * (F.col("percent") / 100.0)))
+
+
+def _sweep_rules(
+    left: Split, rights: Sequence[Split], min_supports: Sequence[float], percents: Sequence[float]
+) -> tuple[DataFrame, DataFrame]:
+    """The rules of both sides in every setting; the right sides merged, later ones winning."""
+    plain_unions(left.itemsets.sparkSession)
+    setting = ["min_support", "percent", "itemset"]
+    several = [_best(_ranked(r, min_supports), percents).withColumn("origin", F.lit(i)) for i, r in enumerate(rights)]
+    last = F.max_by(F.struct("origin", "set_id", "score"), "origin").alias("last")
+    right = reduce(DataFrame.unionByName, several).groupBy(*setting).agg(last)
+    right = right.select(*setting, "last.origin", F.col("last.set_id").alias("right_id"), F.col("last.score").alias("right_score"))
+    first = _best(_ranked(left, min_supports), percents)
+    return first.select(*setting, F.col("set_id").alias("left_id"), F.col("score").alias("left_score")), right
+
+
 def match_sweep(
     left: Split,
     rights: Sequence[Split],
@@ -38,15 +75,57 @@ def match_sweep(
 ) -> DataFrame:
     """Matched rules for every (min_support, percent). The rule sets of ``rights``
     are cut to their best share each and merged, later ones winning. With
-    ``depth`` the codes are shortened first, so related codes match."""
+    ``depth`` the codes are shortened first, so related codes match.
+
+    All settings are matched in one plan: supports only add rows to the ranked rules,
+    percents cut them, and the divergence of two rules, which no setting changes, is
+    computed once per pair. Shortened codes add up different rules at different supports,
+    so ``depth`` builds a rule set per support."""
+    if depth is not None:
+        return _shortened_sweep(left, rights, min_supports, percents, depth)
+    first, second = _sweep_rules(left, rights, min_supports, percents)
+    both = materialize(first.join(second, ["min_support", "percent", "itemset"]), "matched")
+    pair = ["left_id", "origin", "right_id"]
+    pairs = both.select(*pair).distinct()
+    zero = F.lit(0).cast("bigint")
+    mine = left.cells.select(F.col("set_id").alias("left_id"), "target", F.col("n_set").alias("l"), zero.alias("r"))
+    theirs = reduce(
+        DataFrame.unionByName,
+        [
+            r.cells.select(F.lit(i).alias("origin"), F.col("set_id").alias("right_id"), "target", zero.alias("l"), F.col("n_set").alias("r"))
+            for i, r in enumerate(rights)
+        ],
+    )
+    counts = pairs.join(mine, "left_id").unionByName(pairs.join(theirs, ["origin", "right_id"]))
+    divergence = symmetric_divergence(counts.groupBy(*pair, "target").agg(F.sum("l").alias("l"), F.sum("r").alias("r")), pair)
+    return both.join(divergence, pair).select("min_support", "percent", "itemset", "left_score", "right_score", "divergence")
+
+
+def sweep_rates(
+    left: Split, rights: Sequence[Split], min_supports: Sequence[float], percents: Sequence[float]
+) -> DataFrame:
+    """Rule counts of both sides and the matched share of the smaller one in percent, for
+    every setting in which both sides have rules."""
+    setting = ["min_support", "percent"]
+    first, second = _sweep_rules(left, rights, min_supports, percents)
+    one = F.count(F.lit(1))
+    matched = first.join(second, [*setting, "itemset"]).groupBy(*setting).agg(one.alias("n_matched"))
+    sizes = first.groupBy(*setting).agg(one.alias("n_left")).join(second.groupBy(*setting).agg(one.alias("n_right")), setting)
+    return sizes.join(matched, setting, "left").select(
+        *setting, "n_left", "n_right", F.coalesce("n_matched", F.lit(0)).alias("n_matched"),
+        (F.coalesce("n_matched", F.lit(0)) * 100.0 / F.least("n_left", "n_right")).alias("match_rate"),
+    )
+
+
+def _shortened_sweep(
+    left: Split, rights: Sequence[Split], min_supports: Sequence[float], percents: Sequence[float], depth: int
+) -> DataFrame:
     runs = []
     scores = [score_all(split) for split in (left, *rights)]
     for min_support in min_supports:
         left_rules, *right_rules = (
-            rules_at(split, min_support, scored) for split, scored in zip((left, *rights), scores)
+            roll_up(rules_at(split, min_support, scored), depth) for split, scored in zip((left, *rights), scores)
         )
-        if depth is not None:
-            left_rules, right_rules = roll_up(left_rules, depth), [roll_up(r, depth) for r in right_rules]
         for percent in percents:
             right = reduce(merge, [best_percent(rules, percent) for rules in right_rules])
             matched = match(best_percent(left_rules, percent), right)

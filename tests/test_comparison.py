@@ -7,10 +7,10 @@ import pytest
 from tallyrift import schemas
 from tallyrift.functions import stats
 from tallyrift.operators.bootstrap import bootstrap_divergences, bootstrap_error
-from tallyrift.operators.matching import RuleSet, match, match_rate, merge, roll_up
+from tallyrift.operators.matching import RuleSet, best_percent, match, match_rate, merge, roll_up
 from tallyrift.operators.ranking import top_rules
 from tallyrift.plans import report
-from tallyrift.plans.comparison import match_sweep, rules_at, sweep_summary
+from tallyrift.plans.comparison import match_sweep, rules_at, sweep_rates, sweep_summary
 from tallyrift.plans.discovery import score_rules, split_population
 from tallyrift.sources import exchange, tables
 from pyspark.sql import functions as F
@@ -148,3 +148,32 @@ def test_bootstrap(split):
     assert error.replicates == 4000
     assert error.standard_error == pytest.approx(np.std(drawn, ddof=1), rel=0.1)
     assert error.error_bar == pytest.approx(round(error.standard_error, 2))
+
+
+def test_sweep_in_one_plan_equals_the_settings_one_by_one(transactions):
+    draw = random.Random(9)
+    items = [f"{c}_diagnose" for c in ("40199", "4011", "25000", "25012")] + ["male", "urgent"]
+
+    def mined(count):
+        rows = [([i for i in items if draw.random() < 0.5], draw.randint(0, 5)) for _ in range(count)]
+        return split_population(transactions(rows), 0.1)
+
+    left, *rights = mined(150), mined(120), mined(130)
+    supports, percents = (0.1, 0.2), (40, 100)
+    shown = lambda rows: sorted((r.min_support, r.percent, tuple(r.itemset), round(r.left_score, 9), round(r.right_score, 9), round(r.divergence, 9)) for r in rows.collect())
+    got, sizes = shown(match_sweep(left, rights, supports, percents)), {}
+    wanted = []
+    for support in supports:
+        for percent in percents:
+            sets = [best_percent(rules_at(split, support), percent) for split in (left, *rights)]
+            right = merge(*sets[1:])
+            matched = match(sets[0], right)
+            wanted += shown(matched.withColumns({"min_support": F.lit(support), "percent": F.lit(percent)}))
+            sizes[support, percent] = (sets[0].rules.count(), right.rules.count(), matched.count())
+    assert got == sorted(wanted)
+    rates = {(r.min_support, r.percent): (r.n_left, r.n_right, r.n_matched) for r in sweep_rates(left, rights, supports, percents).collect()}
+    assert rates == sizes
+    short = shown(match_sweep(left, rights[:1], (0.1,), (100,), depth=0))
+    direct = match(roll_up(rules_at(left, 0.1), 0), roll_up(rules_at(rights[0], 0.1), 0))
+    assert short == shown(direct.withColumns({"min_support": F.lit(0.1), "percent": F.lit(100)}))
+    assert all("40199_diagnose" not in s for _, _, s, *_ in short) and any("401_diagnose" in s for _, _, s, *_ in short)
