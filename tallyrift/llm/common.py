@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import math
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyrift.session import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -47,6 +51,30 @@ def slices(sizes: list[int], limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         yield start, len(sizes)
 
 
+def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, list[bytes]]]:
+    """``start, stop, texts`` of runs of rows, so that no more than about ``limit`` bytes of a
+    batch are Python objects at a time."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+    for start, stop in slices(sizes, limit):
+        yield start, stop, texts(column.slice(start, stop - start))
+
+
+def gives_back(function):
+    """For a function over batches: when its task ends, freed memory goes back to the system.
+    The worker process stays beside the executor and would keep it otherwise."""
+
+    @functools.wraps(function)
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def sorted_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int) -> Iterator[pa.Table]:
     """Tables of about ``rows`` rows that hold whole groups; the input is sorted by ``key``."""
     held: list[pa.RecordBatch] = []

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyrift.llm.common import slices, texts
+from tallyrift.llm.common import gives_back, text_slices, texts
 
 SAMPLE_DOCUMENTS, SAMPLE_LINES = 6000, 200  # bounds of the training sample
 STEPS, RATE, RIDGE = 250, 0.05, 1e-3
@@ -203,12 +203,12 @@ def score_quality(docs: DataFrame, model: Model | None, id_col: str = "doc_id",
     keep = keep or [id_col]
     at = keep.index(text) if text in keep else len(keep)
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs = texts(batch.column(at))
-            score = np.full(len(docs), 0.5)
-            for a, b in slices([len(d) for d in docs]) if model else ():
-                shares, sizes, lines, _ = line_shares(docs[a:b])
+            score = np.full(batch.num_rows, 0.5)
+            for a, b, docs in text_slices(batch.column(at)) if model else ():
+                shares, sizes, lines, _ = line_shares(docs)
                 weight = sizes + 1.0
                 heads = np.cumsum(lines) - lines
                 good = model.good(shares, lines)

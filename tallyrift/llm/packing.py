@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tallyrift.llm.common import share
+from tallyrift.llm.common import gives_back, share, text_slices
 from tallyrift.session import materialize
 
 TOKENS = 4096
@@ -91,14 +91,15 @@ def token_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text: str =
     closing = np.array([end], "<u4").tobytes()
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordTokens(path)
         for batch in batches:
-            ids, body = batch.column(0), batch.column(1).to_pylist()
-            for at in range(0, len(body), 256):
+            ids = batch.column(0)
+            for at, _, body in text_slices(batch.column(1)):
                 found: list[tuple] = []
-                for row, t in enumerate(body[at : at + 256], at):
-                    data = encoder.encode(t or "") + closing
+                for row, t in enumerate(body, at):
+                    data = encoder.encode(t.decode()) + closing
                     for piece, start in enumerate(range(0, len(data), 4 * most)):
                         cut = data[start : start + 4 * most]
                         found.append((row, piece, start // 4, len(cut) // 4, zlib.crc32(cut), cut))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyrift.llm.common import slices, texts
+from tallyrift.llm.common import gives_back, text_slices
 from tallyrift.session import materialize
 
 ORDER, SLOT_BITS = 5, 22
@@ -52,6 +52,7 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 
 
 def _counted(order: int):
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple[np.ndarray, np.ndarray]] = []
         rows = 0
@@ -61,9 +62,11 @@ def _counted(order: int):
             return pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), pa.array(count)], ["gram", "n"])
 
         for batch in batches:
-            docs = [d for d in texts(batch.column(0)) if d]
-            for a, b in slices([len(d) for d in docs]):
-                parts.append(np.unique(grams(docs[a:b], order)[0], return_counts=True))
+            for *_, part in text_slices(batch.column(0)):
+                docs = [d for d in part if d]
+                if not docs:
+                    continue
+                parts.append(np.unique(grams(docs, order)[0], return_counts=True))
                 rows += len(parts[-1][0])
                 if rows > MERGE_ROWS:
                     parts = [_merged(parts)]
@@ -209,21 +212,24 @@ def score_documents(docs: DataFrame, arrays: list, id_col: str = "doc_id", text:
     model = docs.sparkSession.sparkContext.broadcast(arrays)
     names = ["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_ppl"]
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model.value)
         for batch in batches:
-            docs = texts(batch.column(2))
-            full = [i for i, d in enumerate(docs) if d]
-            chars, symbols = np.zeros(len(docs), np.int64), np.zeros(len(docs), np.int64)
-            surprise = np.full(len(docs), np.nan)
-            for a, b in slices([len(docs[i]) for i in full]):
-                rows, part = full[a:b], [docs[i] for i in full[a:b]]
+            chars, symbols = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            surprise = np.full(batch.num_rows, np.nan)
+            counted: list[tuple[int, int, int]] = []
+            for a, _, docs in text_slices(batch.column(2)):
+                counted += map(text_rules, docs)
+                rows, part = [a + i for i, d in enumerate(docs) if d], [d for d in docs if d]
+                if not part:
+                    continue
                 code, starts = grams(part, len(scorer.arrays))
                 data = np.frombuffer(b"".join(part), np.uint8)
                 chars[rows] = np.add.reduceat(LETTERS[data], starts)
                 symbols[rows] = np.add.reduceat(SYMBOLS[data], starts)
                 surprise[rows] = -np.add.reduceat(scorer.logp(code).astype(np.float64), starts) / [len(d) for d in part]
-            words, lines, repeats = zip(*map(text_rules, docs)) if docs else ((), (), ())
+            words, lines, repeats = zip(*counted) if counted else ((), (), ())
             numbers = [pa.array(x, pa.int64()) for x in (words, chars, symbols, lines, repeats)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *numbers, pa.array(surprise, from_pandas=True)], names)
 

@@ -16,17 +16,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyrift.llm.common import fresh, slices, sorted_groups, split_hot, texts
+from tallyrift.llm.common import fresh, gives_back, slices, sorted_groups, split_hot, text_slices
 from tallyrift.session import materialize
 
 LENGTH, GRAM = 100, 32
 REACH = LENGTH - GRAM  # bytes of a string before its anchor at most
 HALF = REACH // 2
-GROUP_ROWS, SORTED_ROWS = 3000, 3000
+GROUP_ROWS, SORTED_ROWS, PART_BYTES = 3000, 3000, 1 << 23
 LAST_ID = (1 << 63) - 1
 ROW = "doc_id bigint, version int, start bigint, stop bigint"
 
@@ -114,19 +115,26 @@ def _removals(doc, version, start, stop) -> pa.RecordBatch:
     )
 
 
-def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Anchors of every text. Of equal fragments in one batch only the first goes on; the
-    others are repeats already and leave as intervals, so a passage that everybody has
-    sends one row per batch."""
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array]]:
+    """Ids, versions and texts of runs of documents of about PART_BYTES."""
     for batch in batches:
-        docs = texts(batch.column(2))
         ids, versions = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        column = batch.column(2)
+        sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+        for a, b in slices(sizes, PART_BYTES):
+            yield ids[a:b], versions[a:b], column.slice(a, b - a)
+
+
+@gives_back
+def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Anchors of every text. Of equal fragments in one part only the first goes on; the
+    others are repeats already and leave as intervals, so a passage that everybody has
+    sends one row per part."""
+    for ids, versions, column in _parts(batches):
         found = []
-        for a, b in slices([len(d) for d in docs]):
-            row, *rest = anchors(docs[a:b])
+        for a, _, docs in text_slices(column):
+            row, *rest = anchors(docs)
             found.append((row + a, *rest))
-        if not found:
-            continue
         row, start, shape, key, fragment = (np.concatenate(x) for x in zip(*found))
         both = _mix(key + fragment * C1)
         order = np.argsort(both)
@@ -152,6 +160,7 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+@gives_back
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (anchor, fragment, document, start): later rows of a fragment are
     repeats (``stop`` is set); first rows of an anchor with several fragments are open
@@ -197,13 +206,15 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows([held[2]], [held[3]], [held[4]], shape=[held[5]])
 
 
+@gives_back
 def _fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Bytes around open anchors. Two fragments can share a string only if they agree on
     HALF more bytes to the left or to the right of the anchor; both are keys."""
     for batch in batches:
-        doc, version, docs = batch.column(0), batch.column(1), texts(batch.column(2))
+        doc, version = batch.column(0), batch.column(1)
         found: list[tuple] = []
-        for row, (text, places) in enumerate(zip(docs, batch.column(3).to_pylist())):
+        asked = ((a + i, t, p) for a, b, docs in text_slices(batch.column(2)) for i, (t, p) in enumerate(zip(docs, batch.column(3).slice(a, b - a).to_pylist())))
+        for row, text, places in asked:
             for start, shape in ((p["start"], p["shape"]) for p in places or ()):
                 at, size = divmod(shape, 256)
                 data = text[start : start + size]
@@ -294,6 +305,7 @@ class SuffixArray:
                 yield top, first, last
 
 
+@gives_back
 def _sorted_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows in sorted_groups(batches, "key", SORTED_ROWS):
         keys = rows.column("key").to_numpy()
@@ -378,16 +390,17 @@ def _cut(text: bytes, spans: list[dict] | None) -> tuple[bytes, int, int]:
     return b"".join(kept), removed, runs
 
 
+@gives_back
 def _applied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The last two columns are the text and its spans; the others pass."""
     for batch in batches:
-        docs, spans = texts(batch.column(batch.num_columns - 2)), batch.column(batch.num_columns - 1)
-        for a, b in slices([len(d) for d in docs]):
-            kept, removed, runs = zip(*map(_cut, docs[a:b], spans.slice(a, b - a).to_pylist()))
+        spans = batch.column(batch.num_columns - 1)
+        for a, b, docs in text_slices(batch.column(batch.num_columns - 2)):
+            kept, removed, runs = zip(*map(_cut, docs, spans.slice(a, b - a).to_pylist()))
             yield pa.RecordBatch.from_arrays(
                 [
                     *(c.slice(a, b - a) for c in batch.columns[:-2]),
-                    pa.array([len(d) for d in docs[a:b]], pa.int64()),
+                    pa.array([len(d) for d in docs], pa.int64()),
                     pa.array(removed, pa.int64()),
                     pa.array(runs, pa.int64()),
                     pa.array([hashlib.sha256(k).hexdigest() for k in kept]),

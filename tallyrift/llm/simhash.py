@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyrift.llm.common import fresh, sorted_groups, split_hot, texts
+from tallyrift.llm.common import fresh, gives_back, sorted_groups, split_hot, text_slices
 from tallyrift.llm.graph import components
 from tallyrift.session import materialize
 
@@ -171,6 +171,7 @@ def block_keys(code: str) -> Column:
     return F.array(*keys)
 
 
+@gives_back
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows in sorted_groups(batches, "key", FOREST_ROWS):
         keys, codes = rows.column("key").to_numpy(), rows.column("code").to_numpy()
@@ -187,9 +188,11 @@ def fingerprints(docs: DataFrame, text: str, name: str) -> DataFrame:
     """``docs`` without ``text`` but with a bigint column ``name`` of its fingerprint."""
     kept = [c for c in docs.columns if c != text]
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes = np.array([fingerprint(t) for t in texts(batch.column(text))], np.uint64).view(np.int64)
+            found = [fingerprint(t) for *_, part in text_slices(batch.column(text)) for t in part]
+            codes = np.array(found, np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(codes)], [*kept, name])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text), f"`{name}` bigint"])
