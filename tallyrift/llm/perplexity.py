@@ -6,7 +6,8 @@ discounts, back-off weights and probabilities follow from that table by joins an
 scoring, n-grams become SLOT_BITS-bit hashes in sorted arrays, so that what every task gets is
 at most ORDER * 2^SLOT_BITS entries whatever the corpus holds; n-grams that share a slot share
 their mean log probability. Bands of accepted perplexity come from each language's own
-quartiles."""
+quartiles; a short text says less about its language, so its log perplexity counts together
+with PRIOR_BYTES bytes of the language's median."""
 
 from __future__ import annotations
 
@@ -14,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +24,7 @@ from tallyrift.session import materialize
 
 ORDER, SLOT_BITS = 5, 22
 FENCE = 3.0  # quartile distances that a document may lie outside its language's quartiles
+PRIOR_BYTES = 200
 LEAST_WORDS, MOST_REPEATED = 50, 50
 MERGE_ROWS = 1 << 22
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -210,7 +213,7 @@ LETTERS = 1 - _byte_flags(b" \t\n\v\f\r" + bytes(range(0x80, 0xC0)))  # starts o
 def score_documents(docs: DataFrame, arrays: list, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """``doc_id, lang``, the counts of the rules and ``log_ppl`` (per byte, null if empty)."""
     model = docs.sparkSession.sparkContext.broadcast(arrays)
-    names = ["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_ppl"]
+    names = ["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_bytes", "log_ppl"]
 
     @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,17 +233,18 @@ def score_documents(docs: DataFrame, arrays: list, id_col: str = "doc_id", text:
                 symbols[rows] = np.add.reduceat(SYMBOLS[data], starts)
                 surprise[rows] = -np.add.reduceat(scorer.logp(code).astype(np.float64), starts) / [len(d) for d in part]
             words, lines, repeats = zip(*counted) if counted else ((), (), ())
-            numbers = [pa.array(x, pa.int64()) for x in (words, chars, symbols, lines, repeats)]
+            sizes = pc.fill_null(pc.binary_length(batch.column(2)), 0)
+            numbers = [*(pa.array(x, pa.int64()) for x in (words, chars, symbols, lines, repeats)), sizes.cast(pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *numbers, pa.array(surprise, from_pandas=True)], names)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"doc_id {kind}, lang string, {', '.join(f'{c} bigint' for c in names[2:7])}, log_ppl double"
+    schema = f"doc_id {kind}, lang string, {', '.join(f'{c} bigint' for c in names[2:8])}, log_ppl double"
     return docs.select(F.col(id_col).alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """The counts, ``base_failed``, ``log_ppl``, its language's ``lower`` and ``upper`` bound,
-    and ``kept`` for every row.
+    """The counts, ``base_failed``, ``log_ppl``, ``weighed`` (with the prior), its language's
+    ``lower`` and ``upper`` bound, and ``kept`` for every row.
 
     A null text is empty and fails; a null language is a language of its own. A language
     whose documents all fail the base rules has no band, and needs none. Repeated rows are
@@ -249,9 +253,11 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text: str = "text", l
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     scored = scored.withColumn("base_failed", failed)
     bands = scored.where(~F.col("base_failed")).groupBy(F.col("lang").alias("_lang"))
-    bands = bands.agg(F.percentile_approx("log_ppl", [0.25, 0.75], 10_000).alias("q"))
-    apart = FENCE * (F.col("q")[1] - F.col("q")[0])
-    bands = bands.select("_lang", (F.col("q")[0] - apart).alias("lower"), (F.col("q")[1] + apart).alias("upper"))
-    inside = F.col("log_ppl").between(F.col("lower"), F.col("upper"))
-    joined = scored.join(bands, F.col("lang").eqNullSafe(F.col("_lang")), "left").drop("_lang")
+    bands = bands.agg(F.percentile_approx("log_ppl", [0.25, 0.5, 0.75], 10_000).alias("q"))
+    apart = FENCE * (F.col("q")[2] - F.col("q")[0])
+    bands = bands.select("_lang", F.col("q")[1].alias("_median"), (F.col("q")[0] - apart).alias("lower"), (F.col("q")[2] + apart).alias("upper"))
+    weighed = (F.col("log_ppl") * F.col("n_bytes") + F.col("_median") * PRIOR_BYTES) / (F.col("n_bytes") + PRIOR_BYTES)
+    inside = F.col("weighed").between(F.col("lower"), F.col("upper"))
+    joined = scored.join(bands, F.col("lang").eqNullSafe(F.col("_lang")), "left")
+    joined = joined.withColumn("weighed", weighed).drop("_lang", "_median", "n_bytes")
     return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False)))

@@ -467,7 +467,7 @@ def test_rules_against_the_definition(spark, documents, nothing):
     assert known == wanted
     for r in got:
         assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words)
-        assert r.kept == (not r.base_failed and r.lower <= r.log_ppl <= r.upper)
+        assert r.kept == (not r.base_failed and r.lower <= r.weighed <= r.upper)
     assert perplexity.quality_rules(nothing).count() == 0
 
 
