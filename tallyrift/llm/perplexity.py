@@ -24,7 +24,7 @@ from tallyrift.session import materialize
 
 ORDER, SLOT_BITS = 5, 22
 FENCE = 3.0  # quartile distances that a document may lie outside its language's quartiles
-PRIOR_BYTES = 200
+PRIOR_BYTES = 300
 LEAST_WORDS, MOST_REPEATED = 50, 50
 MERGE_ROWS = 1 << 22
 ODD = np.uint64(0x9E3779B97F4A7C15)
