@@ -6,13 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyrift.catalog.bindings import table
+from tallyrift.plans.clinical import ADMISSION_TYPE_OF_SOURCE
 
-# Sources an analog admission may come from; the last one is unknown.
-SOURCES = [
-    "Direct Admit", "Emergency Department", "Floor", "Operating Room", "Other Hospital", "Other ICU",
-    "ICU to SDU", "Step-Down Unit (SDU)", "Recovery Room", "Chest Pain Center", "Acute Care/Floor", "PACU",
-    "Observation", "ICU", "Other", "Somewhere else",
-]
+# The known sources, and one that is unknown.
+SOURCES = [*ADMISSION_TYPE_OF_SOURCE, "Somewhere else"]
 
 
 def admissions(spark: SparkSession, folder: str) -> DataFrame:

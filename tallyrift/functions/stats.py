@@ -49,12 +49,12 @@ def exponential_divergence(rate_p: Column, rate_q: Column) -> Column:
 
 
 def normal_divergence(
-    mean_p: Column, var_p: Column, mean_q: Column, var_q: Column, formula: str = "reference"
+    mean_p: Column, var_p: Column, mean_q: Column, var_q: Column, formula: str = "squared_variance"
 ) -> Column:
-    """KL(p || q) of two normal distributions. ``reference`` squares the variances
+    """KL(p || q) of two normal distributions. ``squared_variance`` squares the variances
     once more, as the original measure does; ``textbook`` does not. Null when a
     variance is missing or 0."""
-    if formula == "reference":
+    if formula == "squared_variance":
         p, q = var_p * var_p, var_q * var_q
     elif formula == "textbook":
         p, q = var_p, var_q

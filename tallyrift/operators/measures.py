@@ -134,7 +134,7 @@ def normal_fit(side: DataFrame) -> DataFrame:
     )
 
 
-def normal_divergence(split: Split, fit_threshold: float | None = None, formula: str = "reference") -> DataFrame:
+def normal_divergence(split: Split, fit_threshold: float | None = None, formula: str = "squared_variance") -> DataFrame:
     """Divergence between the normal fits of both sides. With a threshold the
     set side is filtered first and only the survivors get a full histogram."""
     inside = normal_fit(split.cells.select("set_id", "target", F.col("n_set").alias("n")))

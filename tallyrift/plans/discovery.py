@@ -25,7 +25,7 @@ def score_rules(
     split: Split,
     measure: str,
     fit_threshold: float | None = None,
-    formula: str = "reference",
+    formula: str = "squared_variance",
     require_counter: bool = True,
     significant: bool = False,
 ) -> DataFrame:

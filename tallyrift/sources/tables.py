@@ -21,18 +21,10 @@ def read_csv(spark: SparkSession, path: str, schema: str | StructType | None = N
     return table.drop(*INDEX_COLUMNS)
 
 
-def read_parquet(spark: SparkSession, path: str, schema: str | StructType | None = None) -> DataFrame:
-    return (spark.read.schema(schema) if schema else spark.read).parquet(path)
-
-
 def write_csv(table: DataFrame, path: str, mode: str = "error") -> None:
     table.write.mode(mode).option("header", True).csv(path)
 
 
-def write_parquet(table: DataFrame, path: str, mode: str = "error") -> None:
-    table.write.mode(mode).parquet(path)
-
-
 def write_values(histogram: DataFrame, path: str, mode: str = "error") -> None:
     """``target, n`` as one value per line without header."""
     repeat_rows(histogram.select("target", "n"), "n").write.mode(mode).csv(path)
