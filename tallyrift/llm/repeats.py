@@ -41,6 +41,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _eights(data: np.ndarray) -> np.ndarray:
+    """Hashes of all runs of eight bytes."""
+    words = np.ndarray(max(len(data) - 7, 0), np.uint64, np.ascontiguousarray(data), strides=(1,))
+    return _mix((words + C2) * C1)
+
+
 def _double(h: np.ndarray, step: int) -> np.ndarray:
     """Hashes of runs twice as long, from those of their halves."""
     if len(h) <= step:
@@ -70,9 +76,7 @@ def anchors(docs: list[bytes]) -> tuple[np.ndarray, ...]:
     data = np.frombuffer(b"".join(docs[i] for i in keep), np.uint8)
     ends = np.cumsum(sizes[keep])
     starts = ends - sizes[keep]
-    h = _mix((data.astype(np.uint64) + np.uint64(1)) * C1)
-    for step in (1, 2, 4, 8, 16):
-        h = _double(h, step)
+    h = _double(_double(_eights(data), 8), 16)
     long = _double(h, GRAM)
     lowest = _slide(h, REACH + 1, np.minimum)  # of every string
     for end in ends[:-1]:
@@ -265,7 +269,9 @@ class SuffixArray:
     @staticmethod
     def _again(text: np.ndarray, starts: np.ndarray, least: int) -> np.ndarray:
         """Which strings of ``least`` bytes at ``starts`` are there twice."""
-        h, step = text.astype(np.uint64) * C1, 1
+        if least < 8:
+            raise ValueError("strings of eight bytes at least")
+        h, step = _eights(text), 8
         while 2 * step <= least:
             h = _double(h, step)
             step *= 2
