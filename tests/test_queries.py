@@ -1,5 +1,6 @@
 """Named queries against their SQL."""
 
+import functools
 import os
 
 import duckdb
@@ -13,15 +14,21 @@ TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
 NAMES = list(all_sql())
+# On the smallest tables the parts' support is one basket, so that every set is frequent, and
+# samples are too small for a closed form of first order.
+LARGER = {
+    name: FOLDER.replace("sf0.001", "sf0.01")
+    for name in ("part_itemsets", "kl_rules_parts", "bootstrap_agrees", "bootstrap_sweep_agrees")
+}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 
 
-@pytest.fixture(scope="module")
-def database():
+@functools.cache
+def database(folder):
     connection = duckdb.connect()
     for name in TABLES:
-        connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{FOLDER}/{name}.parquet'")
+        connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet'")
     return connection
 
 
@@ -35,9 +42,10 @@ def test_names():
 
 
 @pytest.mark.parametrize("name", NAMES)
-def test_query_equals_sql(spark, database, name):
-    got = entry_points.queries()[name](spark, FOLDER).toPandas()
-    want = database.execute(entry_points.oracle_sql()[name]).df()
+def test_query_equals_sql(spark, name):
+    folder = LARGER.get(name, FOLDER)
+    got = entry_points.queries()[name](spark, folder).toPandas()
+    want = database(folder).execute(entry_points.oracle_sql()[name]).df()
     columns = sorted(got.columns)
     assert columns == sorted(want.columns)
 
