@@ -6,7 +6,13 @@ key's group the fingerprints are sorted by Gray rank, which puts fingerprints wi
 common patterns side by side. Runs of neighbours become leaves, runs of leaves become
 inner nodes; a node stores the mask of the bits that all its members share. Two nodes are
 compared on the bits that both masks fix; the differences found there only grow on the
-way down, so a pair of nodes beyond three is dropped with everything below it."""
+way down, so a pair of nodes beyond three is dropped with everything below it.
+
+Beyond three bits the fingerprint has one block for every three bits of the distance, so
+one block of two near fingerprints differs in two bits at most: their keys are the block
+and its neighbours at one bit, which then meet. Where a similarity is asked for, fingerprints
+are taken of the set of shingles, a second fingerprint keeps chance pairs out, and the texts
+of linked fingerprints are compared by the Jaccard similarity of their shingles."""
 
 from __future__ import annotations
 
@@ -27,21 +33,29 @@ LEAF, FAN = 8, 8
 GROUP_ROWS = 4096
 FOREST_ROWS = 100_000
 PAIRS_AT_ONCE = 1 << 15
+TWIN_BITS = 5  # what the second fingerprint may differ in beyond the first one's distance
+SET_ROWS = 1024
 
 
-def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
+def shingles(text: bytes, width: int = 3, seed: int = 42) -> np.ndarray:
+    """Hashes of all runs of ``width`` words, or of the whole text if it has fewer."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
     starts = np.concatenate(([0], np.cumsum(lengths)))
     if len(words) > width:
         ends = (starts[width:] - 1).tolist()
         digest = xxhash.xxh64_intdigest
-        hashes = np.array([digest(joined[a:b], seed) for a, b in zip(starts.tolist(), ends)], np.uint64)
-    else:
-        hashes = np.array([xxhash.xxh64_intdigest(joined, seed)], np.uint64)
+        return np.array([digest(joined[a:b], seed) for a, b in zip(starts.tolist(), ends)], np.uint64)
+    return np.array([xxhash.xxh64_intdigest(joined, seed)], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have."""
+    if not len(hashes):
+        return 0
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 255 * 256):  # sums of up to 255 bits fit a byte
         part = hashes[at : at + 255 * 256]
@@ -53,6 +67,17 @@ def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
+    return majority(shingles(text, width, seed))
+
+
+def remixed(hashes: np.ndarray) -> np.ndarray:
+    """Other hashes of the same shingles."""
+    mixed = hashes * np.uint64(0x9E3779B97F4A7C15)
+    mixed = (mixed ^ mixed >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    return mixed ^ mixed >> np.uint64(32)
+
+
 def gray_rank(codes: np.ndarray) -> np.ndarray:
     """Place of a code word in the reflected Gray sequence."""
     rank = codes.copy()
@@ -116,11 +141,13 @@ class _Sets:
                 self.root = jumped
 
 
-def link_groups(codes: np.ndarray, groups: np.ndarray, bits: int = DIFFERENT_BITS) -> tuple[np.ndarray, np.ndarray]:
+def link_groups(codes: np.ndarray, groups: np.ndarray, bits: int = DIFFERENT_BITS, twins: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """A spanning set of the links (member, smallest position) inside the groups; both
-    arrays are positions in ``codes``. Nodes already joined into one set are not opened."""
+    arrays are positions in ``codes``. Nodes already joined into one set are not opened.
+    Links of far ``twins`` (second fingerprints) do not count."""
     order = np.lexsort((gray_rank(codes), groups))
     code = codes[order]
+    twin = None if twins is None else twins[order]
     levels = _levels(code, groups[order])
     sets = _Sets(len(code))
     spans = [None]  # positions below each node: first and last
@@ -149,6 +176,9 @@ def link_groups(codes: np.ndarray, groups: np.ndarray, bits: int = DIFFERENT_BIT
         near = apart <= bits
         a, b = a[near], b[near]
         if depth == 1:
+            if twin is not None:
+                near = np.bitwise_count(twin[a] ^ twin[b]) <= bits + TWIN_BITS
+                a, b = a[near], b[near]
             sets.link(a, b)
         elif len(a):
             stack.append((depth - 1, a, b))
@@ -171,27 +201,42 @@ def block_keys(code: str) -> Column:
     return F.array(*keys)
 
 
-@gives_back
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows in sorted_groups(batches, "key", FOREST_ROWS):
-        keys, codes = rows.column("key").to_numpy(), rows.column("code").to_numpy()
-        start = np.concatenate(([True], keys[1:] != keys[:-1]))
-        sizes = np.diff(np.append(np.flatnonzero(start), len(keys)))
-        many = np.repeat(sizes > 1, sizes)
-        if many.any():
-            groups, codes = np.cumsum(start)[many], codes[many]
-            member, root = link_groups(codes.view(np.uint64), groups)
-            yield pa.RecordBatch.from_arrays([pa.array(codes[member]), pa.array(codes[root])], ["u", "v"])
+def neighbour_keys(code: str, bits: int) -> Column:
+    """Keys for any distance: every block and its neighbours at one bit."""
+    x, keys, blocks = F.col(code), [], bits // 3 + 1
+    edges = [64 * b // blocks for b in range(blocks + 1)]
+    for b, (low, high) in enumerate(zip(edges, edges[1:])):
+        part = F.shiftrightunsigned(x, low).bitwiseAND(F.lit((1 << high - low) - 1)) if high - low < 64 else x
+        for flipped in (0, *(1 << i for i in range(high - low))):
+            keys.append(F.shiftleft(F.lit(b).cast("bigint"), 56).bitwiseOR(part.bitwiseXOR(F.lit(flipped).cast("bigint"))))
+    return F.array(*keys)
+
+
+def _links(bits: int, twin: str | None):
+    @gives_back
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in sorted_groups(batches, "key", FOREST_ROWS):
+            keys, codes = rows.column("key").to_numpy(), rows.column("code").to_numpy()
+            start = np.concatenate(([True], keys[1:] != keys[:-1]))
+            sizes = np.diff(np.append(np.flatnonzero(start), len(keys)))
+            many = np.repeat(sizes > 1, sizes)
+            if many.any():
+                groups, codes = np.cumsum(start)[many], codes[many]
+                nodes = rows.column(twin).to_numpy()[many] if twin else codes
+                member, root = link_groups(codes.view(np.uint64), groups, bits, nodes.view(np.uint64) if twin else None)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[member]), pa.array(nodes[root])], ["u", "v"])
+
+    return run
 
 
-def fingerprints(docs: DataFrame, text: str, name: str) -> DataFrame:
+def fingerprints(docs: DataFrame, text: str, name: str, width: int = 3) -> DataFrame:
     """``docs`` without ``text`` but with a bigint column ``name`` of its fingerprint."""
     kept = [c for c in docs.columns if c != text]
 
     @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(t) for *_, part in text_slices(batch.column(text)) for t in part]
+            found = [fingerprint(t, width) for *_, part in text_slices(batch.column(text)) for t in part]
             codes = np.array(found, np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(codes)], [*kept, name])
 
@@ -199,44 +244,158 @@ def fingerprints(docs: DataFrame, text: str, name: str) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def near_groups(codes: DataFrame) -> DataFrame:
+def near_groups(codes: DataFrame, bits: int = DIFFERENT_BITS, twin: str | None = None) -> DataFrame:
     """``code, root`` of every fingerprint linked to another one with a smaller value.
-    ``codes`` has distinct bigints ``code``."""
-    keyed = materialize(codes.select("code", F.explode(block_keys("code")).alias("key")), "keys")
+    ``codes`` has distinct bigints ``code``; with ``twin``, distinct pairs of both, and
+    the second fingerprint names the nodes."""
+    held = ["code", twin] if twin else ["code"]
+    keys = block_keys("code") if bits <= DIFFERENT_BITS else neighbour_keys("code", bits)
+    keyed = materialize(codes.select(*held, F.explode(keys).alias("key")), "keys")
     keyed = split_hot(keyed, "key", GROUP_ROWS, F.xxhash64("code"), "hot")
     parts = keyed.repartition("key").sortWithinPartitions("key")
-    links = parts.select("key", "code").mapInArrow(_links, "u bigint, v bigint")
+    links = parts.select("key", *held).mapInArrow(_links(bits, twin), "u bigint, v bigint")
+    return components(links).select(F.col("node").alias("code"), "root")
+
+
+def shingle_sets(docs: DataFrame, text: str, width: int, whole: bool = False) -> DataFrame:
+    """``docs`` without ``text`` but with bigints ``code`` (a hash of the text's set of
+    shingles), ``near`` and ``twin`` (its fingerprints), and the sorted ``set`` if ``whole``."""
+    kept = [c for c in docs.columns if c != text]
+    names = [*kept, "code", "near", "twin", *(["set"] if whole else [])]
+
+    @gives_back
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, part in text_slices(batch.column(text)):
+                sets = [np.unique(shingles(t, width)) for t in part]
+                found = [[xxhash.xxh64_intdigest(s.tobytes()) for s in sets], map(majority, sets), (majority(remixed(s)) for s in sets)]
+                columns = [pa.array(np.array(list(x), np.uint64).view(np.int64)) for x in found]
+                columns += [pa.array([s.tobytes() for s in sets], pa.binary())] if whole else []
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in kept), *columns], names)
+
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text]
+    kinds += ["code bigint", "near bigint", "twin bigint", *(["set binary"] if whole else [])]
+    return docs.mapInArrow(run, ", ".join(kinds))
+
+
+def shingle_codes(docs: DataFrame, text: str, name: str, width: int) -> DataFrame:
+    """``docs`` without ``text`` but with a bigint ``name`` that stands for its set of shingles."""
+    kept = [c for c in docs.columns if c != text]
+
+    @gives_back
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = (np.unique(shingles(t, width)) for *_, part in text_slices(batch.column(text)) for t in part)
+            codes = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(codes)], [*kept, name])
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text), f"`{name}` bigint"])
+    return docs.mapInArrow(run, schema)
+
+
+def similar_links(sets: list[np.ndarray], near: np.ndarray, twin: np.ndarray, bits: int, similarity: float) -> list[tuple[int, int]]:
+    """A spanning set of the links among sets of one candidate group: two sets are linked if
+    one of their fingerprints is near and their Jaccard similarity is at least ``similarity``."""
+    sizes = np.array([len(s) for s in sets])
+    root, links = np.arange(len(sets)), []
+    for at in range(1, len(sets)):
+        close = (np.bitwise_count(near[:at] ^ near[at]) <= bits) | (np.bitwise_count(twin[:at] ^ twin[at]) <= bits)
+        close &= np.minimum(sizes[:at], sizes[at]) >= similarity * np.maximum(sizes[:at], sizes[at])
+        for other in np.flatnonzero(close).tolist():
+            if root[other] == root[at]:
+                continue
+            same = len(np.intersect1d(sets[at], sets[other], assume_unique=True))
+            every = sizes[at] + sizes[other] - same
+            if every == 0 or same >= similarity * every:
+                links.append((at, other))
+                low, high = sorted((root[at], root[other]))
+                root[: at + 1][root[: at + 1] == high] = low
+    return links
+
+
+def _similar(bits: int, similarity: float):
+    @gives_back
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in sorted_groups(batches, "key", SET_ROWS):
+            keys, codes = rows.column("key").to_numpy(), rows.column("code").to_numpy()
+            near, twin = (rows.column(c).to_numpy().view(np.uint64) for c in ("near", "twin"))
+            edges = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
+            for a, b in zip(edges, edges[1:]):
+                sets = [np.frombuffer(s, np.uint64) for s in rows.column("set").slice(a, b - a).to_pylist()]
+                links = np.array(similar_links(sets, near[a:b], twin[a:b], bits, similarity), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(codes[a:b][links[:, 0]]), pa.array(codes[a:b][links[:, 1]])], ["u", "v"])
+
+    return run
+
+
+def similar_groups(rows: DataFrame, distinct: DataFrame, width: int, bits: int, similarity: float) -> DataFrame:
+    """``code, root`` of every set linked to another one with a smaller code. ``rows`` has
+    ``doc_id, text``; ``distinct`` has ``code, near, twin`` and ``first``, an id of every set.
+
+    Groups of near fingerprints are only candidates; every link is decided by the sets
+    themselves, which are made again for the candidates alone."""
+    pairs = distinct.select(F.col("near").alias("code"), "twin").distinct()
+    roots = near_groups(pairs, bits, "twin").select(F.col("code").alias("twin"), F.col("root").alias("key"))
+    placed = distinct.join(roots, "twin", "left").withColumn("key", F.coalesce("key", "twin"))
+    placed = materialize(placed.select("code", "first", "key"), "placed")
+    many = placed.groupBy("key").count().where("count > 1").select("key")
+    asked = materialize(placed.join(many, "key", "left_semi"), "candidates")
+    ids = asked.where(F.col("first").isNotNull()).select(F.col("first").alias("doc_id")).distinct()
+    read = rows.join(ids, "doc_id", "left_semi").select("text")
+    if not asked.where(F.col("first").isNull()).isEmpty():
+        read = read.unionByName(rows.where(F.col("doc_id").isNull()).select("text"))
+    sets = shingle_sets(read, "text", width, whole=True).join(asked.select("code", "key"), "code").dropDuplicates(["code"])
+    sets = split_hot(materialize(sets, "sets"), "key", SET_ROWS, F.xxhash64("code"), "hot-sets")
+    parts = sets.repartition("key").sortWithinPartitions("key")
+    links = parts.select("key", "code", "near", "twin", "set").mapInArrow(_similar(bits, similarity), "u bigint, v bigint")
     return components(links).select(F.col("node").alias("code"), "root")
 
 
-def _grouped(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """Rows as ``doc_id, code``, and ``code, root, component_id`` of every fingerprint."""
+def _marked(rows: DataFrame, width: int, similarity: float | None) -> DataFrame:
+    return fingerprints(rows, "text", "code", width) if similarity is None else shingle_sets(rows, "text", width)
+
+
+def _grouped(docs: DataFrame, id_col: str, text: str, width: int, bits: int, similarity: float | None) -> tuple[DataFrame, DataFrame]:
+    """Rows as ``doc_id, code``, and ``code, root, component_id`` of every fingerprint, or of
+    every set of shingles if a similarity is asked for."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
-    marked = materialize(fingerprints(rows, "text", "code"), "fingerprints")
-    distinct = materialize(marked.groupBy("code").agg(F.min("doc_id").alias("first")), "distinct")
-    roots = near_groups(distinct.select("code"))
+    marked = materialize(_marked(rows, width, similarity), "fingerprints")
+    marks = [F.first(c).alias(c) for c in marked.columns[2:]]
+    distinct = materialize(marked.groupBy("code").agg(F.min("doc_id").alias("first"), *marks), "distinct")
+    if similarity is None:
+        roots = near_groups(distinct.select("code"), bits)
+    else:
+        roots = similar_groups(rows, distinct, width, bits, similarity)
     joined = distinct.join(roots, "code", "left").withColumn("root", F.coalesce("root", "code"))
     joined = materialize(joined, "roots")
     named = joined.join(joined.groupBy("root").agg(F.min("first").alias("component_id")), "root")
     return marked, materialize(named.select("code", "root", "component_id"), "components")
 
 
-def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def simhash_groups(
+    docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 3, bits: int = DIFFERENT_BITS, similarity: float | None = None
+) -> DataFrame:
     """``doc_id, fingerprint, component_id`` of every row.
 
     A null or empty text has the fingerprint zero and is linked like any other. Rows with
     equal fingerprints are always linked. A null id belongs to its component but never
     names it, unless no other id is there (then the component is null). Repeated rows stay
-    repeated; other columns are ignored; no rows give no rows."""
-    marked, named = _grouped(docs, id_col, text)
-    digits = F.lower(F.lpad(F.hex("code"), 16, "0"))
+    repeated; other columns are ignored; no rows give no rows.
+
+    Shingles have ``width`` words; fingerprints within ``bits`` bits are linked. With
+    ``similarity`` a link also needs that Jaccard similarity of the two sets of shingles."""
+    marked, named = _grouped(docs, id_col, text, width, bits, similarity)
+    digits = F.lower(F.lpad(F.hex("code" if similarity is None else "near"), 16, "0"))
     return marked.join(named, "code").select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def drop_near_copies(
+    docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 3, bits: int = DIFFERENT_BITS, similarity: float | None = None
+) -> DataFrame:
     """The columns of ``docs`` for one row of each group: the one with the smallest id, and
-    any one of the rows that repeat that id. A group without ids keeps any one row."""
-    marked, named = _grouped(docs, id_col, text)
+    any one of the rows that repeat that id. A group without ids keeps any one row. The other
+    parameters are those of ``simhash_groups``."""
+    marked, named = _grouped(docs, id_col, text, width, bits, similarity)
     keep = named.where(F.col("component_id").isNotNull()).select(F.col("component_id").alias(id_col)).distinct()
     kept = docs.join(keep, id_col, "left_semi").select(*docs.columns)
     if not marked.groupBy("doc_id").count().where("count > 1 and doc_id is not null").isEmpty():
@@ -245,6 +404,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
     if nameless.isEmpty():
         return kept
     code, root, copied = fresh("code"), fresh("root"), fresh("text")
-    unnamed = fingerprints(docs.where(F.col(id_col).isNull()).withColumn(copied, F.col(text)), copied, code)
+    unnamed = docs.where(F.col(id_col).isNull()).withColumn(copied, F.col(text))
+    unnamed = fingerprints(unnamed, copied, code, width) if similarity is None else shingle_codes(unnamed, copied, code, width)
     roots = nameless.select(F.col("code").alias(code), F.col("root").alias(root))
     return kept.unionByName(unnamed.join(roots, code).dropDuplicates([root]).select(*docs.columns))

@@ -138,6 +138,41 @@ def test_near_copies_keep_one_row(documents, nothing):
     assert simhash.drop_near_copies(without_ids).count() == len(set(literal_components(codes).tolist()))
 
 
+def five_words(text):
+    words = (text or "").split()
+    return {tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1))}
+
+
+def test_stage_drops_copies_of_similarity_08_only(spark):
+    draw = random.Random(11)
+    rows = []
+    for i in range(40):
+        words = prose(200, draw).split()
+        changed = list(words)
+        for at in draw.sample(range(0, 200, 10), 1 + i % 8):
+            changed[at] = f"new{at}"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(changed))]
+    sets = [five_words(t) for _, t in rows]
+    alike = [len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) for i in range(0, 80, 2)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCS)
+    kept = {r.doc_id for r in corpus_pipeline.near_copies(spark, docs, "").collect()}
+    assert all(2 * i in kept for i in range(40))
+    assert all(2 * i + 1 in kept for i, j in enumerate(alike) if j < 0.8)
+    near = [2 * i + 1 not in kept for i, j in enumerate(alike) if j >= 0.8]
+    assert len(near) > 10 and sum(near) >= 0.9 * len(near)
+
+
+@pytest.mark.parametrize("limit", [4096, 16])
+def test_neighbour_keys_find_every_link_of_14_bits(spark, monkeypatch, limit):
+    monkeypatch.setattr(simhash, "GROUP_ROWS", limit)
+    draw = np.random.default_rng(8)
+    codes = draw.integers(0, 2**63, 40, dtype=np.int64).tolist()
+    codes += [c ^ sum(1 << int(b) for b in draw.choice(63, 14, replace=False)) for c in codes]
+    frame = spark.createDataFrame([(c,) for c in codes], "code bigint")
+    root = {r.code: r.root for r in simhash.near_groups(frame, 14).collect()}
+    assert all(root.get(a, a) == root.get(b, b) for a, b in zip(codes, codes[40:]))
+
+
 def test_components_of_a_chain(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 101), (200, 200), (100, 101)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
