@@ -3,14 +3,15 @@
 The model is a modified Kneser-Ney model over byte n-grams. Spark counts the longest n-grams
 of all documents (every task sends its own distinct n-grams once), and continuation counts,
 discounts, back-off weights and probabilities follow from that table by joins and groups. For
-scoring, n-grams become SLOT_BITS-bit hashes in sorted arrays, so that what every task gets is
-at most ORDER * 2^SLOT_BITS entries whatever the corpus holds; n-grams that share a slot share
-their mean log probability. Bands of accepted perplexity come from each language's own
+scoring, every n-gram keeps its whole number: the table is cut into parts of about PART_GRAMS
+n-grams by a one-to-one hash, and a task holds one part at a time, so its memory does not grow
+with the corpus and no n-gram shares another one's probability. Bands of accepted perplexity come from each language's own
 quartiles; a short text says less about its language, so its log perplexity counts together
 with PRIOR_BYTES bytes of the language's median."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from tallyrift.llm.common import gives_back, text_slices
 from tallyrift.session import materialize
 
-ORDER, SLOT_BITS = 5, 22
+ORDER, SLOT_BITS, PART_GRAMS = 5, 22, 1 << 22
 FENCE = 3.0  # quartile distances that a document may lie outside its language's quartiles
 PRIOR_BYTES = 300
 LEAST_WORDS, MOST_REPEATED = 50, 50
@@ -122,50 +123,83 @@ def kneser_ney(docs: DataFrame, text: str = "text", order: int = ORDER) -> list[
     return model
 
 
-def slot(code: np.ndarray, bits: int = SLOT_BITS) -> np.ndarray:
-    return (code * ODD) >> np.uint64(64 - bits)
-
-
-def _slotted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        at = slot(batch.column(0).to_numpy().view(np.uint64)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(at), *batch.columns[1:]], ["slot", "n", "logp", "bow"])
+        key = batch.column(0).to_numpy().view(np.uint64) * ODD  # odd: no two n-grams get one key
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(1)], ["key", "logp"])
+
+
+def gram_parts(level: DataFrame) -> list:
+    """Broadcasts of sorted keys and their log probabilities, one for each value of the
+    leading bits of the key; the driver holds one part at a time."""
+    keyed = materialize(level.select("gram", F.col("logp").cast("float")).mapInArrow(_hashed, "key bigint, logp float"), "keys")
+    bits, parts = max(0, math.ceil(math.log2(max(keyed.count(), 1) / PART_GRAMS))), []
+    for at in range(1 << bits):
+        part = keyed.where(F.shiftrightunsigned("key", 64 - bits) == at) if bits else keyed
+        found = part.toArrow()
+        key, logp = found.column("key").to_numpy().view(np.uint64), found.column("logp").to_numpy()
+        order = np.argsort(key)
+        parts.append(level.sparkSession.sparkContext.broadcast((key[order], logp[order])))
+    return parts
+
+
+class Part:
+    """Exact lookups in one part: places of the next bits of the keys, then the keys there."""
+
+    def __init__(self, key: np.ndarray, logp: np.ndarray, at: int, bits: int):
+        self.key, self.logp, self.at, self.bits = np.append(key, np.uint64(0)), logp, np.uint64(at), bits
+        self.depth = max(1, len(key).bit_length())
+        self.start = np.zeros((1 << self.depth) + 1, np.int32)
+        np.cumsum(np.bincount(self._place(key), minlength=1 << self.depth), out=self.start[1:])
+
+    def _place(self, key: np.ndarray) -> np.ndarray:
+        return (key << np.uint64(self.bits) >> np.uint64(64 - self.depth)).astype(np.int64)
+
+    def logp_of(self, code: np.ndarray) -> tuple[np.ndarray, int]:
+        """Log probabilities, 0 for what is not in this part, and how many are in it."""
+        key = code * ODD
+        todo = np.flatnonzero(key >> np.uint64(64 - self.bits) == self.at) if self.bits else np.arange(len(key))
+        value, found = np.zeros(len(key), np.float32), 0
+        key = key[todo]
+        place = self._place(key)
+        at, end = self.start[place], self.start[place + 1]
+        while len(todo):
+            same = (self.key[at] == key) & (at < end)
+            value[todo[same]] = self.logp[at[same]]
+            found += int(same.sum())
+            more = ~same & (at + 1 < end)
+            todo, key, at, end = todo[more], key[more], at[more] + 1, end[more]
+        return value, found
 
 
 def hash_arrays(model: list[DataFrame]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Per order: sorted slots, log probabilities, back-off weights; at most 2^SLOT_BITS each."""
+    """Per order: sorted n-grams, log probabilities, back-off weights, all on the driver."""
     arrays = []
     for level in model:
-        rows = level.select("gram", "n", "logp", "bow").mapInArrow(_slotted, "slot bigint, n bigint, logp double, bow double")
-        weight = F.sum("n")
-        bow = F.sum(F.col("bow") * F.col("n")) / F.sum(F.when(F.col("bow").isNotNull(), F.col("n")))
-        found = rows.groupBy("slot").agg((F.sum(F.col("logp") * F.col("n")) / weight).cast("float").alias("logp"), F.coalesce(bow, F.lit(0.0)).cast("float").alias("bow"))
-        found = found.select(F.col("slot").cast("int"), "logp", "bow").toArrow().sort_by("slot")
-        arrays.append(tuple(found.column(c).to_numpy() for c in ("slot", "logp", "bow")))
+        found = level.select("gram", F.col("logp").cast("float"), F.coalesce("bow", F.lit(0.0)).cast("float").alias("bow")).toArrow().sort_by("gram")
+        arrays.append((found.column("gram").to_numpy().view(np.uint64), *(found.column(c).to_numpy() for c in ("logp", "bow"))))
     return arrays
 
 
 class Scorer:
-    """Log probabilities from the sorted arrays; the highest order is spread out once per
-    task (2^SLOT_BITS floats), since nearly every lookup ends there."""
+    """Log probabilities of any n-grams from the sorted arrays, backing off from unseen ones."""
 
-    def __init__(self, arrays: list[tuple[np.ndarray, np.ndarray, np.ndarray]], bits: int = SLOT_BITS):
-        self.arrays, self.bits = arrays, bits
-        self.top = np.full(1 << bits, np.nan, np.float32)
-        self.top[arrays[-1][0]] = arrays[-1][1]
+    def __init__(self, arrays: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
+        self.arrays = arrays
         unseen = 256 - len(arrays[0][0])  # bytes that share what the seen ones leave
         rest = 1 - np.exp(arrays[0][1].astype(np.float64)).sum()
         self.floor = np.log(max(rest, 1e-9) / max(unseen, 1))
 
     def _find(self, size: int, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         slots = self.arrays[size - 1][0]
-        at = slot(code & np.uint64((1 << 8 * size) - 1), self.bits)
+        at = code & np.uint64((1 << 8 * size) - 1)
         place = np.minimum(np.searchsorted(slots, at), max(len(slots) - 1, 0))
         return place, (slots[place] == at if len(slots) else np.zeros(len(at), bool))
 
     def logp(self, code: np.ndarray) -> np.ndarray:
-        value = self.top[slot(code, self.bits)]
-        missing = np.flatnonzero(np.isnan(value))
+        place, known = self._find(len(self.arrays), code)
+        value = np.where(known, self.arrays[-1][1][place], np.float32(0)) if known.any() else np.zeros(len(code), np.float32)
+        missing = np.flatnonzero(~known)
         if len(missing):
             rest, back = code[missing], np.zeros(len(missing), np.float32)
             value[missing] = self.floor
@@ -210,14 +244,23 @@ SYMBOLS = _byte_flags(b"#*$%&|<>")
 LETTERS = 1 - _byte_flags(b" \t\n\v\f\r" + bytes(range(0x80, 0xC0)))  # starts of code points in words
 
 
-def score_documents(docs: DataFrame, arrays: list, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """``doc_id, lang``, the counts of the rules and ``log_ppl`` (per byte, null if empty)."""
-    model = docs.sparkSession.sparkContext.broadcast(arrays)
+def score_documents(docs: DataFrame, parts: list, order: int = ORDER, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """``doc_id, lang``, the counts of the rules and ``log_ppl`` (per byte, null if empty).
+
+    ``parts`` (``gram_parts``) hold the n-grams of these documents, so none is unseen; one that
+    is missing ends the job."""
+    bits = (len(parts) - 1).bit_length()
+
+    def opened(at: int) -> Part:
+        held = Part(*parts[at].value, at, bits)
+        if bits:
+            vars(parts[at]).pop("_value", None)  # a task keeps no other part
+        return held
     names = ["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_bytes", "log_ppl"]
 
     @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model.value)
+        only = None if bits else opened(0)
         for batch in batches:
             chars, symbols = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
             surprise = np.full(batch.num_rows, np.nan)
@@ -227,11 +270,24 @@ def score_documents(docs: DataFrame, arrays: list, id_col: str = "doc_id", text:
                 rows, part = [a + i for i, d in enumerate(docs) if d], [d for d in docs if d]
                 if not part:
                     continue
-                code, starts = grams(part, len(scorer.arrays))
+                starts = np.cumsum([len(d) for d in part]) - [len(d) for d in part]
                 data = np.frombuffer(b"".join(part), np.uint8)
                 chars[rows] = np.add.reduceat(LETTERS[data], starts)
                 symbols[rows] = np.add.reduceat(SYMBOLS[data], starts)
-                surprise[rows] = -np.add.reduceat(scorer.logp(code).astype(np.float64), starts) / [len(d) for d in part]
+            lengths = pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy()
+            surprise[lengths > 0], found = 0, 0
+            for at in range(len(parts)):
+                scorer = only or opened(at)
+                for a, _, docs in text_slices(batch.column(2)):
+                    rows, part = [a + i for i, d in enumerate(docs) if d], [d for d in docs if d]
+                    if part:
+                        code, starts = grams(part, order)
+                        value, known = scorer.logp_of(code)
+                        surprise[rows] -= np.add.reduceat(value.astype(np.float64), starts)
+                        found += known
+            if found != lengths.sum():
+                raise ValueError(f"{lengths.sum() - found} n-grams are not in the model")
+            surprise /= np.maximum(lengths, 1)
             words, lines, repeats = zip(*counted) if counted else ((), (), ())
             sizes = pc.fill_null(pc.binary_length(batch.column(2)), 0)
             numbers = [*(pa.array(x, pa.int64()) for x in (words, chars, symbols, lines, repeats)), sizes.cast(pa.int64())]
@@ -249,7 +305,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text: str = "text", l
     A null text is empty and fails; a null language is a language of its own. A language
     whose documents all fail the base rules has no band, and needs none. Repeated rows are
     scored alike; no rows give no rows."""
-    scored = materialize(score_documents(docs, hash_arrays(kneser_ney(docs, text)), id_col, text, lang), "scored")
+    scored = materialize(score_documents(docs, gram_parts(kneser_ney(docs, text)[-1]), ORDER, id_col, text, lang), "scored")
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     scored = scored.withColumn("base_failed", failed)
     bands = scored.where(~F.col("base_failed")).groupBy(F.col("lang").alias("_lang"))

@@ -484,6 +484,23 @@ def test_kneser_ney_against_the_definition(spark):
         assert sum(p(context + bytes([b])) for b in range(256)) == pytest.approx(1)
 
 
+@pytest.mark.parametrize("part", [1 << 22, 300])
+def test_no_two_grams_share_a_probability(spark, monkeypatch, part):
+    monkeypatch.setattr(perplexity, "SLOT_BITS", 6)
+    monkeypatch.setattr(perplexity, "PART_GRAMS", part)
+    draw = random.Random(6)
+    rows = [(i, prose(60, draw), "en") for i in range(20)] + [(20, None, "en"), (21, "", "en"), (22, "é", None)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = perplexity.kneser_ney(frame)
+    known = {r.gram: r.logp for r in model[-1].collect()}
+    parts = perplexity.gram_parts(model[-1])
+    assert (len(parts) > 2) == (part == 300)
+    for r in perplexity.score_documents(frame, parts).collect():
+        data = b"\0" * 4 + (rows[r.doc_id][1] or "").encode()
+        wanted = [-known[int.from_bytes(data[i : i + 5], "big")] for i in range(len(data) - 4)]
+        assert r.log_ppl == (pytest.approx(np.mean(wanted), abs=1e-5) if wanted else None)
+
+
 def literal_rules(text):
     words = (text or "").encode().split()
     windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
