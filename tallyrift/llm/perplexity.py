@@ -5,9 +5,8 @@ of all documents (every task sends its own distinct n-grams once), and continuat
 discounts, back-off weights and probabilities follow from that table by joins and groups. For
 scoring, every n-gram keeps its whole number: the table is cut into parts of about PART_GRAMS
 n-grams by a one-to-one hash, and a task holds one part at a time, so its memory does not grow
-with the corpus and no n-gram shares another one's probability. Bands of accepted perplexity come from each language's own
-quartiles; a short text says less about its language, so its log perplexity counts together
-with PRIOR_BYTES bytes of the language's median."""
+with the corpus and no n-gram shares another one's probability. Bands of accepted perplexity come from the
+quartiles of texts of the same language and of like length, since short texts scatter more."""
 
 from __future__ import annotations
 
@@ -23,9 +22,10 @@ from pyspark.sql import functions as F
 from tallyrift.llm.common import gives_back, text_slices
 from tallyrift.session import materialize
 
-ORDER, SLOT_BITS, PART_GRAMS = 5, 22, 1 << 22
-FENCE = 3.0  # quartile distances that a document may lie outside its language's quartiles
-PRIOR_BYTES = 300
+ORDER, PART_GRAMS = 5, 1 << 22
+SLOT_BITS = 22  # n-grams of one order that tests/llm may gather on the driver
+FENCE = 1.5  # quartile distances that a document may lie outside the quartiles of its like
+LIKE_ROWS = 20  # texts that quartiles of like length need; with fewer, those of the language count
 LEAST_WORDS, MOST_REPEATED = 50, 50
 MERGE_ROWS = 1 << 22
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -299,21 +299,28 @@ def score_documents(docs: DataFrame, parts: list, order: int = ORDER, id_col: st
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """The counts, ``base_failed``, ``log_ppl``, ``weighed`` (with the prior), its language's
-    ``lower`` and ``upper`` bound, and ``kept`` for every row.
-
-    A null text is empty and fails; a null language is a language of its own. A language
-    whose documents all fail the base rules has no band, and needs none. Repeated rows are
-    scored alike; no rows give no rows."""
+    """The counts, ``base_failed``, ``log_ppl``, ``weighed`` (what the bounds are compared
+    with: the log perplexity of a text that passes the base rules), ``lower`` and ``upper``
+    bound, and ``kept`` for every row.
+
+    Bounds are FENCE quartile distances outside the quartiles of the texts that pass the base
+    rules, have the row's language and its length to a power of two; where those are fewer than
+    LIKE_ROWS, of all that have its language. A null text is empty and fails; a null language is
+    a language of its own. A language whose documents all fail the base rules has no band, and
+    needs none. Repeated rows are scored alike; no rows give no rows."""
     scored = materialize(score_documents(docs, gram_parts(kneser_ney(docs, text)[-1]), ORDER, id_col, text, lang), "scored")
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     scored = scored.withColumn("base_failed", failed)
-    bands = scored.where(~F.col("base_failed")).groupBy(F.col("lang").alias("_lang"))
-    bands = bands.agg(F.percentile_approx("log_ppl", [0.25, 0.5, 0.75], 10_000).alias("q"))
-    apart = FENCE * (F.col("q")[2] - F.col("q")[0])
-    bands = bands.select("_lang", F.col("q")[1].alias("_median"), (F.col("q")[0] - apart).alias("lower"), (F.col("q")[2] + apart).alias("upper"))
-    weighed = (F.col("log_ppl") * F.col("n_bytes") + F.col("_median") * PRIOR_BYTES) / (F.col("n_bytes") + PRIOR_BYTES)
+    scored = scored.withColumn("_like", F.floor(F.log2(F.greatest("n_bytes", F.lit(1)))))
+    quartiles = F.percentile_approx("log_ppl", [0.25, 0.75], 10_000)
+    passed = scored.where(~F.col("base_failed")).select(F.col("lang").alias("_lang"), F.col("_like").alias("_length"), "log_ppl")
+    alike = passed.groupBy("_lang", "_length").agg(quartiles.alias("_near"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= LIKE_ROWS)
+    whole = passed.groupBy(F.col("_lang").alias("_all")).agg(quartiles.alias("_every"))
+    joined = scored.join(whole, F.col("lang").eqNullSafe(F.col("_all")), "left")
+    joined = joined.join(alike, F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("_like") == F.col("_length")), "left")
+    low, high = (F.coalesce("_near", "_every")[k] for k in (0, 1))
+    joined = joined.withColumns({"lower": low - FENCE * (high - low), "upper": high + FENCE * (high - low)})
+    joined = joined.withColumn("weighed", F.when(~F.col("base_failed"), F.col("log_ppl")))
     inside = F.col("weighed").between(F.col("lower"), F.col("upper"))
-    joined = scored.join(bands, F.col("lang").eqNullSafe(F.col("_lang")), "left")
-    joined = joined.withColumn("weighed", weighed).drop("_lang", "_median", "n_bytes")
+    joined = joined.select(*(c for c in scored.columns if c not in ("_like", "n_bytes")), "lower", "upper", "weighed")
     return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False)))

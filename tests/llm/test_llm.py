@@ -530,6 +530,18 @@ def test_strange_text_leaves_its_language_band(spark):
     assert not got[99] and sum(got.values()) >= 59
 
 
+def test_bands_of_like_length_find_strange_long_texts(spark):
+    draw = random.Random(9)
+    rows = [(i, prose(60 + i % 5, draw), "en") for i in range(150)] + [(200 + i, prose(1500 + i, draw), "en") for i in range(40)]
+    rows += [(300, " ".join(draw.choice(WORDS) if draw.random() < 0.9 else "".join(draw.choice("vwxyz") for _ in range(4)) for _ in range(1500)), "en")]
+    got = {r.doc_id: r for r in perplexity.quality_rules(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()}
+    assert not got[300].kept and sum(r.kept for r in got.values()) >= 180
+    assert got[200].upper - got[200].lower < got[0].upper - got[0].lower
+    values = [got[200 + i].log_ppl for i in range(40)] + [got[300].log_ppl]
+    low, high = np.percentile(values, [25, 75], method="inverted_cdf")
+    assert got[300].upper == pytest.approx(high + 1.5 * (high - low))
+
+
 # ---- Archive
 
 
