@@ -30,7 +30,7 @@ def capped_targets(sizes: DataFrame, total: int, most: int = 3) -> DataFrame:
     weight; nobody gets over ``most`` times its size and the excess is shared again by
     weight. The level (target per unit of weight) only rises, until nobody new is capped."""
     limit, capped, level = F.col("source_size") * most, 0, 0.0
-    while True:
+    while total:  # nothing to share leaves the level at 0
         full = F.lit(level) * F.col("weight") > limit if level else F.lit(False)
         row = sizes.agg(
             F.sum(F.when(full, limit).otherwise(0)).alias("given"),

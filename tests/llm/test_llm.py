@@ -319,6 +319,23 @@ def test_capped_targets_share_the_excess(spark):
     assert mixing.capped_targets(sizes.limit(0), 0).count() == 0
 
 
+def test_mix_without_any_word_ends(spark):
+    rows = [(1, None, "en", "a", 0), (2, "", "en", "b", 0), (3, " \n ", "en", None, 0)]
+    docs = spark.createDataFrame(rows, DOCS)
+    sizes = spark.createDataFrame([("a", 0, 1), ("b", 0, 2)], "source string, source_size bigint, weight bigint")
+    calls, agg = [], type(sizes).agg
+
+    def counted(self, *columns):
+        calls.append(1)
+        assert len(calls) < 10, "the level is searched for ever"
+        return agg(self, *columns)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(type(sizes), "agg", counted)
+        assert [r.target for r in mixing.capped_targets(sizes, 0).collect()] == [0, 0]
+        assert corpus_pipeline.mixture(spark, docs, "").count() == 0
+
+
 def test_flow_fills_quotas_at_least_cost():
     supply = {("a",): 10, ("a", "b"): 20, ("b", "c"): 30, ("d",): 5}
     sent = mixing.min_cost_flow(supply, {"a": 25, "b": 40, "c": 10, "d": 100}, [0.0, 1.0, 4.0])
