@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tallyrift.llm.common import gives_back, text_slices, texts
 
-SAMPLE_DOCUMENTS, SAMPLE_LINES = 6000, 200  # bounds of the training sample
+SAMPLE_DOCUMENTS = 6000  # bound of the training sample, in whole documents
 STEPS, RATE, RIDGE = 250, 0.05, 1e-3
 ACCEPTED = 0.3
 KINDS = {
@@ -174,13 +174,13 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         docs, label = texts(batch.column(0)), batch.column(1)
         for row, doc in enumerate(docs):
-            shares, _, lines = line_shares([b"\n".join(doc.split(b"\n")[:SAMPLE_LINES])])[:3]
+            shares, _, lines = line_shares([doc])[:3]
             yield pa.RecordBatch.from_arrays([pa.array([shares.ravel().tolist()]), label.slice(row, 1)], ["shares", "label"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality") -> Model | None:
     """Train on at most SAMPLE_DOCUMENTS labelled documents outside the held-out fold, those
-    with the smallest hashes, and their first SAMPLE_LINES lines. None if a class is absent."""
+    with the smallest hashes, and all of their lines. None if a class is absent."""
     known = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col))
     known = known.groupBy(F.col(id_col).alias("_id")).agg(F.max(label).cast("int").alias("_label"))
     known = known.orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE_DOCUMENTS)

@@ -393,6 +393,15 @@ def test_held_out_accuracy(spark):
     assert sum(r.predicted == r.quality for r in rows) / len(rows) > 0.95
 
 
+def test_training_reads_lines_behind_the_200th(spark):
+    same = "\n".join(f"plain line {i}" for i in range(200))
+    rows = [(i, same + ("\nA long good sentence follows here, with words and a stop." if i % 2 else "\n#$|<> 1234 ||| $$$ ###") * 30) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id bigint, quality int")
+    scores = {r.doc_id: r.score for r in crf.quality_scores(docs, labels).collect()}
+    assert min(scores[i] for i in scores if i % 2) > max(scores[i] for i in scores if i % 2 == 0)
+
+
 def test_quality_of_odd_rows(spark, documents, nothing):
     labels = documents.where("doc_id is not null").select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality")).dropDuplicates(["doc_id"])
     labels = labels.withColumn("quality", F.abs("quality"))
