@@ -394,16 +394,28 @@ def drop_near_copies(
 ) -> DataFrame:
     """The columns of ``docs`` for one row of each group: the one with the smallest id, and
     any one of the rows that repeat that id. A group without ids keeps any one row. The other
-    parameters are those of ``simhash_groups``."""
+    parameters are those of ``simhash_groups``. With ``similarity``, an id that stands on rows
+    of different texts keeps a row for each group that it names."""
     marked, named = _grouped(docs, id_col, text, width, bits, similarity)
     keep = named.where(F.col("component_id").isNotNull()).select(F.col("component_id").alias(id_col)).distinct()
+    code, root, copied = fresh("code"), fresh("root"), fresh("text")
+    clashing = marked.where("doc_id is not null").groupBy("doc_id").agg(F.min("code").alias("low"), F.max("code").alias("high"))
+    clashing = clashing.where("low <> high").select(F.col("doc_id").alias(id_col))
+    several = None
+    if similarity is not None and not clashing.isEmpty():
+        keep = keep.join(clashing, id_col, "left_anti")
+        chosen = named.join(marked, "code").where("doc_id = component_id").groupBy("root", "doc_id").agg(F.min("code").alias(code))
+        chosen = chosen.select(F.col("doc_id").alias(id_col), code)
+        rows = docs.join(clashing, id_col, "left_semi").withColumn(copied, F.col(text))
+        several = shingle_codes(rows, copied, code, width).join(chosen, [id_col, code], "left_semi").dropDuplicates([id_col, code])
     kept = docs.join(keep, id_col, "left_semi").select(*docs.columns)
     if not marked.groupBy("doc_id").count().where("count > 1 and doc_id is not null").isEmpty():
         kept = kept.dropDuplicates([id_col])
+    if several is not None:
+        kept = kept.unionByName(several.select(*docs.columns))
     nameless = named.where(F.col("component_id").isNull())
     if nameless.isEmpty():
         return kept
-    code, root, copied = fresh("code"), fresh("root"), fresh("text")
     unnamed = docs.where(F.col(id_col).isNull()).withColumn(copied, F.col(text))
     unnamed = fingerprints(unnamed, copied, code, width) if similarity is None else shingle_codes(unnamed, copied, code, width)
     roots = nameless.select(F.col("code").alias(code), F.col("root").alias(root))

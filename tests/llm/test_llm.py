@@ -162,6 +162,13 @@ def test_stage_drops_copies_of_similarity_08_only(spark):
     assert len(near) > 10 and sum(near) >= 0.9 * len(near)
 
 
+def test_every_group_of_a_repeated_id_keeps_a_row(spark):
+    first, second, third = (prose(60) for _ in range(3))
+    rows = [(1, first, "en", "s", 1), (1, second, "de", "s", 2), (2, first, "en", "s", 3), (3, second, "en", "s", 4), (4, third, "en", "s", 5), (1, first, "en", "s", 1)]
+    kept = corpus_pipeline.near_copies(spark, spark.createDataFrame(rows, DOCS), "").collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted([(1, first), (1, second), (4, third)])
+
+
 @pytest.mark.parametrize("limit", [4096, 16])
 def test_neighbour_keys_find_every_link_of_14_bits(spark, monkeypatch, limit):
     monkeypatch.setattr(simhash, "GROUP_ROWS", limit)
