@@ -14,6 +14,7 @@ from tallyrift.llm.packing import packed
 from tallyrift.llm.perplexity import quality_rules
 from tallyrift.llm.repeats import without_repeats
 from tallyrift.llm.simhash import simhash_groups
+from tallyrift.llm.turns import repaired_digests
 from tallyrift.llm.warc import REVISITS_SQL, page_records, resolve_revisits
 from tallyrift.llm.winnow import edited_fingerprints
 from tallyrift.llm.wrappers import extract_main_text
@@ -95,4 +96,9 @@ def op10_repeats(spark, folder):
     return without_repeats(table(spark, folder, "documents")).drop("kept")
 
 
+@query("op13_turn_repair")
+def op13_turn_repair(spark, folder):
+    return repaired_digests(table(spark, folder, "conversations"))
+
+
 query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
