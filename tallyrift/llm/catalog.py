@@ -15,6 +15,7 @@ from tallyrift.llm.perplexity import quality_rules
 from tallyrift.llm.repeats import without_repeats
 from tallyrift.llm.simhash import simhash_groups
 from tallyrift.llm.turns import repaired_digests
+from tallyrift.llm.variants import corpus_variants
 from tallyrift.llm.warc import REVISITS_SQL, page_records, resolve_revisits
 from tallyrift.llm.winnow import edited_fingerprints
 from tallyrift.llm.wrappers import extract_main_text
@@ -96,6 +97,11 @@ def op10_repeats(spark, folder):
     return without_repeats(table(spark, folder, "documents")).drop("kept")
 
 
+@query("op12_variants")
+def op12_variants(spark, folder):
+    return corpus_variants(table(spark, folder, "documents"))
+
+
 @query("op13_turn_repair")
 def op13_turn_repair(spark, folder):
     return repaired_digests(table(spark, folder, "conversations"))
