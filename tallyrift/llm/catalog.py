@@ -7,6 +7,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from tallyrift.llm.common import table, word_count
+from tallyrift.llm.brown import class_scores
 from tallyrift.llm.chat import format_chats, read_chats
 from tallyrift.llm.crf import quality_scores
 from tallyrift.llm.mixing import mix, weighted_sources
@@ -97,6 +98,11 @@ def op10_repeats(spark, folder):
     return without_repeats(table(spark, folder, "documents")).drop("kept")
 
 
+@query("op11_brown")
+def op11_brown(spark, folder):
+    return class_scores(table(spark, folder, "documents"))
+
+
 @query("op12_variants")
 def op12_variants(spark, folder):
     return corpus_variants(table(spark, folder, "documents"))
