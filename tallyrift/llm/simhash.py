@@ -8,11 +8,12 @@ inner nodes; a node stores the mask of the bits that all its members share. Two
 compared on the bits that both masks fix; the differences found there only grow on the
 way down, so a pair of nodes beyond three is dropped with everything below it.
 
-Beyond three bits the fingerprint has one block for every three bits of the distance, so
-one block of two near fingerprints differs in two bits at most: their keys are the block
-and its neighbours at one bit, which then meet. Where a similarity is asked for, fingerprints
-are taken of the set of shingles, a second fingerprint keeps chance pairs out, and the texts
-of linked fingerprints are compared by the Jaccard similarity of their shingles."""
+Where a similarity is asked for, fingerprints are taken of the set of shingles. A similarity
+of 0.8 leaves about 10 of 64 bits different, so keys are each of five blocks and its neighbours
+at one bit, which meet if a block differs in two bits at most, within classes of set sizes.
+The distance of both fingerprints together (about 19 of 128 bits at 0.8) keeps chance pairs
+out, and the texts of linked fingerprints are compared by the Jaccard similarity of their
+shingles. Each bit differs by chance: of pairs at exactly 0.8 about 1 in 250 is lost, fewer above."""
 
 from __future__ import annotations
 
@@ -33,7 +34,9 @@ LEAF, FAN = 8, 8
 GROUP_ROWS = 4096
 FOREST_ROWS = 100_000
 PAIRS_AT_ONCE = 1 << 15
-TWIN_BITS = 5  # what the second fingerprint may differ in beyond the first one's distance
+KEY_BLOCKS = 5  # of two fingerprints within 14 bits one block differs in two bits at most
+TWIN_BITS = 13  # what both fingerprints together may differ in beyond the first one's distance
+SIZE_STEP = 4.0  # sets meet in size classes whose bounds grow by this factor
 SET_ROWS = 1024
 
 
@@ -144,7 +147,8 @@ class _Sets:
 def link_groups(codes: np.ndarray, groups: np.ndarray, bits: int = DIFFERENT_BITS, twins: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """A spanning set of the links (member, smallest position) inside the groups; both
     arrays are positions in ``codes``. Nodes already joined into one set are not opened.
-    Links of far ``twins`` (second fingerprints) do not count."""
+    With ``twins`` (second fingerprints) a link also needs that both distances together are
+    at most ``bits + TWIN_BITS``."""
     order = np.lexsort((gray_rank(codes), groups))
     code = codes[order]
     twin = None if twins is None else twins[order]
@@ -177,8 +181,8 @@ def link_groups(codes: np.ndarray, groups: np.ndarray, bits: int = DIFFERENT_BIT
         a, b = a[near], b[near]
         if depth == 1:
             if twin is not None:
-                near = np.bitwise_count(twin[a] ^ twin[b]) <= bits + TWIN_BITS
-                a, b = a[near], b[near]
+                apart = apart[near] + np.bitwise_count(twin[a] ^ twin[b])
+                a, b = a[apart <= bits + TWIN_BITS], b[apart <= bits + TWIN_BITS]
             sets.link(a, b)
         elif len(a):
             stack.append((depth - 1, a, b))
@@ -201,17 +205,25 @@ def block_keys(code: str) -> Column:
     return F.array(*keys)
 
 
-def neighbour_keys(code: str, bits: int) -> Column:
-    """Keys for any distance: every block and its neighbours at one bit."""
-    x, keys, blocks = F.col(code), [], bits // 3 + 1
+def neighbour_keys(code: str, blocks: int) -> Column:
+    """Keys for larger distances: every block and its neighbours at one bit."""
+    x, keys = F.col(code), []
     edges = [64 * b // blocks for b in range(blocks + 1)]
     for b, (low, high) in enumerate(zip(edges, edges[1:])):
         part = F.shiftrightunsigned(x, low).bitwiseAND(F.lit((1 << high - low) - 1)) if high - low < 64 else x
         for flipped in (0, *(1 << i for i in range(high - low))):
-            keys.append(F.shiftleft(F.lit(b).cast("bigint"), 56).bitwiseOR(part.bitwiseXOR(F.lit(flipped).cast("bigint"))))
+            keys.append(F.shiftleft(F.lit(b).cast("bigint"), 50).bitwiseOR(part.bitwiseXOR(F.lit(flipped).cast("bigint"))))
     return F.array(*keys)
 
 
+def sized_keys(keys: Column, size: str, similarity: float) -> Column:
+    """``keys`` in the size class of the set and in that of the largest set that can be
+    similar to it: two similar sets are in one of the smaller one's classes."""
+    least, per = F.greatest(F.col(size), F.lit(1)), F.log(F.lit(SIZE_STEP))
+    own, most = (F.floor(F.log(n) / per + 1e-9) for n in (least, least / similarity))
+    return F.flatten(F.transform(F.array_distinct(F.array(own, most)), lambda c: F.transform(keys, lambda k: k.bitwiseOR(F.shiftleft(c, 57)))))
+
+
 def _links(bits: int, twin: str | None):
     @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,12 +256,15 @@ def fingerprints(docs: DataFrame, text: str, name: str, width: int = 3) -> DataF
     return docs.mapInArrow(run, schema)
 
 
-def near_groups(codes: DataFrame, bits: int = DIFFERENT_BITS, twin: str | None = None) -> DataFrame:
+def near_groups(codes: DataFrame, bits: int = DIFFERENT_BITS, twin: str | None = None, similarity: float | None = None) -> DataFrame:
     """``code, root`` of every fingerprint linked to another one with a smaller value.
-    ``codes`` has distinct bigints ``code``; with ``twin``, distinct pairs of both, and
-    the second fingerprint names the nodes."""
+    ``codes`` has distinct bigints ``code``; with ``twin`` and ``similarity``, distinct rows of
+    both and the ``size`` of the set, and the second fingerprint names the nodes."""
     held = ["code", twin] if twin else ["code"]
-    keys = block_keys("code") if bits <= DIFFERENT_BITS else neighbour_keys("code", bits)
+    if twin:
+        keys = sized_keys(neighbour_keys("code", KEY_BLOCKS), "size", similarity)
+    else:
+        keys = block_keys("code") if bits <= DIFFERENT_BITS else neighbour_keys("code", bits // 3 + 1)
     keyed = materialize(codes.select(*held, F.explode(keys).alias("key")), "keys")
     keyed = split_hot(keyed, "key", GROUP_ROWS, F.xxhash64("code"), "hot")
     parts = keyed.repartition("key").sortWithinPartitions("key")
@@ -259,9 +274,9 @@ def near_groups(codes: DataFrame, bits: int = DIFFERENT_BITS, twin: str | None =
 
 def shingle_sets(docs: DataFrame, text: str, width: int, whole: bool = False) -> DataFrame:
     """``docs`` without ``text`` but with bigints ``code`` (a hash of the text's set of
-    shingles), ``near`` and ``twin`` (its fingerprints), and the sorted ``set`` if ``whole``."""
+    shingles), ``near`` and ``twin`` (its fingerprints), its ``size``, and the sorted ``set`` if ``whole``."""
     kept = [c for c in docs.columns if c != text]
-    names = [*kept, "code", "near", "twin", *(["set"] if whole else [])]
+    names = [*kept, "code", "near", "twin", "size", *(["set"] if whole else [])]
 
     @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,11 +285,12 @@ def shingle_sets(docs: DataFrame, text: str, width: int, whole: bool = False) ->
                 sets = [np.unique(shingles(t, width)) for t in part]
                 found = [[xxhash.xxh64_intdigest(s.tobytes()) for s in sets], map(majority, sets), (majority(remixed(s)) for s in sets)]
                 columns = [pa.array(np.array(list(x), np.uint64).view(np.int64)) for x in found]
+                columns.append(pa.array([len(s) for s in sets], pa.int64()))
                 columns += [pa.array([s.tobytes() for s in sets], pa.binary())] if whole else []
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in kept), *columns], names)
 
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text]
-    kinds += ["code bigint", "near bigint", "twin bigint", *(["set binary"] if whole else [])]
+    kinds += ["code bigint", "near bigint", "twin bigint", "size bigint", *(["set binary"] if whole else [])]
     return docs.mapInArrow(run, ", ".join(kinds))
 
 
@@ -330,12 +346,12 @@ def _similar(bits: int, similarity: float):
 
 def similar_groups(rows: DataFrame, distinct: DataFrame, width: int, bits: int, similarity: float) -> DataFrame:
     """``code, root`` of every set linked to another one with a smaller code. ``rows`` has
-    ``doc_id, text``; ``distinct`` has ``code, near, twin`` and ``first``, an id of every set.
+    ``doc_id, text``; ``distinct`` has ``code, near, twin, size`` and ``first``, an id of every set.
 
     Groups of near fingerprints are only candidates; every link is decided by the sets
     themselves, which are made again for the candidates alone."""
-    pairs = distinct.select(F.col("near").alias("code"), "twin").distinct()
-    roots = near_groups(pairs, bits, "twin").select(F.col("code").alias("twin"), F.col("root").alias("key"))
+    pairs = distinct.select(F.col("near").alias("code"), "twin", "size").distinct()
+    roots = near_groups(pairs, bits, "twin", similarity).select(F.col("code").alias("twin"), F.col("root").alias("key"))
     placed = distinct.join(roots, "twin", "left").withColumn("key", F.coalesce("key", "twin"))
     placed = materialize(placed.select("code", "first", "key"), "placed")
     many = placed.groupBy("key").count().where("count > 1").select("key")
