@@ -28,8 +28,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: links of a Jaccard similarity of 0.8 over
-    five-word shingles, found among fingerprints of at most 14 different bits."""
-    return drop_near_copies(docs, width=5, bits=14, similarity=0.8)
+    five-word shingles, found among fingerprints of at most 20 different bits."""
+    return drop_near_copies(docs, width=5, bits=20, similarity=0.8)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
