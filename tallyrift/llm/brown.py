@@ -213,12 +213,12 @@ def exchange_gains(matrix: np.ndarray, own: int, after: np.ndarray, before: np.n
     return gain - (_x_log_x(into + before.sum() + itself) - _x_log_x(into))
 
 
-def _vectors(row: dict, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    other, n, ahead = (np.array([p[k] for p in row["pairs"]]) for k in ("other", "n", "ahead"))
-    kind, ahead = classes[other], ahead.astype(bool)
+def _vectors(word: int, ahead: np.ndarray, other: np.ndarray, n: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Neighbours by class behind and before a word, and how often it follows itself."""
+    kind = classes[other]
     after = np.bincount(kind[ahead], n[ahead], WIDTH)
     before = np.bincount(kind[~ahead], n[~ahead], WIDTH)
-    return after, before, float(n[ahead & (other == row["word"])].sum())
+    return after, before, float(n[ahead & (other == word)].sum())
 
 
 def exchange(pairs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -247,14 +247,17 @@ def exchange(pairs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     def moves(classes: np.ndarray, matrix: np.ndarray, turn: int) -> list:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                found = []
-                for row in _rows([batch]):
-                    if row["word"] < size and (turn < 0 or (row["word"] * 2654435761 >> 8) + turn & 1):
-                        own = classes[row["word"]]
-                        gains = exchange_gains(matrix, own, *_vectors(row, classes))
+                lists, found = batch.column(1), []
+                stops = np.cumsum(pc.list_value_length(lists).to_numpy())
+                held = lists.flatten()
+                ahead, other, n = (held.field(c).to_numpy(zero_copy_only=False) for c in range(3))
+                for word, start, stop in zip(batch.column(0).to_pylist(), [0, *stops], stops):
+                    if word < size and (word * 2654435761 >> 8) + turn & 1:
+                        own, here = classes[word], slice(start, stop)
+                        gains = exchange_gains(matrix, own, *_vectors(word, ahead[here], other[here], n[here], classes))
                         best = int(gains.argmax())
                         if gains[best] > gains[own] + 1e-6:
-                            found.append((row["word"], best))
+                            found.append((word, best))
                 word, best = zip(*found) if found else ([], [])
                 yield pa.RecordBatch.from_arrays([pa.array(word, pa.int32()), pa.array(best, pa.int32())], ["word", "best"])
 

@@ -132,9 +132,8 @@ def test_gain_is_the_change_of_the_likelihood():
 
     matrix = matrix_of(classes)
     for word in (3, 8, 40):
-        row = {"word": word, "pairs": [{"ahead": True, "other": b, "n": n} for (a, b), n in pairs.items() if a == word]}
-        row["pairs"] += [{"ahead": False, "other": a, "n": n} for (a, b), n in pairs.items() if b == word]
-        gains = brown.exchange_gains(matrix, classes[word], *brown._vectors(row, classes))
+        near = [(True, b, n) for (a, b), n in pairs.items() if a == word] + [(False, a, n) for (a, b), n in pairs.items() if b == word]
+        gains = brown.exchange_gains(matrix, classes[word], *brown._vectors(word, *map(np.array, zip(*near)), classes))
         for to in (0, 17, 63, classes[word]):
             moved = classes.copy()
             moved[word] = to
