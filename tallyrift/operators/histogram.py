@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyrift.operators.itemsets import Encoded, containing
+from tallyrift.operators.itemsets import Encoded, held_by
 from tallyrift.session import materialize
 
 
@@ -48,13 +48,9 @@ class Split:
 def split_cells(encoded: Encoded, itemsets: DataFrame, count: int, store: bool = True) -> Split:
     """Count every itemset's transactions by target, combined on the map side.
     Without ``store`` the cells are computed in the one plan that reads them."""
-    counted = (
-        containing(encoded, itemsets, "set_id", count)
-        .groupBy("set_id", "target")
-        .agg(F.sum("weight").alias("n_set"))
-    )
+    counted = held_by(encoded.rows, itemsets.select(F.col("set_id").alias("at"), "ids"), count, by_target=True)
     cells = counted.join(encoded.totals, "target").select(
-        "set_id", "target", "n_set", (F.col("n_tot") - F.col("n_set")).alias("n_counter")
+        F.col("at").alias("set_id"), "target", F.col("n").alias("n_set"), (F.col("n_tot") - F.col("n")).alias("n_counter")
     )
     if store:
         cells = materialize(cells, "cells")

@@ -1,31 +1,33 @@
 """Frequent itemsets over weighted transactions.
 
 Items are replaced by their rank in ascending frequency, so the first id of a
-sorted itemset is its rarest item. Pairs are listed inside each transaction. A
-larger itemset is met through its two rarest items: they are the equi-join key of
-every containment test, and a bit mask comparison decides the rest inside
-generated code. A single item needs no test at all."""
+sorted itemset is its rarest item. Itemsets are counted by vertical bitmaps inside
+blocks of transactions (``operators/vertical.py``); blocks send sums, which combine on
+the map side. Up to LOCAL_SETS wanted itemsets travel with the plan as one prefix tree.
+More of them stay a table: ranges of itemsets become prefix trees of their own, and each
+block goes once to every tree whose first items it holds, cut to the items that matter."""
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, replace
+from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyrift.operators import vertical
 from tallyrift.operators.ranking import number_rows
-from tallyrift.session import local_table, materialize, plain_unions
+from tallyrift.session import local_table, materialize
 
-BITS = 62
-MASK_WORDS = 64
-BROADCAST_BYTES = 64 * 1024 * 1024
-ROWS_PER_SLICE = 2_000_000
 LOCAL_SETS = 10_000
 LITERAL_ITEMS = 200
+TREE_SETS = 20_000  # itemsets of one of many prefix trees
+TREE_ROWS = 1 << 13  # transactions that meet such a tree at a time
 IDS = {"ids": pa.list_(pa.int32())}
 
 
@@ -33,7 +35,7 @@ IDS = {"ids": pa.list_(pa.int32())}
 class Encoded:
     """Transactions over frequent items, ready for repeated passes."""
 
-    rows: DataFrame  # ids array<int>, target, weight, w0..wN
+    rows: DataFrame  # ids array<int>, target, weight
     totals: DataFrame  # target, n_tot
     items: DataFrame  # id, item, freq; ids from 0, rarest first
     width: int  # number of items
@@ -44,29 +46,6 @@ class Encoded:
     def min_count(self) -> int:
         return math.ceil(self.min_support * self.n)
 
-    @property
-    def words(self) -> int:
-        return _mask_words(self.width)
-
-
-def _mask_words(items: int) -> int:
-    """Mask columns for so many ids; none when there would be too many."""
-    needed = -(-items // BITS)
-    return needed if needed <= MASK_WORDS else 0
-
-
-def _masks(ids: str, words: int, prefix: str) -> list[Column]:
-    """``ids`` as bits spread over ``words`` bigint columns."""
-
-    def word(index: int) -> Column:
-        def set_bit(mask: Column, item: Column) -> Column:
-            bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), item - F.lit(BITS * index))
-            return F.when(F.floor(item / BITS) == index, mask.bitwiseOR(bit)).otherwise(mask)
-
-        return F.aggregate(F.col(ids), F.lit(0).cast("bigint"), set_bit).alias(f"{prefix}{index}")
-
-    return [word(index) for index in range(words)]
-
 
 def _item_lookup(items: list[tuple[str, int]], ids: dict[str, int]):
     """Item -> id as a literal: a few hash buckets of small maps, because a map
@@ -85,10 +64,9 @@ def _item_lookup(items: list[tuple[str, int]], ids: dict[str, int]):
     return lookup
 
 
-def _ids_by_lookup(source: DataFrame, items: DataFrame) -> DataFrame:
-    """Items replaced by ids with a literal dictionary; for few items."""
-    known = items.select("id", "item", F.xxhash64("item").alias("hashed")).collect()
-    lookup = _item_lookup([(r.item, r.hashed) for r in known], {r.item: r.id for r in known})
+def _ids_by_lookup(source: DataFrame, known: list[tuple[str, int]]) -> DataFrame:
+    """Items replaced by ids with a literal dictionary of ``item, hash`` in the order of ids."""
+    lookup = _item_lookup(known, {item: at for at, (item, _) in enumerate(known)})
     ids = F.array_sort(F.array_compact(F.transform(F.array_compact(F.array_distinct("items")), lookup)))
     return source.select((ids if known else F.array().cast("array<int>")).alias("ids"), "target", "weight")
 
@@ -110,88 +88,140 @@ def _ids_by_join(source: DataFrame, items: DataFrame) -> DataFrame:
 def encode(transactions: DataFrame, min_support: float) -> Encoded:
     """Drop infrequent items, number the others and merge equal transactions.
 
-    The item dictionary is a table. Up to LITERAL_ITEMS frequent items it becomes a
-    literal of the plan, beyond that the items meet it in a join; nothing of it is
-    fetched then. Both give the same ids."""
+    The most frequent items are looked at first. If there are at most LITERAL_ITEMS
+    frequent ones they become a literal of the plan; otherwise the dictionary is a table
+    that items meet in a join, and nothing of it is fetched. Both give the same ids."""
     source = materialize(transactions.select("items", "target", "weight"), "transactions")
-    distinct = F.array_compact(F.array_distinct("items"))
-    n = source.agg(F.sum("weight")).first()[0] or 0
+    # one null per transaction counts the transactions themselves
+    distinct = F.concat(F.array(F.lit(None).cast("string")), F.array_compact(F.array_distinct("items")))
+    counted = source.select(F.explode(distinct).alias("item"), "weight").groupBy("item").agg(F.sum("weight").alias("freq"))
+    first = counted.orderBy(F.col("item").isNotNull(), F.desc("freq"), "item").limit(LITERAL_ITEMS + 2)
+    first = first.select("item", "freq", F.xxhash64("item").alias("hashed")).collect()
+    n = first[0].freq if first else 0
     least = max(math.ceil(min_support * n), 1)
-    counted = (
-        source.select(F.explode(distinct).alias("item"), "weight")
-        .groupBy("item")
-        .agg(F.sum("weight").alias("freq"))
-        .filter(F.col("freq") >= least)
-    )
-    counted = materialize(counted, "frequent")
-    width = counted.count()
-    numbered = number_rows(counted, [F.col("freq"), F.col("item")], "id", width)
-    items = materialize(numbered.select(F.col("id").cast("int"), "item", "freq"), "items")
-    encoded = (_ids_by_lookup if width <= LITERAL_ITEMS else _ids_by_join)(source, items)
-    merged = encoded.groupBy("ids", "target").agg(F.sum("weight").alias("weight"))
-    rows = materialize(merged.select("*", *_masks("ids", _mask_words(width), "w")), "encoded")
+    known = sorted((r.freq, r.item, r.hashed) for r in first[1:] if r.freq >= least)
+    width = len(known)
+    if width <= LITERAL_ITEMS:
+        columns = {"id": list(range(width)), "item": [k[1] for k in known], "freq": [k[0] for k in known]}
+        items = local_table(source.sparkSession, columns, {"id": pa.int32(), "item": pa.string(), "freq": pa.int64()})
+        encoded = _ids_by_lookup(source, [k[1:] for k in known])
+    else:
+        frequent = materialize(counted.where(F.col("item").isNotNull() & (F.col("freq") >= least)), "frequent")
+        width = frequent.count()
+        numbered = number_rows(frequent, [F.col("freq"), F.col("item")], "id", width)
+        items = materialize(numbered.select(F.col("id").cast("int"), "item", "freq"), "items")
+        encoded = _ids_by_join(source, items)
+    rows = materialize(encoded.groupBy("ids", "target").agg(F.sum("weight").alias("weight")), "encoded")
     totals = materialize(rows.groupBy("target").agg(F.sum("weight").alias("n_tot")), "totals")
     return Encoded(rows, totals, items, width, n, min_support)
 
 
-def _held_pairs(rows: DataFrame, *columns: str) -> DataFrame:
-    """Every pair of items of a transaction, rarer item first, with ``columns``. Two
-    explosions, so that no row ever holds all its pairs."""
-    firsts = rows.select("ids", *columns, F.posexplode("ids").alias("_at", "rare"))
-    rest = F.slice("ids", F.col("_at") + 2, F.size("ids"))
-    return firsts.select(*columns, "rare", F.explode(rest).alias("second"))
-
-
-def containing(encoded: Encoded, sets: DataFrame, key: str, count: int) -> DataFrame:
-    """Every (key, target, weight) where the transaction holds the itemset.
-
-    ``sets`` has ``key`` and sorted ``ids``, at most ``count`` rows. A single item
-    meets itself; a larger set meets the transactions that hold its two rarest
-    items. While the sets fit ``BROADCAST_BYTES`` they are broadcast and the
-    transactions do not move. Beyond that both sides shuffle on the join key, cut
-    into slices by the support of the rarer item, so that no key carries much more
-    than ``ROWS_PER_SLICE`` transactions."""
-    small = count * (64 + 8 * (encoded.words or encoded.width)) <= BROADCAST_BYTES
-    masks = [f"w{i}" for i in range(encoded.words)]
-    rare, second = F.get("ids", F.lit(0)).alias("rare"), F.get("ids", F.lit(1)).alias("second")
-    single = sets.filter(F.size("ids") == 1).select(key, rare)
-    larger = sets.filter(F.size("ids") > 1).select(
-        key, rare, second, *([] if masks else [F.col("ids").alias("wanted")]), *_masks("ids", encoded.words, "m")
+def _met(found: Iterator[tuple], by_target: bool) -> pa.RecordBatch:
+    """``at, n`` or ``at, target, n`` of what a walk found in a block."""
+    keys, targets, sums = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for key, value in found:
+        if by_target:
+            inside = np.flatnonzero(value[1])
+            targets.append(value[0][inside])
+            sums.append(value[1][inside])
+            keys.append(np.full(len(inside), key))
+        elif value:
+            keys.append(np.array([key]))
+            sums.append(np.array([value]))
+    columns = {"at": keys, "target": targets, "n": sums} if by_target else {"at": keys, "n": sums}
+    return pa.RecordBatch.from_pydict({name: np.concatenate(part).astype(np.int64) for name, part in columns.items()})
+
+
+def _schema(by_target: bool) -> str:
+    return "at bigint, target bigint, n bigint" if by_target else "at bigint, n bigint"
+
+
+def _by_one_tree(rows: DataFrame, sets: list[tuple[int, list[int]]], by_target: bool) -> DataFrame:
+    tree, walk, blocks = vertical.prefix_tree(sets), vertical.walk, vertical.blocks
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches):
+            yield _met(walk(block, tree, by_target), by_target)
+
+    return rows.select("ids", "target", "weight").mapInArrow(run, _schema(by_target))
+
+
+def _by_many_trees(rows: DataFrame, sets: DataFrame, count: int, by_target: bool) -> DataFrame:
+    """``sets`` has ``at, ids``. Trees hold ranges of itemsets, so that few trees share a first
+    item; trees and blocks meet by the number of the tree and a salt, since there may be
+    fewer trees than tasks."""
+    spark = rows.sparkSession
+    trees = -(-count // TREE_SETS)
+    spread = max(1, -(-spark.sparkContext.defaultParallelism // trees))
+    ranged = materialize(
+        sets.select("at", "ids").repartitionByRange(trees, "ids").withColumn("tree", F.spark_partition_id()), "ranges"
     )
-    spread = F.xxhash64("ids", "target").alias("_hash")
-    rows = encoded.rows.withColumn("held", F.col("ids")) if not masks else encoded.rows
-    carried = ["target", "weight", *(masks or ["held"])]
-    ones = encoded.rows.select("target", "weight", spread, F.explode("ids").alias("rare"))
-    pairs = _held_pairs(rows.withColumn("_hash", spread), *carried, "_hash")
-    if small:
-        met = ones.join(F.broadcast(single), "rare")
-        joined = pairs.join(F.broadcast(larger), ["rare", "second"])
-    else:
-        # one row per item with more than ROWS_PER_SLICE transactions
-        hot = encoded.items.filter(F.col("freq") > ROWS_PER_SLICE).select(
-            F.col("id").alias("rare"), F.ceil(F.col("freq") / ROWS_PER_SLICE).cast("int").alias("_cut")
-        )
-        cut = F.coalesce("_cut", F.lit(1))
-
-        def sliced(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-            left = left.join(F.broadcast(hot), "rare", "left").withColumn("_slice", F.pmod("_hash", cut).cast("int")).drop("_cut")
-            right = right.join(F.broadcast(hot), "rare", "left").withColumn("_slice", F.explode(F.sequence(F.lit(0), cut - 1))).drop("_cut")
-            return left.join(right, [*on, "_slice"])
-
-        met, joined = sliced(ones, single, ["rare"]), sliced(pairs, larger, ["rare", "second"])
-    if masks:
-        holds = F.lit(True)
-        for i in range(encoded.words):
-            holds = holds & (F.col(f"w{i}").bitwiseAND(F.col(f"m{i}")) == F.col(f"m{i}"))
+    first = F.get("ids", F.lit(0))
+    bounds = [tuple(r) for r in ranged.groupBy("tree").agg(F.min(first), F.max(first)).collect()]  # one row per TREE_SETS itemsets
+    held = ranged.groupBy("tree").agg(F.collect_list(F.struct("at", "ids")).alias("sets"))
+    held = held.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+    blocks, part_rows = vertical.blocks, TREE_ROWS
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = 0
+        for block in blocks(batches, part_rows):
+            found, row = [], np.repeat(np.arange(block.rows), np.diff(block.starts))
+            for tree, low, high in bounds:
+                inside = block.items >= low
+                some = np.zeros(block.rows, bool)
+                some[row[inside & (block.items <= high)]] = True
+                if some.any():
+                    kept = inside & some[row]
+                    lengths = np.bincount(row[kept], minlength=block.rows)[some]
+                    starts = np.concatenate(([0], np.cumsum(lengths))).astype(np.int64)
+                    parts = (block.items[kept].astype(np.int32), starts, block.targets[some].astype(np.int64), block.weights[some].astype(np.int64))
+                    found.append((tree, (made + tree) % spread, *(p.tobytes() for p in parts)))
+                    made += 1
+            names = ["tree", "salt", "items", "starts", "targets", "weights"]
+            types = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
+            columns = list(zip(*found)) if found else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
+
+    numbers = "tree int, salt int, items binary, starts binary, targets binary, weights binary"
+    met = rows.select("ids", "target", "weight").mapInArrow(cut, numbers).join(held, ["tree", "salt"])
+    make, walk, one_block = vertical.prefix_tree, vertical.walk, vertical.Block
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = None, None
+        for batch in batches:
+            for at in range(batch.num_rows):
+                tree, *parts = (batch.column(c)[at].as_py() for c in range(5))
+                if known[0] != tree:
+                    known = tree, make((s["at"], s["ids"]) for s in batch.column(5)[at].as_py())
+                block = one_block(*(np.frombuffer(p, t) for p, t in zip(parts, (np.int32, *[np.int64] * 3))))
+                yield _met(walk(block, known[1], by_target), by_target)
+
+    slim = met.select("tree", "items", "starts", "targets", "weights", "sets")
+    return slim.mapInArrow(run, _schema(by_target))
+
+
+def held_by(rows: DataFrame, sets: DataFrame, count: int, by_target: bool = False) -> DataFrame:
+    """``at, n`` of all ``sets`` (``at bigint, ids``, ``count`` rows) that ``rows`` hold: the
+    weight of the transactions that hold them; by ``target`` if asked for."""
+    if count <= LOCAL_SETS:
+        found = _by_one_tree(rows, [(r.at, list(r.ids)) for r in sets.select("at", "ids").collect()], by_target)
     else:
-        holds = F.size(F.array_except("wanted", "held")) == 0
-    columns = [key, "target", "weight"]
-    return plain_union(met.select(columns), joined.filter(holds).select(columns))
+        found = _by_many_trees(rows, sets, count, by_target)
+    return found.groupBy("at", *["target"] * by_target).agg(F.sum("n").alias("n"))
+
+
+def _pairs(rows: DataFrame, width: int) -> DataFrame:
+    """``ids, freq`` of all pairs that transactions hold."""
+    blocks, held_pairs = vertical.blocks, vertical.held_pairs
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches):
+            keys, n = held_pairs(block, width)
+            yield pa.RecordBatch.from_pydict({"at": keys, "n": n})
 
-def plain_union(first: DataFrame, second: DataFrame) -> DataFrame:
-    plain_unions(first.sparkSession)
-    return first.unionByName(second)
+    counted = rows.select("ids", "target", "weight").mapInArrow(run, _schema(False)).groupBy("at").agg(F.sum("n").alias("freq"))
+    pair = F.array((F.floor(F.col("at") / width)).cast("int"), (F.col("at") % width).cast("int"))
+    return counted.select(pair.alias("ids"), "freq")
 
 
 def _extend(level: DataFrame, size: int) -> DataFrame:
@@ -230,60 +260,38 @@ def _ahead(frequent: list[tuple[int, ...]], room: int, sizes: int) -> list[tuple
     return found
 
 
-def _active(rows: DataFrame, sets: list[tuple[int, ...]], size: int, width: int) -> DataFrame:
-    """Transactions without items that no frequent itemset of ``size`` holds, as far as they
-    can still hold a larger one. ``sets`` is small enough to be a literal."""
-    used = sorted({i for ids in sets for i in ids})
-    if len(used) < width and len(used) <= LITERAL_ITEMS:
-        known = F.array(*[F.lit(i) for i in used]).cast("array<int>")
-        rows = rows.withColumn("ids", F.array_intersect("ids", known))
-    return rows.filter(F.size("ids") > size)
-
-
 def _level_wise(encoded: Encoded) -> list[tuple[DataFrame, int]]:
     """Frequent itemsets ``ids, freq``, with their number, in counting passes over the merged
-    transactions: pairs are listed inside the transactions, then as many sizes at once as
-    give at most ``LOCAL_SETS`` candidates. Counts combine on the map side, so no task ever
-    holds an item's transactions. While a level is that small its candidates are
-    listed by the driver, otherwise they are joined."""
+    transactions: as many sizes at once as give at most ``LOCAL_SETS`` candidates. While
+    candidates are that few they are listed by the driver. Otherwise pairs are read off the
+    transactions, and larger candidates are joined and stay a table."""
     spark, width = encoded.rows.sparkSession, encoded.width
     level = encoded.items.select(F.array("id").alias("ids"), "freq")
-    found, size = [(level, width)], 2
+    local = [(item,) for item in range(width)] if width <= LOCAL_SETS else None
+    found, size, enough = [(level, width)], 2, F.col("freq") >= encoded.min_count
     while width >= size:  # an itemset of this size needs that many frequent parts
-        if size == 2:
-            pairs = _held_pairs(encoded.rows, "weight").groupBy("rare", "second").agg(F.sum("weight").alias("freq"))
-            counted = pairs.filter(F.col("freq") >= encoded.min_count).select(F.array("rare", "second").alias("ids"), "freq")
-            listed, most = None, LOCAL_SETS + 1
+        listed = None if local is None else _ahead(local, LOCAL_SETS, encoded.width)
+        if listed == []:
+            break
+        rows = encoded.rows.filter(F.size("ids") >= size)
+        if listed:
+            counted = _by_one_tree(rows, list(enumerate(listed)), False).groupBy("at").agg(F.sum("n").alias("freq"))
+            kept = sorted(tuple(r) for r in counted.filter(enough).collect())
+            columns = {"ids": [list(listed[at]) for at, _ in kept], "freq": [n for _, n in kept]}
+            level, size = local_table(spark, columns, IDS | {"freq": pa.int64()}), len(listed[-1])
+            found.append((level, len(kept)))
+            local = [listed[at] for at, _ in kept if len(listed[at]) == size]
+            width = len(local)
         else:
-            listed = None if local is None else _ahead(local, LOCAL_SETS, encoded.width)
-            if listed == []:
-                break
-            if listed:
-                candidates = local_table(spark, {"ids": [list(ids) for ids in listed]}, IDS)
-                most, top = len(listed), len(listed[-1])
+            if size == 2:
+                counted = _pairs(rows, encoded.width)
             else:
-                candidates, most, top = _extend(level, size), width * encoded.width, size
-            rows = encoded.rows if local is None else _active(encoded.rows, local, size - 1, encoded.width)
-            counted = (
-                containing(replace(encoded, rows=rows), candidates, "ids", most)
-                .groupBy("ids")
-                .agg(F.sum("weight").alias("freq"))
-                .filter(F.col("freq") >= encoded.min_count)
-            )
-            size = top
-        if most > LOCAL_SETS:
-            counted = materialize(counted, "level")
-            count = width = counted.count()
-        if most <= LOCAL_SETS or width <= LOCAL_SETS:
-            rows = counted.collect()
-            columns = {"ids": [row.ids for row in rows], "freq": [row.freq for row in rows]}
-            counted = local_table(spark, columns, IDS | {"freq": pa.int64()})
-            local = [tuple(row.ids) for row in rows if len(row.ids) == size]
-            count, width = len(rows), len(local)
-        else:
-            local = None
-        level = counted
-        found.append((counted, count))
+                wanted = materialize(_extend(level, size).withColumn("at", F.monotonically_increasing_id()), "candidates")
+                counted = held_by(rows, wanted, wanted.count()).withColumnRenamed("n", "freq").join(wanted, "at")
+            level = materialize(counted.filter(enough).select("ids", "freq"), "level")
+            width = level.count()
+            local = [tuple(r.ids) for r in level.select("ids").collect()] if width <= LOCAL_SETS else None
+            found.append((level, width))
         size += 1
     return found
 

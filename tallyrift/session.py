@@ -37,20 +37,33 @@ def plain_unions(spark: SparkSession) -> SparkSession:
 
 
 RUN = uuid.uuid4().hex  # one folder of intermediate tables per process
+LEFT: set[str] = set()  # folders that go when the driver ends
 
 
 def shared_folder(spark: SparkSession) -> str:
     """This run's folder, which all executors can read and write: below
-    ``spark.checkpoint.dir``, or below the warehouse where that is not set."""
-    folder = spark.conf.get(CHECKPOINT_KEY, None) or spark.conf.get("spark.sql.warehouse.dir")
+    ``spark.checkpoint.dir``, or below the warehouse where that is not set and either lies on a
+    shared file system or the master is local. Elsewhere every executor would write to a disk
+    of its own, so that ends the job."""
+    folder = spark.conf.get(CHECKPOINT_KEY, None)
+    if not folder:
+        folder = spark.conf.get("spark.sql.warehouse.dir")
+        master, scheme = spark.sparkContext.master, folder.partition(":")[0] if ":" in folder else "file"
+        if scheme == "file" and master != "local" and not master.startswith("local["):
+            raise ValueError(f"set {CHECKPOINT_KEY} to a folder that the driver and all executors share")
     return f"{folder.rstrip('/')}/tallyrift-{RUN}"
 
 
+def _files(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def release(spark: SparkSession) -> None:
     """Remove this run's intermediate tables. Results that were not written elsewhere
-    cannot be read any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    cannot be read any more. What is left then goes when the driver ends."""
+    path, files = _files(spark, shared_folder(spark))
+    files.delete(path, True)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -59,8 +72,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     What follows has a short lineage, survives lost executors, and reads only
     the columns it needs. Row counts of the result come from Parquet footers."""
     spark = plain_unions(df.sparkSession)
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    folder = shared_folder(spark)
+    path = f"{folder}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if folder not in LEFT:
+        LEFT.add(folder)
+        run, files = _files(spark, folder)
+        files.deleteOnExit(run)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -121,7 +121,7 @@ def test_both_dictionaries_encode_alike(transactions, monkeypatch, limit):
 def test_pairs_are_only_those_held(transactions):
     encoded = itemsets.encode(transactions(ROWS), 0.01)
     held = sum(r.weight * len(r.ids) * (len(r.ids) - 1) // 2 for r in encoded.rows.collect())
-    assert itemsets._held_pairs(encoded.rows, "weight").agg(F.sum("weight")).first()[0] == held
+    assert itemsets._pairs(encoded.rows, encoded.width).agg(F.sum("freq")).first()[0] == held
 
 
 def test_text_times(spark):
@@ -137,6 +137,27 @@ def test_index_column_of_a_file(spark, tmp_path):
     assert [tuple(r) for r in tables.read_csv(spark, f"{tmp_path}/c").collect()] == [("a", 5)]
 
 
+class Settings:
+    """As much of a session as the choice of a folder reads."""
+
+    def __init__(self, master, **conf):
+        self.sparkContext, self.conf = self, self
+        self.master, self.known = master, {"spark.sql.warehouse.dir": "file:/tmp/warehouse", **conf}
+
+    def get(self, key, default=None):
+        return self.known.get(key, default)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_folder(Settings("spark://host:7077"))
+    with pytest.raises(ValueError):
+        session.shared_folder(Settings("local-cluster[2,1,1024]", **{"spark.sql.warehouse.dir": "/tmp/warehouse"}))
+    assert session.shared_folder(Settings("local[4]")).startswith("file:/tmp/warehouse/")
+    assert session.shared_folder(Settings("yarn", **{"spark.sql.warehouse.dir": "hdfs://name/warehouse"})).startswith("hdfs://name/")
+    assert session.shared_folder(Settings("yarn", **{"spark.checkpoint.dir": "file:///mnt/shared"})).startswith("file:///mnt/shared/")
+
+
 def test_intermediate_tables_lie_below_the_shared_folder(spark, tmp_path):
     folder = session.shared_folder(spark)
     assert folder.startswith(spark.conf.get("spark.checkpoint.dir"))

@@ -31,10 +31,10 @@ def test_level_wise_equals_fp_growth_equals_definition(transactions, support):
 LIMITS = {
     "joined candidates": {"LOCAL_SETS": 0},
     "few listed candidates": {"LOCAL_SETS": 12},
-    "shuffled and sliced": {"BROADCAST_BYTES": 0, "ROWS_PER_SLICE": 7},
-    "no masks": {"MASK_WORDS": 0},
-    "many mask words": {"BITS": 2},
-    "everything large": {"LOCAL_SETS": 0, "BROADCAST_BYTES": 0, "ROWS_PER_SLICE": 7, "MASK_WORDS": 0},
+    "a tree per itemset": {"LOCAL_SETS": 0, "TREE_SETS": 1},
+    "several trees": {"LOCAL_SETS": 3, "TREE_SETS": 4, "TREE_ROWS": 30},
+    "items in a table": {"LITERAL_ITEMS": 2},
+    "everything large": {"LOCAL_SETS": 0, "TREE_SETS": 5, "TREE_ROWS": 7, "LITERAL_ITEMS": 0},
 }
 
 
