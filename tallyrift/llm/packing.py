@@ -25,7 +25,7 @@ from tallyrift.session import materialize
 
 TOKENS = 4096
 SHARD_ROWS = 4096
-CACHED_WORDS = 400_000
+CACHED_WORDS = 1_000_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -42,7 +42,7 @@ class WordTokens:
     The vocabulary drops white space and never joins tokens across it, so a text's ids are
     those of its words in turn; each worker keeps the ids of words it has met. A word of
     Latin letters and signs is cut by the vocabulary's own pattern and merged by its model
-    (the tokenizer's own bookkeeping takes most of its time); any other word goes through the tokenizer."""
+    (the tokenizer's own bookkeeping takes most of its time); other words go through the tokenizer."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
@@ -50,10 +50,11 @@ class WordTokens:
         kinds = [s["type"] for s in steps["normalizer"]["normalizers"]], [s["type"] for s in steps["pre_tokenizer"]["pretokenizers"]]
         if kinds != (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]):
             raise ValueError("this vocabulary is not cut at white space")
-        self.pieces = regex.compile(steps["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        self.pieces = regex.compile(steps["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] + "| ")
         self.latin = re.compile("[!-~\u00a1-\u024f]+")  # composed letters, no white space
         self.letters = _byte_letters()
         self.merge = self.tokenizer.model.tokenize
+        self.bytes_of = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.known: dict[str, bytes] = {"": b""}
         self.parts: dict[str, bytes] = {}
 
@@ -61,27 +62,42 @@ class WordTokens:
         ids = self.parts.get(part)
         if ids is None:
             written = part.encode().decode("latin-1").translate(self.letters)
-            ids = b"".join(t.id.to_bytes(4, "little") for t in self.merge(written))
+            ids = b"".join([self.bytes_of[t.id] for t in self.merge(written)])
             self.parts[part] = ids
         return ids
 
-    def _word(self, word: str) -> bytes:
-        if "<|" not in word and self.latin.fullmatch(word):
-            return b"".join(map(self._part, self.pieces.findall(word.lower())))
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def encode(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
-        known = self.known
-        new = set(words).difference(known)
+    def _learn(self, words: set[str]) -> None:
+        """Note the ids of new words. All Latin words are cut in one go, with the spaces
+        between them, and all others are one batch of the tokenizer."""
+        latin, others = [], []
+        for word in words:
+            (latin if "<|" not in word and self.latin.fullmatch(word) else others).append(word)
+        known, parts, at, ids = self.known, self.parts, 0, []
+        for part in self.pieces.findall(" ".join(latin).lower()):
+            if part == " ":
+                known[latin[at]] = b"".join(ids)
+                at, ids = at + 1, []
+            else:
+                ids.append(parts.get(part) or self._part(part))
+        if latin:
+            known[latin[at]] = b"".join(ids)
+        if others:
+            for word, found in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False)):
+                known[word] = np.array(found.ids, "<u4").tobytes()
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        split = [text.replace("\n", " ").split(" ") for text in texts]
+        new = set().union(*split).difference(self.known)
         if new:
             if len(self.parts) > CACHED_WORDS:
                 self.parts = {}
-            if len(known) > CACHED_WORDS:
-                known, new = {}, set(words)
-            known.update((w, self._word(w)) for w in new)
-            self.known = known
-        return b"".join(map(known.__getitem__, words))
+            if len(self.known) > CACHED_WORDS:
+                self.known, new = {"": b""}, set().union(*split).difference(("",))
+            self._learn(new)
+        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+
+    def encode(self, text: str) -> bytes:
+        return self.encode_all([text])[0]
 
 
 def token_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text", end: int = 1, most: int = TOKENS, with_ids: bool = False) -> DataFrame:
@@ -98,8 +114,8 @@ def token_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text: str =
             ids = batch.column(0)
             for at, _, body in text_slices(batch.column(1)):
                 found: list[tuple] = []
-                for row, t in enumerate(body, at):
-                    data = encoder.encode(t.decode()) + closing
+                for row, data in enumerate(encoder.encode_all([t.decode() for t in body]), at):
+                    data += closing
                     for piece, start in enumerate(range(0, len(data), 4 * most)):
                         cut = data[start : start + 4 * most]
                         found.append((row, piece, start // 4, len(cut) // 4, zlib.crc32(cut), cut))
