@@ -16,6 +16,7 @@ matrices of classes."""
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -32,6 +33,7 @@ from tallyrift.session import materialize
 
 CORE = 4096
 CORE_WORD_BYTES = 64  # longer words are never core words, so that the core's size has a bound
+LONG = b"\xff"  # starts no word in UTF-8
 CLASSES = 64
 END, RARE = CLASSES, CLASSES + 1  # classes of the end and, while clustering, of all other words
 WIDTH = CLASSES + 2
@@ -59,13 +61,18 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % 5 == 1
 
 
+def short(word: bytes) -> bytes:
+    """The word, or a hash of a long one: apart from the core, words are only told apart."""
+    return word if len(word) <= CORE_WORD_BYTES else LONG + hashlib.sha256(word).digest()
+
+
 def word_counts(texts: DataFrame) -> DataFrame:
-    """``word binary, n`` of a column of texts, A-Z in lower case."""
+    """``word binary, n`` of a column of texts, A-Z in lower case; long words as ``short``."""
 
     @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def counted() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(list(map(short, counts)), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
 
         counts: Counter = Counter()
         for batch in batches:
@@ -102,7 +109,7 @@ def encode(docs: DataFrame, core: list[bytes]) -> DataFrame:
         ids, held, lengths, codes, places, taken, types = [], [], [], [], _Places(known), 0, []
 
         def chunk() -> pa.RecordBatch:
-            words = list(places)[size:]
+            words = [short(word) for word in list(places)[size:]]
             body = np.concatenate(codes).astype("<u4").tobytes()
             arrays = [
                 pa.array([first + made], pa.int64()), pa.array([ids], pa.list_(types[0])), pa.array([held], pa.list_(pa.bool_())),
@@ -460,7 +467,7 @@ def class_scores(docs: DataFrame) -> DataFrame:
     known = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     ends = learned.count()
     tokens, types = known[0] + ends, known[1] + (ends > 0)
-    top = counts.where(F.length("word") <= CORE_WORD_BYTES).orderBy(F.desc("n"), "word").limit(CORE).collect()
+    top = counts.where(F.substring("word", 1, 1) != F.lit(LONG)).orderBy(F.desc("n"), "word").limit(CORE).collect()
     core, core_n = [bytes(r.word) for r in top], np.array([r.n for r in top], np.int64)
     chunks = materialize(encode(docs, core), "chunks")
     classes, matrix = exchange(materialize(_pair_counts(chunks, len(core)), "pairs"), len(core))
