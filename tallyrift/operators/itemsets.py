@@ -116,32 +116,16 @@ def encode(transactions: DataFrame, min_support: float) -> Encoded:
     return Encoded(rows, totals, items, width, n, min_support)
 
 
-def _met(found: Iterator[tuple], by_target: bool) -> pa.RecordBatch:
-    """``at, n`` or ``at, target, n`` of what a walk found in a block."""
-    keys, targets, sums = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for key, value in found:
-        if by_target:
-            inside = np.flatnonzero(value[1])
-            targets.append(value[0][inside])
-            sums.append(value[1][inside])
-            keys.append(np.full(len(inside), key))
-        elif value:
-            keys.append(np.array([key]))
-            sums.append(np.array([value]))
-    columns = {"at": keys, "target": targets, "n": sums} if by_target else {"at": keys, "n": sums}
-    return pa.RecordBatch.from_pydict({name: np.concatenate(part).astype(np.int64) for name, part in columns.items()})
-
-
 def _schema(by_target: bool) -> str:
     return "at bigint, target bigint, n bigint" if by_target else "at bigint, n bigint"
 
 
 def _by_one_tree(rows: DataFrame, sets: list[tuple[int, list[int]]], by_target: bool) -> DataFrame:
-    tree, walk, blocks = vertical.prefix_tree(sets), vertical.walk, vertical.blocks
+    tree, sums_in, blocks = vertical.prefix_tree(sets), vertical.sums_in, vertical.blocks
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
-            yield _met(walk(block, tree, by_target), by_target)
+            yield sums_in(block, tree, by_target)
 
     return rows.select("ids", "target", "weight").mapInArrow(run, _schema(by_target))
 
@@ -184,7 +168,7 @@ def _by_many_trees(rows: DataFrame, sets: DataFrame, count: int, by_target: bool
 
     numbers = "tree int, salt int, items binary, starts binary, targets binary, weights binary"
     met = rows.select("ids", "target", "weight").mapInArrow(cut, numbers).join(held, ["tree", "salt"])
-    make, walk, one_block = vertical.prefix_tree, vertical.walk, vertical.Block
+    make, sums_in, one_block = vertical.prefix_tree, vertical.sums_in, vertical.Block
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = None, None
@@ -194,7 +178,7 @@ def _by_many_trees(rows: DataFrame, sets: DataFrame, count: int, by_target: bool
                 if known[0] != tree:
                     known = tree, make((s["at"], s["ids"]) for s in batch.column(5)[at].as_py())
                 block = one_block(*(np.frombuffer(p, t) for p, t in zip(parts, (np.int32, *[np.int64] * 3))))
-                yield _met(walk(block, known[1], by_target), by_target)
+                yield sums_in(block, known[1], by_target)
 
     slim = met.select("tree", "items", "starts", "targets", "weights", "sets")
     return slim.mapInArrow(run, _schema(by_target))

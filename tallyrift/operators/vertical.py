@@ -187,6 +187,22 @@ def walk(block: Block, root: Node, by_target: bool = False) -> Iterator[tuple[in
             yield key, (gauge.values, sums) if by_target else sums
 
 
+def sums_in(block: Block, root: Node, by_target: bool = False) -> pa.RecordBatch:
+    """``walk`` as rows ``at, n`` or ``at, target, n``, without zeros."""
+    keys, targets, sums = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for key, value in walk(block, root, by_target):
+        if by_target:
+            inside = np.flatnonzero(value[1])
+            targets.append(value[0][inside])
+            sums.append(value[1][inside])
+            keys.append(np.full(len(inside), key))
+        elif value:
+            keys.append(np.array([key]))
+            sums.append(np.array([value]))
+    columns = {"at": keys, "target": targets, "n": sums} if by_target else {"at": keys, "n": sums}
+    return pa.RecordBatch.from_pydict({name: np.concatenate(part).astype(np.int64) for name, part in columns.items()})
+
+
 def _walked(root: Node, maps: Bitmaps, gauge) -> Iterator[tuple[int, np.ndarray]]:
     known = set(maps.items.tolist())
     at = np.arange(maps.words)
