@@ -250,58 +250,109 @@ class SuffixArray:
         self.fragment = np.repeat(np.arange(len(data)), sizes)
         remain = ends[self.fragment] - np.arange(len(self.fragment))
         starts = np.flatnonzero(remain >= least)
-        starts = starts[self._again(text, starts, least)] if repeated else starts
-        width = int(sizes.max(initial=1))
+        sort = self._sort_repeated if repeated else self._sort_all
+        self.suffix, self.common = sort(text, starts, remain, least, int(sizes.max(initial=1))) if len(starts) else (starts, starts)
+        before = text[self.suffix - 1].astype(np.int64)
+        at_start = self.suffix == self.begin[self.fragment[self.suffix]]
+        self.before = np.where(at_start, -1 - np.arange(len(self.suffix)), before)  # unknown differs from all
+
+    @staticmethod
+    def _sort_all(text: np.ndarray, starts: np.ndarray, remain: np.ndarray, least: int, width: int) -> tuple[np.ndarray, np.ndarray]:
         left = remain[starts]
         suffixes = text[starts[:, None] + np.arange(width)]
         suffixes[np.arange(width) >= left[:, None]] = 0
-        order = np.argsort(np.ascontiguousarray(suffixes).view(f"S{width}").ravel(), kind="stable") if len(starts) else starts
-        self.suffix = starts[order]
-        suffixes = suffixes[order]
+        order = np.argsort(np.ascontiguousarray(suffixes).view(f"S{width}").ravel(), kind="stable")
+        suffixes, left = suffixes[order], left[order]
         differs = suffixes[1:] != suffixes[:-1]
-        common = np.where(differs.any(1), differs.argmax(1), width) if len(starts) else starts
-        left = left[order]
-        self.common = np.minimum(common, np.minimum(left[1:], left[:-1])) if len(starts) else starts
-        before = text[self.suffix - 1].astype(np.int64)
-        at_start = self.suffix == self.begin[self.fragment[self.suffix]]
-        self.before = np.where(at_start, -1 - np.arange(len(self.suffix)), before)  # unknown differs from all
+        common = np.where(differs.any(1), differs.argmax(1), width)
+        return starts[order], np.minimum(common, np.minimum(left[1:], left[:-1]))
 
     @staticmethod
-    def _again(text: np.ndarray, starts: np.ndarray, least: int) -> np.ndarray:
-        """Which strings of ``least`` bytes at ``starts`` are there twice."""
+    def _sort_repeated(text: np.ndarray, starts: np.ndarray, remain: np.ndarray, least: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Suffixes that share their first ``least`` bytes side by side, sorted by what follows,
+        a word of eight bytes at a time and only where still equal. In which order different
+        beginnings come is of no interest: they share nothing of that length."""
         if least < 8:
             raise ValueError("strings of eight bytes at least")
         h, step = _eights(text), 8
         while 2 * step <= least:
             h = _double(h, step)
             step *= 2
-        both = _mix(h[starts] * C1 + h[starts + least - step])
-        order = np.argsort(both)
-        same = both[order[1:]] == both[order[:-1]]
-        twice = np.zeros(len(starts), bool)
-        twice[order[1:][same]] = True
-        twice[order[:-1][same]] = True
-        return twice
-
-    def maximal_repeats(self, least: int = LENGTH) -> Iterator[tuple[int, int, int]]:
+        head = _mix(h[starts] * C1 + h[starts + least - step])
+        order = np.argsort(head, kind="stable")
+        same = head[order[1:]] == head[order[:-1]]
+        twice = np.concatenate((same, [False])) | np.concatenate(([False], same))
+        starts, head = starts[order][twice], head[order][twice]
+        if not len(starts):
+            return starts, starts
+        same = np.concatenate(([False], head[1:] == head[:-1]))
+        words = np.ndarray(max(len(text) - 7, 0), ">u8", np.ascontiguousarray(text), strides=(1,))
+        left = remain[starts] - least
+        rest = []
+        for at in range(0, width - least, 8):
+            there = np.clip(left - at, 0, 8).astype(np.uint64)
+            word = words[np.minimum(starts + least + at, len(words) - 1)].astype(np.uint64)
+            rest.append(np.where(there > 0, word & ~np.uint64(0) << (np.uint64(64) - np.uint64(8) * np.maximum(there, np.uint64(1))), np.uint64(0)))
+        group = np.cumsum(~same)
+        place = np.arange(len(starts))
+        for word in rest:
+            tied = np.concatenate((group[1:] == group[:-1], [False]))
+            tied = np.flatnonzero(tied | np.concatenate(([False], tied[:-1])))
+            if not len(tied):
+                break
+            order = np.lexsort((word[place[tied]], group[tied]))
+            place[tied] = place[tied][order]
+            value = word[place]
+            group = np.cumsum(np.concatenate(([True], (group[1:] != group[:-1]) | (value[1:] != value[:-1]))))
+        starts, left, head = starts[place], left[place], np.cumsum(~same)  # beginnings stay where they are
+        joined = np.flatnonzero(head[1:] == head[:-1])
+        one, two = starts[joined], starts[joined + 1]
+        equal = np.ones(len(joined), bool)
+        for at in [*range(0, least - 7, 8), least - 8]:  # the bytes themselves, not their hash
+            equal &= words[one + at] == words[two + at]
+        length, going = np.full(len(joined), least), equal.copy()
+        for word in rest:
+            apart = word[place[joined]] ^ word[place[joined + 1]]
+            shared = sum((apart >> np.uint64(64 - 8 * k) == 0).astype(np.int64) for k in range(1, 9))
+            length += np.where(going, shared, 0)
+            going &= shared == 8
+        length = np.minimum(length, least + np.minimum(left[joined], left[joined + 1]))
+        common = np.zeros(len(starts) - 1, np.int64)
+        common[joined] = np.where(equal, length, 0)
+        return starts, common
+
+    def repeat_table(self, least: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """``length, first, last`` (places in ``suffix``) of every interval of the common
-        prefix tree with at least ``least`` bytes whose members differ to the left."""
+        prefix tree with at least ``least`` bytes whose members differ to the left. A run of
+        one length is one interval; only runs of several lengths need the stack."""
         common, before = self.common, self.before
-        change = np.concatenate(([0], np.cumsum(before[1:] != before[:-1]))) if len(before) else before
-        stack: list[tuple[int, int]] = []  # length and first place of open intervals
         deep = np.flatnonzero(common >= least)
-        previous = -2
-        for i in deep.tolist():
-            if i != previous + 1:
-                yield from self._closed(stack, previous + 1, 0, change)
-            previous, length, first = i, int(common[i]), i
+        if not len(deep):
+            return deep, deep, deep
+        change = np.concatenate(([0], np.cumsum(before[1:] != before[:-1])))
+        opens = np.flatnonzero(np.concatenate(([True], np.diff(deep) > 1)))
+        first, last = deep[opens], deep[np.append(opens[1:], len(deep)) - 1] + 1
+        flat = np.maximum.reduceat(common[deep], opens) == np.minimum.reduceat(common[deep], opens)
+        found = [(int(n), a, b) for start, stop in zip(first[~flat].tolist(), last[~flat].tolist()) for n, a, b in self._scanned(start, stop, change)]
+        one = flat & (change[first] != change[last])
+        more = np.array(found, np.int64).reshape(-1, 3)
+        return tuple(np.concatenate(x) for x in zip((common[first[one]], first[one], last[one]), more.T))
+
+    def maximal_repeats(self, least: int = LENGTH) -> Iterator[tuple[int, int, int]]:
+        yield from zip(*(x.tolist() for x in self.repeat_table(least)))
+
+    def _scanned(self, start: int, stop: int, change: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """Intervals of a run of suffixes whose neighbours all share enough."""
+        stack: list[tuple[int, int]] = []  # length and first place of open intervals
+        for i, length in enumerate(self.common[start:stop].tolist(), start):
+            first = i
             while stack and stack[-1][0] > length:
                 top, first = stack.pop()
                 if change[i] != change[first]:
                     yield top, first, i
             if not stack or stack[-1][0] < length:
                 stack.append((length, first))
-        yield from self._closed(stack, previous + 1, 0, change)
+        yield from self._closed(stack, stop, 0, change)
 
     @staticmethod
     def _closed(stack, last, length, change) -> Iterator[tuple[int, int, int]]:
@@ -331,15 +382,13 @@ def _sorted_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             d, v = doc[member][by], version[member][by]
             moved[1:] |= (d[1:] != d[:-1]) | (v[1:] != v[:-1])
         order[by] = np.cumsum(moved)  # equal for the same place of the same document
-        found: list[np.ndarray] = []
-        lengths: list[np.ndarray] = []
-        for length, first, last in array.maximal_repeats():
-            here = order[first : last + 1]
-            later = np.flatnonzero(here > here.min()) + first
-            found.append(later)
-            lengths.append(np.full(len(later), length))
-        if found:
-            at, length = np.concatenate(found), np.concatenate(lengths)
+        length, first, last = array.repeat_table()
+        if len(length):
+            sizes = last - first + 1
+            opens = np.cumsum(sizes) - sizes
+            at = np.arange(sizes.sum()) - np.repeat(opens - first, sizes)  # all members of all intervals
+            later = order[at] > np.repeat(np.minimum.reduceat(order[at], opens), sizes)
+            at, length = at[later], np.repeat(length, sizes)[later]
             yield _removals(doc[member[at]], version[member[at]].astype(np.int64), place[at], place[at] + length)
 
 
