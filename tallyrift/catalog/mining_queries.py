@@ -7,7 +7,7 @@ from tallyrift.catalog import sql
 from tallyrift.catalog.registry import num, query, show_rules, text
 from tallyrift.operators.histogram import all_histograms
 from tallyrift.operators.itemsets import frequent_itemsets
-from tallyrift.plans.discovery import discover_rules, split_population
+from tallyrift.plans.discovery import discover_best, discover_rules, split_population
 
 ITEMSETS = f"SELECT {sql.text()}, freq FROM itemsets"
 CELLS = f"SELECT {sql.text()}, target, n_set, n_counter FROM hist"
@@ -124,3 +124,14 @@ def part_itemsets(spark, folder):
 @query("kl_rules_parts", rules_sql(PARTS, sql.KL))
 def kl_rules_parts(spark, folder):
     return show_rules(discover_rules(b.part_baskets(spark, folder), 0.0005, "kl"))
+
+
+@query("mean_rules_bounded", rules_sql(BASKETS, sql.MEAN))
+def mean_rules_bounded(spark, folder):
+    """The same rules as an exhaustive run, by branch and bound."""
+    return show_rules(discover_best(b.baskets(spark, folder), 0.05, "mean")[0])
+
+
+@query("expo_rules_bounded", rules_sql(EVENTS, sql.EXPO))
+def expo_rules_bounded(spark, folder):
+    return show_rules(discover_best(b.event_transactions(spark, folder), 0.025, "expo")[0])

@@ -9,6 +9,7 @@ from tallyrift.operators import measures
 from tallyrift.operators.histogram import Split, split_cells
 from tallyrift.operators.itemsets import encode, mine
 from tallyrift.operators.ranking import top_rules
+from tallyrift.operators.topk import best_split
 
 MEASURES = ("kl", "expo", "normal", "mean")
 
@@ -64,3 +65,10 @@ def discover_rules(
     """The ``k`` best rules of ``transactions`` under ``measure``."""
     split = split_population(transactions, min_support, miner, store=measure == "normal")
     return top_rules(score_rules(split, measure, **scoring), k)
+
+
+def discover_best(transactions: DataFrame, min_support: float, measure: str = "mean", k: int = 10) -> tuple[DataFrame, list[dict[str, int]]]:
+    """The ``k`` best rules as ``discover_rules`` gives them, for ``mean`` or ``expo``, without
+    counting what cannot be among them, and how many itemsets of each size were visited."""
+    split, visited = best_split(encode(transactions, min_support), measure, k)
+    return top_rules(score_rules(split, measure), k), visited
