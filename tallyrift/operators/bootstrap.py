@@ -1,4 +1,11 @@
-"""Bootstrap standard error of the discrete divergence."""
+"""Bootstrap standard errors of the discrete divergence and of the mean difference.
+
+Drawing n of n values with replacement is a multinomial draw over the distinct ones. Values
+are dealt into blocks, and a draw goes down a tree of binomials over the blocks: each block's
+task follows its own path, whose random numbers depend on the rule, the side and the place in
+the tree alone, so all tasks agree on every count without meeting. Inside its block a task
+draws a multinomial and sends sums. The histogram is shuffled once, one rule is spread over
+as many tasks as it has blocks, and results do not depend on partitions."""
 
 from __future__ import annotations
 
@@ -7,82 +14,128 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+BLOCK_VALUES = 4096
+CELLS_AT_ONCE = 2_000_000
+PATH = ("low", "high", "goes", "set_weight", "set_left", "counter_weight", "counter_left")
+
+
+def _paths(sums: DataFrame, key: str, kind: str) -> DataFrame:
+    """``key, block, low, high, goes, set_weight, set_left, counter_weight, counter_left``: the
+    steps down the tree to each block, as arrays, from the root on. ``sums`` has a row per
+    block; those of a rule meet, one for BLOCK_VALUES values."""
+    sides = ("set", "counter")
+
+    def steps(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("block")
+        total = {side: np.concatenate(([0], np.cumsum(rows[side]))) for side in sides}
+        found = []
+        for place, block in enumerate(rows["block"]):
+            low, high, path = 0, len(rows), []
+            while high - low > 1:
+                middle = (low + high) // 2
+                left = place < middle
+                weights = [int(total[side][end] - total[side][low]) for side in sides for end in (high, middle)]
+                path.append((low, high, int(left), *weights))
+                low, high = (low, middle) if left else (middle, high)
+            found.append((rows[key].iloc[0], block, int(total["set"][-1]), int(total["counter"][-1]), *(list(c) for c in (zip(*path) if path else [()] * 7))))
+        return pd.DataFrame(found, columns=[key, "block", "set_size", "counter_size", *PATH])
+
+    arrays = ", ".join(f"{c} array<bigint>" for c in PATH)
+    return sums.groupBy(key).applyInPandas(steps, f"{key} {kind}, block int, set_size bigint, counter_size bigint, {arrays}")
+
+
+def bootstrap_divergences(histograms: DataFrame, replicates: int = 10_000, seed: int = 42, key: str = "rank") -> DataFrame:
+    """``key, replicate, divergence, difference`` (divergence with 4 decimals; difference of
+    the two means) for every rule of ``histograms`` (``key, target, n_set, n_counter``). Equal
+    seeds and keys give equal results."""
+    at_once, kind = CELLS_AT_ONCE, histograms.schema[key].dataType.simpleString()
+    values = histograms.agg(F.approx_count_distinct("target")).first()[0] or 0
+    block = F.pmod(F.xxhash64("target"), F.lit(max(1, -(-values // BLOCK_VALUES)))).cast("int")
+    cells = histograms.select(key, "target", "n_set", "n_counter", block.alias("block"))
+    sums = cells.groupBy(key, "block").agg(F.sum("n_set").alias("set"), F.sum("n_counter").alias("counter"))
+
+    def count_in(path: pd.Series, side: int, number: int) -> np.ndarray:
+        """How much of each draw falls into a block: one binomial for each step down the tree."""
+        name = ("set", "counter")[side]
+        count = np.full(replicates, int(path[f"{name}_size"]))
+        for low, high, left, weight, part in zip(*(path[c] for c in ("low", "high", "goes", f"{name}_weight", f"{name}_left"))):
+            rng = np.random.default_rng([seed, number, side, int(low), int(high)])
+            drawn = rng.binomial(count, part / weight if weight else 0.0)
+            count = drawn if left else count - drawn
+        return count
+
+    def draw(group: pd.DataFrame, paths: pd.DataFrame) -> pd.DataFrame:
+        group, path = group.sort_values("target"), paths.iloc[0]
+        number, place = int(path[key]), int(path["block"])
+        x, sides = group["target"].to_numpy(np.float64), []
+        for side, column in enumerate(("n_set", "n_counter")):
+            counts = group[column].to_numpy(np.int64)
+            share = counts / counts.sum() if counts.sum() else np.full(len(counts), 1 / len(counts))
+            rng = np.random.default_rng([seed, number, side, place])
+            sides.append((count_in(path, side, number), share, int(path[("set_size", "counter_size")[side]]), rng))
+        step, parts = max(1, at_once // len(group)), []
+        for start in range(0, replicates, step):
+            q, p = (rng.multinomial(count[start : start + step], share) / max(size, 1) for count, share, size, rng in sides)
+            both = (p > 0) & (q > 0)
+            ratio = np.divide(p, q, out=np.ones_like(p), where=both)
+            parts.append(((np.where(both, p, 0.0) * np.log(np.where(both, ratio, 1.0))).sum(axis=1), (q - p) @ x))
+        divergence, difference = (np.concatenate(part) for part in zip(*parts))
+        return pd.DataFrame({key: number, "replicate": np.arange(replicates), "divergence": divergence, "difference": difference})
 
-def bootstrap_divergences(
-    histograms: DataFrame, replicates: int = 10_000, seed: int = 42, per_block: int = 500
-) -> DataFrame:
-    """``rank, replicate, divergence`` (4 decimals) for every rule of
-    ``histograms`` (``rank, target, n_set, n_counter``).
+    both = cells.groupBy(key, "block").cogroup(_paths(sums, key, kind).groupBy(key, "block"))
+    drawn = both.applyInPandas(draw, f"{key} {kind}, replicate bigint, divergence double, difference double")
+    return drawn.groupBy(key, "replicate").agg(F.round(F.sum("divergence"), 4).alias("divergence"), F.sum("difference").alias("difference"))
 
-    Rules and blocks of replicates are spread over the cluster; a task holds one
-    histogram, never raw values. Equal seeds give equal results."""
-    blocks = -(-replicates // per_block)
-    work = histograms.select(
-        "rank", "target", "n_set", "n_counter", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
-    )
 
-    cells_at_once = 2_000_000
-
-    def resampled(counts: np.ndarray, draws: int, rng: np.random.Generator) -> np.ndarray:
-        # drawing n of n values with replacement is a multinomial draw over the distinct ones
-        size = int(counts.sum())
-        return rng.multinomial(size, counts / size, size=draws) / size
-
-    def draw(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        rank, block = (int(part) for part in key)
-        group = group.sort_values("target")
-        inside, outside = group["n_set"].to_numpy(np.int64), group["n_counter"].to_numpy(np.int64)
-        rng = np.random.default_rng([seed, rank, block])
-        wanted = min(per_block, replicates - block * per_block)
-        step = max(1, cells_at_once // max(len(group), 1))
-        parts = []
-        for start in range(0, wanted, step):
-            draws = min(step, wanted - start)
-            q, p = resampled(inside, draws, rng), resampled(outside, draws, rng)
-            both = (p > 0) & (q > 0)
-            ratio = np.divide(p, q, out=np.ones_like(p), where=both)
-            parts.append((np.where(both, p, 0.0) * np.log(np.where(both, ratio, 1.0))).sum(axis=1))
-        return pd.DataFrame(
-            {
-                "rank": rank,
-                "replicate": block * per_block + np.arange(wanted),
-                "divergence": np.round(np.concatenate(parts), 4),
-            }
-        )
-
-    return work.groupBy("rank", "block").applyInPandas(draw, "rank int, replicate bigint, divergence double")
-
-
-def bootstrap_error(histograms: DataFrame, replicates: int = 10_000, seed: int = 42) -> DataFrame:
-    """Standard error per rule, as the deviation over the replicates."""
-    drawn = bootstrap_divergences(histograms, replicates, seed)
-    return drawn.groupBy("rank").agg(
+def bootstrap_error(histograms: DataFrame, replicates: int = 10_000, seed: int = 42, key: str = "rank") -> DataFrame:
+    """Standard errors per rule, as the deviations over the replicates."""
+    drawn = bootstrap_divergences(histograms, replicates, seed, key)
+    return drawn.groupBy(key).agg(
         F.count(F.lit(1)).alias("replicates"),
         F.stddev_samp("divergence").alias("standard_error"),
         F.round(F.stddev_samp("divergence"), 2).alias("error_bar"),
+        F.stddev_samp("difference").alias("mean_error"),
     )
 
 
-def closed_form_error(histograms: DataFrame) -> DataFrame:
-    """Standard error of the discrete divergence by the delta method, per rule: both sides
-    are multinomial, the derivatives are ln(p / q) + 1 in p and -p / q in q at the values
-    both sides have."""
-    sizes = histograms.groupBy("rank").agg(F.sum("n_set").alias("size_q"), F.sum("n_counter").alias("size_p"))
+def closed_form_error(histograms: DataFrame, key: str = "rank") -> DataFrame:
+    """Standard errors per rule without drawing. Of the discrete divergence by the delta
+    method: both sides are multinomial, the derivatives are ln(p / q) + 1 in p and -p / q in q
+    at the values both sides have. Of the mean difference exactly: variance over size of both."""
+    x = F.col("target").cast("double")
+
+    def deviation(n: str) -> Column:
+        mean = F.sum(x * F.col(n)) / F.sum(n)
+        return (F.sum(x * x * F.col(n)) / F.sum(n) - mean * mean) / F.sum(n)
+
+    sizes = histograms.groupBy(key).agg(
+        F.sum("n_set").alias("size_q"), F.sum("n_counter").alias("size_p"),
+        F.sqrt(deviation("n_set") + deviation("n_counter")).alias("mean_closed_form"),
+    )
     p, q = F.col("n_counter") / F.col("size_p"), F.col("n_set") / F.col("size_q")
     in_p, in_q = F.log(p / q) + 1.0, -p / q
-    shared = histograms.filter((F.col("n_set") > 0) & (F.col("n_counter") > 0)).join(sizes, "rank")
+    shared = histograms.filter((F.col("n_set") > 0) & (F.col("n_counter") > 0)).join(sizes, key)
 
     def variance(share: Column, slope: Column, size: str) -> Column:
         mean = F.sum(share * slope)
         return (F.sum(share * slope * slope) - mean * mean) / F.first(size)
 
-    return shared.groupBy("rank").agg(
-        F.sqrt(variance(p, in_p, "size_p") + variance(q, in_q, "size_q")).alias("closed_form")
+    return shared.groupBy(key).agg(
+        F.sqrt(variance(p, in_p, "size_p") + variance(q, in_q, "size_q")).alias("closed_form"),
+        F.first("mean_closed_form").alias("mean_closed_form"),
     )
 
 
-def checked_error(histograms: DataFrame, replicates: int, tolerance: float, seed: int = 42) -> DataFrame:
-    """The closed form per rule, and whether the bootstrap lies within ``tolerance`` of it."""
-    both = closed_form_error(histograms).join(bootstrap_error(histograms, replicates, seed), "rank")
-    gap = F.abs(F.col("standard_error") - F.col("closed_form"))
-    return both.select("rank", "closed_form", (gap <= tolerance * F.col("closed_form")).alias("agrees"))
+def checked_error(histograms: DataFrame, replicates: int, tolerance: float, mean_tolerance: float = 0.05, seed: int = 42, key: str = "rank") -> DataFrame:
+    """Both closed forms per rule, and whether the bootstrap agrees: within ``tolerance`` for
+    the divergence, whose closed form is of first order, and within ``mean_tolerance`` for the
+    mean difference, whose closed form is exact."""
+    both = closed_form_error(histograms, key).join(bootstrap_error(histograms, replicates, seed, key), key)
+
+    def near(found: str, known: str, share: float) -> Column:
+        return F.abs(F.col(found) - F.col(known)) <= share * F.col(known)
+
+    return both.select(
+        key, "closed_form", near("standard_error", "closed_form", tolerance).alias("agrees"),
+        "mean_closed_form", near("mean_error", "mean_closed_form", mean_tolerance).alias("mean_agrees"),
+    )

@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyrift.functions import stats
 from tallyrift.operators.bootstrap import bootstrap_error, checked_error
 from tallyrift.operators.histogram import Split, full_histogram
 from tallyrift.operators.itemsets import repeat_rows
-from tallyrift.operators.ranking import top_rules
+from tallyrift.operators.ranking import score_order
 from tallyrift.plans.discovery import score_rules
 from tallyrift.session import materialize
 
@@ -148,19 +147,22 @@ def error_bars(
     tolerance: float | None = None,
 ) -> DataFrame:
     """Bootstrap errors of the best ``ranks`` rules at every support, whatever the
-    ``measure`` that ranked them. One table of scores serves all supports. With
-    ``tolerance`` the errors are compared with their closed form."""
-    scored = materialize(score_rules(split, measure).select("set_id", "itemset", "freq", "score"), "scored")
-    parts = []
-    for min_support in min_supports:
-        kept = scored.filter(F.col("freq") >= split.count_at(min_support))
-        histograms = rule_histograms(split, top_rules(kept, ranks), ranks)
-        if tolerance is None:
-            errors = bootstrap_error(histograms, replicates, seed)
-        else:
-            errors = checked_error(histograms, replicates, tolerance, seed)
-        parts.append(errors.select(F.lit(min_support).alias("min_support"), "*"))
-    return reduce(DataFrame.unionByName, parts)
+    ``measure`` that ranked them, in one plan: supports are rows of the ranking, and draws
+    belong to the rule, whatever supports and ranks it has. With ``tolerance`` the errors are
+    compared with their closed forms."""
+    scored = score_rules(split, measure).select("set_id", "itemset", "freq", "score")
+    levels = F.array(*[F.struct(F.lit(s).cast("double").alias("min_support"), F.lit(split.count_at(s)).alias("least")) for s in min_supports])
+    place = F.row_number().over(Window.partitionBy("min_support").orderBy(*score_order()))
+    ranked = scored.select("*", F.inline(levels)).where("freq >= least").withColumn("rank", place).where(F.col("rank") <= ranks)
+    chosen = materialize(ranked.select("min_support", "rank", "set_id"), "chosen")
+    # a rule that wins at several supports is drawn once
+    wanted = chosen.select("set_id").distinct().withColumn("slot", F.row_number().over(Window.orderBy("set_id")).cast("bigint") - 1)
+    histograms = materialize(full_histogram(split, wanted, "slot", ranks * len(min_supports)).drop("slot"), "best")
+    if tolerance is None:
+        errors = bootstrap_error(histograms, replicates, seed, "set_id")
+    else:
+        errors = checked_error(histograms, replicates, tolerance, seed=seed, key="set_id")
+    return chosen.join(errors, "set_id").drop("set_id")
 
 
 def target_histogram(transactions: DataFrame) -> DataFrame:

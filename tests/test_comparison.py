@@ -6,6 +6,7 @@ import pytest
 
 from tallyrift import schemas
 from tallyrift.functions import stats
+from tallyrift.operators import bootstrap
 from tallyrift.operators.bootstrap import bootstrap_divergences, bootstrap_error
 from tallyrift.operators.matching import RuleSet, best_percent, match, match_rate, merge, roll_up
 from tallyrift.operators.ranking import top_rules
@@ -134,8 +135,8 @@ def test_normal_distribution_function(spark):
 
 def test_bootstrap(split):
     histograms = report.rule_histograms(split, top_rules(score_rules(split, "kl")), 1)
-    first = sorted(tuple(r) for r in bootstrap_divergences(histograms, 300, 1, per_block=40).collect())
-    assert first == sorted(tuple(r) for r in bootstrap_divergences(histograms, 300, 1, per_block=40).collect())
+    first = sorted(tuple(r) for r in bootstrap_divergences(histograms, 300, 1).collect())
+    assert first == sorted(tuple(r) for r in bootstrap_divergences(histograms.repartition(7, "target"), 300, 1).collect())
     assert [r[1] for r in first] == list(range(300))
     error = bootstrap_error(histograms, 4000, 2).first()
     cells = histograms.orderBy("target").collect()
@@ -150,6 +151,29 @@ def test_bootstrap(split):
     assert error.error_bar == pytest.approx(round(error.standard_error, 2))
 
 
+@pytest.mark.parametrize("values", [1, 3, 1000])
+def test_draws_go_down_the_tree_whole(spark, monkeypatch, values):
+    """Blocks of any size give one multinomial: replicate sizes are exact, and so are the
+    variance of one cell and the covariance of two."""
+    monkeypatch.setattr(bootstrap, "BLOCK_VALUES", values)
+    cells = [(1, t, n, 10) for t, n in enumerate([50, 30, 0, 15, 5, 100])]
+    # targets that make the mean difference tell one cell's share, or the sum of all shares
+    def shares(targets):
+        rows = [(1, x, n, m) for (_, _, n, m), x in zip(cells, targets)]
+        frame = spark.createDataFrame(rows, "rank int, target bigint, n_set bigint, n_counter bigint")
+        return np.array([r.difference for r in bootstrap_divergences(frame, 4000, 5).orderBy("replicate").collect()])
+
+    spread = shares([0, 1, 2, 3, 4, 5])
+    counts = np.array([c[2] for c in cells])
+    p, q = counts / counts.sum(), np.full(6, 1 / 6)
+    x = np.arange(6)
+    exact = (p @ x**2 - (p @ x) ** 2) / counts.sum() + (q @ x**2 - (q @ x) ** 2) / 60
+    assert spread.mean() == pytest.approx(p @ x - q @ x, abs=4 * np.sqrt(exact / 4000))
+    assert spread.std() == pytest.approx(np.sqrt(exact), rel=0.05)
+    shifted = shares([7_000_000 + i for i in range(6)])  # a lost or doubled count would show as millions
+    assert abs(shifted).max() < 10
+
+
 def test_sweep_in_one_plan_equals_the_settings_one_by_one(transactions):
     draw = random.Random(9)
     items = [f"{c}_diagnose" for c in ("40199", "4011", "25000", "25012")] + ["male", "urgent"]
