@@ -4,6 +4,7 @@ import random
 import literal
 import pytest
 
+from tallyrift.operators import measures
 from tallyrift.plans.discovery import discover_rules, score_rules, split_population
 
 MICRO = [(["a", "b"], 1), (["a", "b"], 2), (["a"], 2), (["b"], 3), (["a", "c"], 1), (["c"], 4)]
@@ -118,3 +119,23 @@ def test_fit_threshold_and_formula(transactions):
     assert set(significant) == {("a",)}
     with pytest.raises(ValueError):
         score_rules(split, "median")
+
+
+@pytest.mark.parametrize("values", [1, 2, 5, 1 << 16])
+def test_normal_fits_over_ranges_of_values(transactions, monkeypatch, values):
+    """Many values vanish on one side, at both ends and in runs longer than a range."""
+    monkeypatch.setattr(measures, "RANGE_VALUES", values)
+    draw = random.Random(values)
+    rows = [(["low"] * (x < 9) + ["high"] * (x > 30) + ["middle"] * (12 <= x <= 25) + [i for i in "ab" if draw.random() < 0.5], x) for x in range(40) for _ in range(draw.randint(1, 2))]
+    rows += [(["ends", "a"], 0), (["ends"], 39), (["ends", "b"], 39)]
+    split = split_population(transactions(rows), 0.03)
+    scored = by_itemset(score_rules(split, "normal", require_counter=False))
+    wanted = literal.itemsets(rows, 0.03)
+    assert set(scored) == set(wanted)
+    for itemset in wanted:
+        inside, outside = literal.split(rows, itemset)
+        row = scored[itemset]
+        for side, fit, variance in ((inside, row.fit_set, row.var_set), (outside, row.fit_counter, row.var_counter)):
+            if len(set(side)) > 1:
+                assert fit == pytest.approx(literal.normal_fit(side), abs=1e-9), (itemset, side)
+                assert variance == pytest.approx(literal.variance(side, 1))
