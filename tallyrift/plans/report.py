@@ -11,6 +11,7 @@ from tallyrift.functions import stats
 from tallyrift.operators.bootstrap import bootstrap_error, checked_error
 from tallyrift.operators.histogram import Split, full_histogram
 from tallyrift.operators.itemsets import repeat_rows
+from tallyrift.operators.quantiles import weighted_quantiles
 from tallyrift.operators.ranking import score_order
 from tallyrift.plans.discovery import score_rules
 from tallyrift.session import materialize
@@ -35,14 +36,12 @@ def sides(histograms: DataFrame) -> DataFrame:
 
 
 def side_moments(histograms: DataFrame) -> DataFrame:
-    """Size, mean, sample variance, median and interquartile range (type 7) of
-    each side. Quantiles are exact on value and count, without the raw values."""
+    """Size, mean and sample variance of each side."""
     long = sides(histograms)
     x = F.col("target").cast("double")
     means = long.groupBy("rank", "side").agg(
         F.sum("n").alias("support"),
         (F.sum(x * F.col("n")) / F.sum("n")).alias("mean"),
-        F.percentile("target", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("n")).alias("quartiles"),
     )
     squares = (
         long.join(means.select("rank", "side", "mean"), ["rank", "side"])
@@ -55,18 +54,16 @@ def side_moments(histograms: DataFrame) -> DataFrame:
         "support",
         "mean",
         (F.col("squares") / F.nullif(F.col("support") - 1, F.lit(0))).alias("variance"),
-        F.get("quartiles", F.lit(1)).alias("median"),
-        (F.get("quartiles", F.lit(2)) - F.get("quartiles", F.lit(0))).alias("iqr"),
     )
 
 
 def rule_summary(histograms: DataFrame) -> DataFrame:
-    """Mean, standard deviation, IQR and support of the set side per rank."""
-    return (
-        side_moments(histograms)
-        .filter(F.col("side") == "set")
-        .select("rank", "mean", F.sqrt("variance").alias("sd"), "median", "iqr", "support")
-    )
+    """Mean, standard deviation, median, interquartile range (type 7) and support of the set
+    side per rank. Quantiles are exact on value and count, without the raw values."""
+    quartiles = weighted_quantiles(histograms, ["rank"], "target", (0.25, 0.5, 0.75), "n_set")
+    q1, median, q3 = (F.get("quantiles", F.lit(i)) for i in range(3))
+    moments = side_moments(histograms).filter(F.col("side") == "set").join(quartiles, "rank")
+    return moments.select("rank", "mean", F.sqrt("variance").alias("sd"), median.alias("median"), (q3 - q1).alias("iqr"), "support")
 
 
 def shared_distribution(histograms: DataFrame) -> DataFrame:
