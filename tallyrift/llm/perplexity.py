@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyrift.llm.common import gives_back, text_slices
+from tallyrift.operators.quantiles import weighted_quantiles
 from tallyrift.session import materialize
 
 ORDER, PART_GRAMS = 5, 1 << 22
@@ -312,10 +313,12 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text: str = "text", l
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     scored = scored.withColumn("base_failed", failed)
     scored = scored.withColumn("_like", F.floor(F.log2(F.greatest("n_bytes", F.lit(1)))))
-    quartiles = F.percentile_approx("log_ppl", [0.25, 0.75], 10_000)
     passed = scored.where(~F.col("base_failed")).select(F.col("lang").alias("_lang"), F.col("_like").alias("_length"), "log_ppl")
-    alike = passed.groupBy("_lang", "_length").agg(quartiles.alias("_near"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= LIKE_ROWS)
-    whole = passed.groupBy(F.col("_lang").alias("_all")).agg(quartiles.alias("_every"))
+    many = passed.groupBy("_lang", "_length").count().where(F.col("count") >= LIKE_ROWS)
+    many = many.select(F.col("_lang").alias("_of"), F.col("_length").alias("_sized"))
+    alike = weighted_quantiles(passed, ["_lang", "_length"], "log_ppl", (0.25, 0.75)).withColumnRenamed("quantiles", "_near")
+    alike = alike.join(many, F.col("_lang").eqNullSafe(F.col("_of")) & (F.col("_length") == F.col("_sized")), "left_semi")
+    whole = weighted_quantiles(passed, ["_lang"], "log_ppl", (0.25, 0.75)).select(F.col("_lang").alias("_all"), F.col("quantiles").alias("_every"))
     joined = scored.join(whole, F.col("lang").eqNullSafe(F.col("_all")), "left")
     joined = joined.join(alike, F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("_like") == F.col("_length")), "left")
     low, high = (F.coalesce("_near", "_every")[k] for k in (0, 1))
