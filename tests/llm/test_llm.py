@@ -766,6 +766,32 @@ def jaccard_groups(docs, width=5, least=0.8):
     return root
 
 
+def test_near_copies_of_every_similarity_are_found(spark):
+    """Planted pairs by class of similarity: at 0.8 and above at least 95 of 100 lose one, and
+    pairs well below lose none."""
+    draw = random.Random(8)
+    names = [f"w{i}" for i in range(5000)]
+    texts, pairs = [], []
+    for at in range(300):
+        words = [draw.choice(names) for _ in range(draw.randint(60, 400))]
+        other = list(words)
+        share = draw.choice([0.005, 0.01, 0.015, 0.02, 0.03, 0.06])
+        for place in draw.sample(range(len(words)), max(1, int(share * len(words)))):
+            other[place] = draw.choice(names)
+        a, b = ({tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (words, other))
+        pairs.append(len(a & b) / len(a | b))
+        texts += [" ".join(words), " ".join(other)]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    kept = {r.doc_id for r in corpus_pipeline.near_copies(spark, spark.createDataFrame(rows, DOCS).repartition(3), "").collect()}
+    found = defaultdict(list)
+    for at, similarity in enumerate(pairs):
+        assert 2 * at in kept
+        found["0.9" if similarity >= 0.9 else "0.85" if similarity >= 0.85 else "0.8" if similarity >= 0.8 else "below"].append(2 * at + 1 not in kept)
+    assert all(len(found[c]) > 20 for c in ("0.9", "0.85", "0.8", "below")), {c: len(v) for c, v in found.items()}
+    assert not any(found["below"])
+    assert all(np.mean(found[c]) >= 0.95 for c in ("0.9", "0.85", "0.8")), {c: np.mean(v) for c, v in found.items()}
+
+
 def test_pipeline_keeps_good_documents(spark):
     folder = "/root/testdata/sf0.001"
     docs = common.table(spark, folder, "documents")
