@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
@@ -14,7 +15,8 @@ from tallyrift.catalog.preparation_queries import MINED_ADMISSIONS, admission_tr
 from tallyrift.catalog.registry import num, query, text
 from tallyrift.functions.text import plain_item
 from tallyrift.operators.matching import RuleSet, best_percent, match, match_rate, merge, roll_up
-from tallyrift.plans.comparison import match_sweep, rules_at, sweep_rates, sweep_summary
+from tallyrift.operators.rollup import roll_up_all
+from tallyrift.plans.comparison import match_sweep, rules_at, score_all, sweep_rates, sweep_summary
 from tallyrift.plans.discovery import discover_rules, split_population
 from tallyrift.session import shared_folder
 from tallyrift.sources import exchange, tables
@@ -214,6 +216,46 @@ def rules_rolled_up(spark, folder):
     return rolled.rules.join(rolled.values, "itemset").select(text(), num("score"), "target", "n")
 
 
+ROLLED_SUPPORTS = (0.05, 0.1)
+ROLLED_DEPTHS = (0, 1)
+
+
+def _rolled_sql() -> str:
+    parts, selects = [MINED_ADMISSIONS, sql.histogram(), sql.KL], []
+    for depth in ROLLED_DEPTHS:
+        for i, support in enumerate(ROLLED_SUPPORTS):
+            out = f"o{depth}_{i}_"
+            parts.append(
+                f"""{out}plain AS (SELECT s, score, row_number() OVER (ORDER BY round(score, 12) DESC, s) AS rn,
+  list_sort(list_transform(s, lambda i: CASE
+    WHEN starts_with(i, 'diagnose=') THEN left(split_part(i, '=', 2), {3 + depth}) || '_diagnose'
+    WHEN starts_with(i, 'procedure=') THEN split_part(i, '=', 2) || '_procedure' ELSE split_part(i, '=', 2) END)) AS r
+  FROM scored WHERE freq >= (SELECT ceil(CAST({support} AS DOUBLE) * n) FROM n)),
+{out}first AS (SELECT r, arg_min(score, rn) AS score FROM {out}plain GROUP BY r),
+{out}added AS (SELECT r, target, CAST(sum(n_set) AS BIGINT) AS n FROM {out}plain p JOIN inside ON inside.s = p.s GROUP BY r, target)"""
+            )
+            selects.append(
+                f"""SELECT {depth} AS depth, CAST({support} AS DOUBLE) AS min_support, {sql.text('f.r')}, {sql.num('score', 'score')},
+  count(*) AS n_values, CAST(sum(n) AS BIGINT) AS n, CAST(sum(n * target) AS BIGINT) AS total
+FROM {out}first f JOIN {out}added a ON a.r = f.r GROUP BY f.r, score"""
+            )
+    return sql.query(*parts, select="\nUNION ALL ".join(selects))
+
+
+@query("rules_rolled_up_sweep", _rolled_sql())
+def rules_rolled_up_sweep(spark, folder):
+    """Shortened rules of every depth and support, from one hierarchy."""
+    split = split_population(admission_transactions(spark, folder), min(ROLLED_SUPPORTS))
+    plain = split.itemsets.withColumn("itemset", F.array_sort(F.transform("itemset", plain_item)))
+    rolled = roll_up_all(replace(split, itemsets=plain), score_all(split).drop("itemset").join(plain.drop("freq"), "set_id"),
+                         ROLLED_SUPPORTS, ROLLED_DEPTHS)
+    key = ["depth", "min_support", "node"]
+    sums = rolled.values.groupBy(*key).agg(
+        F.count(F.lit(1)).alias("n_values"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("target")).alias("total")
+    )
+    return rolled.rules.join(sums, key).select("depth", "min_support", text(), num("score"), "n_values", "n", "total")
+
+
 EXCHANGED = f"""SELECT {sql.text()}, {sql.num('score', 'score')}, target, n_set AS n
 FROM scored JOIN inside ON inside.s = scored.s"""
 EXCHANGED = EXCHANGED.replace(sql.text(), sql.text("scored.s"))

@@ -36,6 +36,18 @@ def number_rows(df: DataFrame, order: Sequence[Column], name: str, rows: int | N
     )
 
 
+def number_within(df: DataFrame, setting: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
+    """Add the 0-based position of every row inside its ``setting`` and the setting's
+    ``size``. All settings are numbered together in one order, and the rows of the settings
+    before are taken off, so neither jobs nor plan grow with the settings, and a large setting
+    is numbered by ranges like any table. ``df`` is read twice, so pass a stored table."""
+    sizes = df.groupBy(*setting).agg(F.count(F.lit(1)).alias("size"))
+    before = Window.orderBy(*setting).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("size").over(before), F.lit(0)))
+    numbered = number_rows(df, [*[F.col(c) for c in setting], *order], name)
+    return numbered.join(sizes, list(setting)).withColumn(name, F.col(name) - F.col("_before")).drop("_before")
+
+
 def score_order(score: str = "score", tie_break: str = "itemset") -> list[Column]:
     """Best score first. Sums arrive in no fixed order on a cluster, so scores
     equal to 12 decimals count as ties and the itemset decides."""

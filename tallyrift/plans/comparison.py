@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyrift.operators.histogram import Split
-from tallyrift.operators.matching import RuleSet, best_percent, match, merge, roll_up, rule_set, symmetric_divergence
-from tallyrift.operators.ranking import number_rows, score_order
+from tallyrift.operators.matching import RuleSet, rule_set, symmetric_divergence
+from tallyrift.operators.ranking import number_within, score_order
+from tallyrift.operators.rollup import roll_up_all
 from tallyrift.plans.discovery import score_rules
 from tallyrift.session import materialize, plain_unions
 
@@ -33,17 +34,10 @@ def rules_at(split: Split, min_support: float, scored: DataFrame | None = None)
 def _ranked(split: Split, min_supports: Sequence[float]) -> DataFrame:
     """All rules of every support with their position and how many there are:
     ``min_support, itemset, set_id, score, position, size``."""
-    scored, parts = score_all(split), []
-    for min_support in min_supports:
-        kept = scored.filter(F.col("freq") >= split.count_at(min_support))
-        size = kept.count()
-        numbered = number_rows(kept, score_order(), "position", size)
-        parts.append(
-            numbered.select(
-                F.lit(float(min_support)).alias("min_support"), "itemset", "set_id", "score", "position", F.lit(size).alias("size")
-            )
-        )
-    return materialize(reduce(DataFrame.unionByName, parts), "ranked")
+    supports = sorted({float(s) for s in min_supports})
+    reached = [F.when(F.col("freq") >= split.count_at(s), F.lit(s)) for s in supports]
+    rules = score_all(split).withColumn("min_support", F.explode(F.array_compact(F.array(*reached)))).drop("freq")
+    return materialize(number_within(materialize(rules, "reached"), ["min_support"], score_order(), "position"), "ranked")
 
 
 def _best(ranked: DataFrame, percents: Sequence[float]) -> DataFrame:
@@ -52,18 +46,41 @@ def _best(ranked: DataFrame, percents: Sequence[float]) -> DataFrame:
     return each.filter(F.col("position") < F.floor(F.col("size") * (F.col("percent") / 100.0)))
 
 
+def _sides(
+    left: DataFrame, rights: Sequence[DataFrame], setting: Sequence[str], ident: str, percents: Sequence[float]
+) -> tuple[DataFrame, DataFrame]:
+    """The best shares of the ranked rules of both sides in every setting; the right sides
+    merged, later ones winning."""
+    plain_unions(left.sparkSession)
+    key = [*setting, "percent", "itemset"]
+    several = [_best(r, percents).withColumn("origin", F.lit(i)) for i, r in enumerate(rights)]
+    last = F.max_by(F.struct("origin", ident, "score"), "origin").alias("last")
+    right = reduce(DataFrame.unionByName, several).groupBy(*key).agg(last)
+    right = right.select(*key, "last.origin", F.col(f"last.{ident}").alias("right_id"), F.col("last.score").alias("right_score"))
+    return _best(left, percents).select(*key, F.col(ident).alias("left_id"), F.col("score").alias("left_score")), right
+
+
+def _divergences(pairs: DataFrame, left: DataFrame, rights: Sequence[DataFrame], given: Sequence[str], ident: str) -> DataFrame:
+    """The divergence of every pair ``given.., left_id, origin, right_id`` from the counts
+    ``given.., ident, target, n`` of either side."""
+    zero = F.lit(0).cast("bigint")
+    mine = left.select(*given, F.col(ident).alias("left_id"), "target", F.col("n").alias("l"), zero.alias("r"))
+    theirs = [
+        r.select(*given, F.lit(i).alias("origin"), F.col(ident).alias("right_id"), "target", zero.alias("l"), F.col("n").alias("r"))
+        for i, r in enumerate(rights)
+    ]
+    counts = pairs.join(mine, [*given, "left_id"]).unionByName(
+        pairs.join(reduce(DataFrame.unionByName, theirs), [*given, "origin", "right_id"])
+    )
+    aligned = counts.groupBy(*pairs.columns, "target").agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
+    return symmetric_divergence(aligned, pairs.columns)
+
+
 def _sweep_rules(
     left: Split, rights: Sequence[Split], min_supports: Sequence[float], percents: Sequence[float]
 ) -> tuple[DataFrame, DataFrame]:
-    """The rules of both sides in every setting; the right sides merged, later ones winning."""
-    plain_unions(left.itemsets.sparkSession)
-    setting = ["min_support", "percent", "itemset"]
-    several = [_best(_ranked(r, min_supports), percents).withColumn("origin", F.lit(i)) for i, r in enumerate(rights)]
-    last = F.max_by(F.struct("origin", "set_id", "score"), "origin").alias("last")
-    right = reduce(DataFrame.unionByName, several).groupBy(*setting).agg(last)
-    right = right.select(*setting, "last.origin", F.col("last.set_id").alias("right_id"), F.col("last.score").alias("right_score"))
-    first = _best(_ranked(left, min_supports), percents)
-    return first.select(*setting, F.col("set_id").alias("left_id"), F.col("score").alias("left_score")), right
+    """The rules of both sides in every setting."""
+    return _sides(_ranked(left, min_supports), [_ranked(r, min_supports) for r in rights], ["min_support"], "set_id", percents)
 
 
 def match_sweep(
@@ -79,28 +96,33 @@ def match_sweep(
 
     All settings are matched in one plan: supports only add rows to the ranked rules,
     percents cut them, and the divergence of two rules, which no setting changes, is
-    computed once per pair. Shortened codes add up different rules at different supports,
-    so ``depth`` builds a rule set per support."""
+    computed once per pair. Shortened codes: see ``rolled_sweep``."""
     if depth is not None:
-        return _shortened_sweep(left, rights, min_supports, percents, depth)
+        return rolled_sweep(left, rights, min_supports, percents, [depth]).drop("depth")
     first, second = _sweep_rules(left, rights, min_supports, percents)
     both = materialize(first.join(second, ["min_support", "percent", "itemset"]), "matched")
     pair = ["left_id", "origin", "right_id"]
-    pairs = both.select(*pair).distinct()
-    zero = F.lit(0).cast("bigint")
-    mine = left.cells.select(F.col("set_id").alias("left_id"), "target", F.col("n_set").alias("l"), zero.alias("r"))
-    theirs = reduce(
-        DataFrame.unionByName,
-        [
-            r.cells.select(F.lit(i).alias("origin"), F.col("set_id").alias("right_id"), "target", zero.alias("l"), F.col("n_set").alias("r"))
-            for i, r in enumerate(rights)
-        ],
-    )
-    counts = pairs.join(mine, "left_id").unionByName(pairs.join(theirs, ["origin", "right_id"]))
-    divergence = symmetric_divergence(counts.groupBy(*pair, "target").agg(F.sum("l").alias("l"), F.sum("r").alias("r")), pair)
+    mine, *theirs = (s.cells.select("set_id", "target", F.col("n_set").alias("n")) for s in (left, *rights))
+    divergence = _divergences(both.select(*pair).distinct(), mine, theirs, [], "set_id")
     return both.join(divergence, pair).select("min_support", "percent", "itemset", "left_score", "right_score", "divergence")
 
 
+def rolled_sweep(
+    left: Split, rights: Sequence[Split], min_supports: Sequence[float], percents: Sequence[float], depths: Sequence[int]
+) -> DataFrame:
+    """Matched rules for every (depth, min_support, percent), codes shortened to each depth.
+    One plan for all settings, see ``operators/rollup.py``; shortened rules add up other rules at
+    every support, so a divergence is computed once per pair, depth and support."""
+    given = ["depth", "min_support"]
+    rolled = [roll_up_all(split, score_all(split), min_supports, depths) for split in (left, *rights)]
+    ranked = [materialize(number_within(r.rules, given, score_order(), "position"), "ranked") for r in rolled]
+    first, second = _sides(ranked[0], ranked[1:], given, "node", percents)
+    both = materialize(first.join(second, [*given, "percent", "itemset"]), "matched")
+    pair = [*given, "left_id", "origin", "right_id"]
+    divergence = _divergences(both.select(*pair).distinct(), rolled[0].values, [r.values for r in rolled[1:]], given, "node")
+    return both.join(divergence, pair).select(*given, "percent", "itemset", "left_score", "right_score", "divergence")
+
+
 def sweep_rates(
     left: Split, rights: Sequence[Split], min_supports: Sequence[float], percents: Sequence[float]
 ) -> DataFrame:
@@ -117,29 +139,10 @@ def sweep_rates(
     )
 
 
-def _shortened_sweep(
-    left: Split, rights: Sequence[Split], min_supports: Sequence[float], percents: Sequence[float], depth: int
-) -> DataFrame:
-    runs = []
-    scores = [score_all(split) for split in (left, *rights)]
-    for min_support in min_supports:
-        left_rules, *right_rules = (
-            roll_up(rules_at(split, min_support, scored), depth) for split, scored in zip((left, *rights), scores)
-        )
-        for percent in percents:
-            right = reduce(merge, [best_percent(rules, percent) for rules in right_rules])
-            matched = match(best_percent(left_rules, percent), right)
-            runs.append(
-                matched.select(
-                    F.lit(min_support).alias("min_support"), F.lit(percent).alias("percent"), "*"
-                )
-            )
-    return reduce(DataFrame.unionByName, runs)
-
-
 def sweep_summary(matched: DataFrame) -> DataFrame:
     """Mean and population deviation of the divergences per setting."""
-    return matched.groupBy("min_support", "percent").agg(
+    setting = [c for c in ("depth", "min_support", "percent") if c in matched.columns]
+    return matched.groupBy(*setting).agg(
         F.count(F.lit(1)).alias("n_matched"),
         F.avg("divergence").alias("mean"),
         F.stddev_pop("divergence").alias("sd"),

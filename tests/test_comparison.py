@@ -11,7 +11,8 @@ from tallyrift.operators.bootstrap import bootstrap_divergences, bootstrap_error
 from tallyrift.operators.matching import RuleSet, best_percent, match, match_rate, merge, roll_up
 from tallyrift.operators.ranking import top_rules
 from tallyrift.plans import report
-from tallyrift.plans.comparison import match_sweep, rules_at, sweep_rates, sweep_summary
+from tallyrift.operators.rollup import roll_up_all
+from tallyrift.plans.comparison import match_sweep, rolled_sweep, rules_at, score_all, sweep_rates, sweep_summary
 from tallyrift.plans.discovery import score_rules, split_population
 from tallyrift.sources import exchange, tables
 from pyspark.sql import functions as F
@@ -197,7 +198,37 @@ def test_sweep_in_one_plan_equals_the_settings_one_by_one(transactions):
     assert got == sorted(wanted)
     rates = {(r.min_support, r.percent): (r.n_left, r.n_right, r.n_matched) for r in sweep_rates(left, rights, supports, percents).collect()}
     assert rates == sizes
-    short = shown(match_sweep(left, rights[:1], (0.1,), (100,), depth=0))
-    direct = match(roll_up(rules_at(left, 0.1), 0), roll_up(rules_at(rights[0], 0.1), 0))
-    assert short == shown(direct.withColumns({"min_support": F.lit(0.1), "percent": F.lit(100)}))
-    assert all("40199_diagnose" not in s for _, _, s, *_ in short) and any("401_diagnose" in s for _, _, s, *_ in short)
+
+
+def test_shortened_sweep_equals_the_settings_one_by_one(transactions):
+    """All depths and supports at once give what a rule set per setting gives, values included."""
+    draw = random.Random(11)
+    items = [f"{c}_diagnose" for c in ("40199", "40191", "4011", "4010", "25000", "25012")] + ["4019_procedure", "male"]
+
+    def mined(count):
+        rows = [([i for i in items if draw.random() < 0.4], draw.randint(0, 5)) for _ in range(count)]
+        return split_population(transactions(rows), 0.1)
+
+    sides = mined(150), mined(120), mined(130)
+    supports, percents, depths = (0.2, 0.1), (40, 100), (1, 0)
+    scores = [score_all(split) for split in sides]
+    direct = {
+        (d, s): [roll_up(rules_at(split, s, scored), d) for split, scored in zip(sides, scores)] for d in depths for s in supports
+    }
+    at_once = roll_up_all(sides[0], scores[0], supports, depths)
+    for (d, s), (rolled, *_) in direct.items():
+        here = f"depth = {d} AND min_support = {s}D"
+        mine = at_once.rules.filter(here)
+        values = at_once.values.filter(here).join(mine.select("node", "itemset"), "node").select("itemset", "target", "n")
+        assert content(RuleSet(mine, values)) == content(rolled)
+    shown = lambda rows: sorted((r.depth, r.min_support, r.percent, tuple(r.itemset), round(r.left_score, 9), round(r.right_score, 9), round(r.divergence, 9)) for r in rows.collect())
+    got, wanted = shown(rolled_sweep(sides[0], sides[1:], supports, percents, depths)), []
+    for (d, s), sets in direct.items():
+        for percent in percents:
+            left, *rights = (best_percent(rules, percent) for rules in sets)
+            matched = match(left, merge(*rights))
+            wanted += shown(matched.withColumns({"depth": F.lit(d), "min_support": F.lit(s), "percent": F.lit(percent)}))
+    assert got == sorted(wanted)
+    assert any(g[0] == 1 and "4019_diagnose" in g[3] for g in got) and any(g[0] == 0 and "401_diagnose" in g[3] for g in got)
+    one = match_sweep(sides[0], sides[1:], supports, percents, depth=0).withColumn("depth", F.lit(0))
+    assert shown(one) == [g for g in got if g[0] == 0]
