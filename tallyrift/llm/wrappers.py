@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyrift.llm.common import text_slices
 from tallyrift.session import materialize
 
 SALTS, BROADCAST_BYTES = 64, 16 << 20
@@ -199,8 +200,9 @@ def _label(node: list) -> str:
     return node[KIND] if node[KIND] != "()" else "(" + " ".join(_kinds(node)) + ")"
 
 
-def _align(left: list[list], right: list[list]) -> list[list]:
-    """Children of both, in order; equal kinds meet along a longest common subsequence."""
+def _align(left: list[list], right: list[list]) -> list[tuple[list, list | None]]:
+    """Children of both, in order, as pairs to merge; a child of one side stands alone. Equal
+    kinds meet along a longest common subsequence."""
     a, b = [_label(x) for x in left], [_label(x) for x in right]
     if a != b:
         left, right = (
@@ -208,7 +210,7 @@ def _align(left: list[list], right: list[list]) -> list[list]:
         )
         a, b = [_label(x) for x in left], [_label(x) for x in right]
     if a == b:
-        return [merge(x, y) for x, y in zip(left, right)]
+        return list(zip(left, right))
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a) - 1, -1, -1):
         for j in range(len(b) - 1, -1, -1):
@@ -216,28 +218,64 @@ def _align(left: list[list], right: list[list]) -> list[list]:
     out, i, j = [], 0, 0
     while i < len(a) and j < len(b):
         if a[i] == b[j]:
-            out.append(merge(left[i], right[j]))
+            out.append((left[i], right[j]))
             i, j = i + 1, j + 1
         elif best[i + 1][j] >= best[i][j + 1]:
-            out.append(left[i])
+            out.append((left[i], None))
             i += 1
         else:
-            out.append(right[j])
+            out.append((right[j], None))
             j += 1
-    return out + left[i:] + right[j:]
+    return out + [(x, None) for x in left[i:] + right[j:]]
 
 
-def merge(left: list, right: list, pages: int | None = None) -> list:
-    """One wrapper for what both wrappers match; optional blocks have fewer pages than the
-    block they stand in."""
+def _joined(left: list, right: list, pages: int | None = None) -> list:
     constant = left[CONSTANT] if left[CONSTANT] == right[CONSTANT] or not right[CONSTANT] else right[CONSTANT] if not left[CONSTANT] else -1
     return [
         left[KIND], left[PAGES] + right[PAGES] if pages is None else pages, left[REPEATED] | right[REPEATED], left[CHARS] + right[CHARS],
-        constant, left[MAIN] | right[MAIN], left[OUT] | right[OUT],
-        _align(left[CHILDREN], right[CHILDREN]) if left[CHILDREN] and right[CHILDREN] else left[CHILDREN] or right[CHILDREN],
+        constant, left[MAIN] | right[MAIN], left[OUT] | right[OUT], left[CHILDREN] or right[CHILDREN],
     ]
 
 
+def merge(left: list, right: list, pages: int | None = None) -> list:
+    """One wrapper for what both wrappers match; optional blocks have fewer pages than the
+    block they stand in. Pairs wait in a list, so nesting may be of any depth."""
+    whole = _joined(left, right, pages)
+    waiting = [(whole, left, right)]
+    while waiting:
+        node, left, right = waiting.pop()
+        if not left[CHILDREN] or not right[CHILDREN]:
+            continue
+        node[CHILDREN] = []
+        for a, b in _align(left[CHILDREN], right[CHILDREN]):
+            child = a if b is None else _joined(a, b)
+            node[CHILDREN].append(child)
+            if b is not None:
+                waiting.append((child, a, b))
+    return whole
+
+
+def dump(wrapper: list) -> str:
+    """A wrapper as flat JSON: its nodes in order, each with its number of children."""
+    flat, waiting = [], [wrapper]
+    while waiting:
+        node = waiting.pop()
+        flat.append([*node[:CHILDREN], len(node[CHILDREN])])
+        waiting.extend(reversed(node[CHILDREN]))
+    return json.dumps(flat)
+
+
+def load(text: str) -> list:
+    nodes = json.loads(text)
+    done: list[list] = []  # wrappers of what follows, the nearest last
+    for node in reversed(nodes):
+        count = node[CHILDREN]
+        node[CHILDREN] = done[len(done) - count :][::-1]
+        del done[len(done) - count :]
+        done.append(node)
+    return done[0]
+
+
 def page_wrapper(blocks: list[Block]) -> list:
     nodes = []
     for b in blocks:
@@ -254,49 +292,69 @@ def page_wrapper(blocks: list[Block]) -> list:
 
 def article_paths(wrapper: list) -> list[str]:
     """Paths of the article: marked blocks with the most text, else the deepest block that
-    holds most of the text that differs from page to page."""
+    holds most of the text that differs from page to page. Of nested paths the outer one."""
     pages = wrapper[PAGES]
+    nodes, above, depth, waiting = [], [], [], [(wrapper, -1)]  # a node before its children, those from the last to the first
+    while waiting:
+        node, parent = waiting.pop()
+        if node[OUT]:
+            continue
+        nodes.append(node)
+        above.append(parent)
+        depth.append((depth[parent] if parent >= 0 else 0) + (node[KIND] not in ("", "()")))
+        waiting.extend((c, len(nodes) - 1) for c in node[CHILDREN])
+    total = [n[CHARS] if n[CONSTANT] == -1 or pages < 2 or n[REPEATED] else 0 for n in nodes]
+    found = []
+    for at in range(len(nodes) - 1, -1, -1):  # children first, in their order
+        if above[at] >= 0:
+            total[above[at]] += total[at]
+        if nodes[at][KIND] != "()":
+            found.append(at)
+    if not found:
+        return [""]
 
-    def own(node: list) -> int:
-        varies = node[CONSTANT] == -1 or pages < 2 or node[REPEATED]
-        return node[CHARS] if varies else 0
+    def path(at: int) -> str:
+        kinds = []
+        while at >= 0:
+            if nodes[at][KIND] not in ("", "()"):
+                kinds.append("/" + nodes[at][KIND])
+            at = above[at]
+        return "".join(reversed(kinds))
 
-    def walk(node: list, path: str, found: list) -> int:
-        if node[OUT]:
-            return 0
-        here = path if node[KIND] == "()" else f"{path}/{node[KIND]}" if node[KIND] else path
-        total = own(node) + sum(walk(c, here, found) for c in node[CHILDREN])
-        if node[KIND] != "()":
-            found.append((here, total, node[MAIN]))
-        return total
-
-    found: list[tuple[str, int, int]] = []
-    whole = walk(wrapper, "", found)
-    marked = [x for x in found if x[2]]
+    marked = [at for at in found if nodes[at][MAIN]]
     if marked:
-        most = max(x[1] for x in marked)
-        deep = [x for x in marked if x[1] >= 0.6 * most] if most else marked
-        longest = max(deep, key=lambda x: (x[0].count("/"), x[1]))
-        kind = longest[0].rpartition("/")[2]
-        return sorted({x[0] for x in marked if x[0].rpartition("/")[2] == kind})
-    if not whole:
+        most = max(total[at] for at in marked)
+        deep = [at for at in marked if total[at] >= 0.6 * most] if most else marked
+        kind = nodes[max(deep, key=lambda at: (depth[at], total[at]))][KIND]
+        chosen = {at for at in marked if nodes[at][KIND] == kind}
+        under = [False] * len(nodes)
+        for at in range(1, len(nodes)):
+            under[at] = under[above[at]] or above[at] in chosen
+        return sorted({path(at) for at in chosen if not under[at]})
+    if not total[0]:
         return [""]
-    holding = [x for x in found if x[1] >= 0.6 * whole]
+    holding = [at for at in found if total[at] >= 0.6 * total[0]]
     # a lone paragraph is not a region: its block is
-    regions = [x for x in holding if x[0].rpartition("/")[2].split(".")[0] not in ("p", "li", "h1", "h2", "h3", "td", "tr")] or holding
-    return [max(regions, key=lambda x: x[0].count("/"))[0]]
+    regions = [at for at in holding if nodes[at][KIND].split(".")[0] not in ("p", "li", "h1", "h2", "h3", "td", "tr")] or holding
+    return [path(max(regions, key=lambda at: depth[at]))]
 
 
 def main_text(blocks: list[Block], paths: list[str] | None) -> str | None:
     """All text under one of ``paths`` outside left-out blocks; None if the page has none of
-    these paths."""
-    wanted, known = set(paths or ()), False
-    inside, out, names = [False] * len(blocks), [False] * len(blocks), [""] * len(blocks)
+    these paths. Blocks follow the paths step by step, so no path is spelled out per block."""
+    steps: dict = {}
+    for path in paths or ():
+        here = steps
+        for kind in path.split("/")[1:]:
+            here = here.setdefault(kind, {})
+        here[""] = True  # an article begins here; no block has this kind
+    known, place = False, [steps if i == 0 else None for i in range(len(blocks))]
+    inside, out = [False] * len(blocks), [False] * len(blocks)
     for i, b in enumerate(blocks):
-        if i:
-            names[i] = f"{names[b.parent]}/{b.kind}"
+        if i and place[b.parent] is not None:
+            place[i] = place[b.parent].get(b.kind)
         out[i] = b.left_out or (i > 0 and out[b.parent])
-        here = names[i] in wanted and not out[i]
+        here = place[i] is not None and "" in place[i] and not out[i]
         known |= here
         inside[i] = here or (i > 0 and inside[b.parent])
     if not known:
@@ -314,35 +372,39 @@ def host_of(url: str | None) -> str:
 def _batch_wrappers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         merged: dict[str, list] = {}
-        for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            host, wrapper = host_of(url), page_wrapper(parse(page or ""))
-            merged[host] = merge(merged[host], wrapper) if host in merged else wrapper
-        yield _rows(merged)
+        for start, stop, texts in text_slices(batch.column(1)):
+            for url, page in zip(batch.column(0).slice(start, stop - start).to_pylist(), texts):
+                host, wrapper = host_of(url), page_wrapper(parse(page.decode()))
+                merged[host] = merge(merged[host], wrapper) if host in merged else wrapper
+        yield _rows({host: dump(wrapper) for host, wrapper in merged.items()})
 
 
-def _rows(merged: dict[str, list]) -> pa.RecordBatch:
+def _rows(merged: dict[str, str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(merged.keys(), pa.string()), pa.array([json.dumps(w) for w in merged.values()], pa.string())], ["host", "wrapper"]
+        [pa.array(merged.keys(), pa.string()), pa.array(merged.values(), pa.string())], ["host", "wrapper"]
     )
 
 
 def _merge_sorted(finish: bool):
+    def last(wrapper: list) -> str:
+        return json.dumps(article_paths(wrapper)) if finish else dump(wrapper)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         host, wrapper = None, None
         for batch in batches:
-            done: dict[str, list] = {}
+            done: dict[str, str] = {}
             for name, text in zip(batch.column("host").to_pylist(), batch.column("wrapper").to_pylist()):
-                other = json.loads(text)
+                other = load(text)
                 if name == host:
                     wrapper = merge(wrapper, other)
                 else:
                     if wrapper is not None:
-                        done[host] = article_paths(wrapper) if finish else wrapper
+                        done[host] = last(wrapper)
                     host, wrapper = name, other
             if done:
                 yield _rows(done)
         if wrapper is not None:
-            yield _rows({host: article_paths(wrapper) if finish else wrapper})
+            yield _rows({host: last(wrapper)})
 
     return run
 
@@ -357,23 +419,20 @@ def host_paths(pages: DataFrame, url: str = "url", page: str = "html") -> DataFr
     return materialize(second.mapInArrow(_merge_sorted(True), "host string, wrapper string"), "wrappers")
 
 
-def _texts_of(pages: list[str | None], paths: list[list[str] | None]) -> list[str]:
-    out = []
-    for page, known in zip(pages, paths):
-        blocks = parse(page or "")
-        text = main_text(blocks, known) if known else None
-        if text is None:  # the host's wrapper has no place for this page
-            text = main_text(blocks, article_paths(page_wrapper(blocks)))
-        out.append(text or "")
-    return out
+def _text_of(page: str, paths: list[str] | None) -> str:
+    blocks = parse(page)
+    text = main_text(blocks, paths) if paths else None
+    if text is None:  # the host's wrapper has no place for this page
+        text = main_text(blocks, article_paths(page_wrapper(blocks)))
+    return text or ""
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """``page_id, url, text, n_chars`` of every row: all article text, one block a line.
 
     A null or empty page has an empty text; a null url belongs to the host without name; a
-    page that its host's wrapper does not fit is read by its own; repeated rows give
-    repeated rows. No pages give no rows. The wrappers are sent to all tasks while they fit
+    page that its host's wrapper does not fit is read by its own; tags may be nested to any
+    depth; repeated rows give repeated rows. No pages give no rows. The wrappers are sent to all tasks while they fit
     BROADCAST_BYTES, which is measured; beyond that pages meet them in a join."""
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url).alias("url"), F.col(page).alias("html"))
     known = host_paths(rows)
@@ -382,7 +441,9 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url: str = "url
     schema = f"page_id {kind}, url string, text string, n_chars bigint"
 
     def out(batch: pa.RecordBatch, paths: list[list[str] | None], html_at: int) -> pa.RecordBatch:
-        found = _texts_of(batch.column(html_at).to_pylist(), paths)
+        found = []
+        for start, stop, texts in text_slices(batch.column(html_at)):
+            found += [_text_of(page.decode(), known) for page, known in zip(texts, paths[start:stop])]
         return pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(found), pa.array([len(t) for t in found], pa.int64())], ["page_id", "url", "text", "n_chars"]
         )

@@ -227,7 +227,21 @@ def test_wrapper_has_groups_optionals_and_slots():
     assert [wrappers._label(c) for c in merged] == ["(h2 p)", "div", "ul"]
     assert merged[0][wrappers.REPEATED] and merged[2][wrappers.PAGES] == 1
     assert merged[1][wrappers.CONSTANT] > 0 and merged[0][wrappers.CHILDREN][1][wrappers.CONSTANT] == -1
-    assert json.loads(json.dumps(merged)) == merged
+    assert all(wrappers.load(wrappers.dump(child)) == child for child in merged)
+
+
+def test_tags_may_be_nested_to_any_depth(spark):
+    """Wrappers of deep pages merge, travel and name the article like those of flat pages."""
+    deep = 5000
+
+    def page(i):
+        return "<div>" * deep + "<section>" * deep + f"<p>story {i} of {i * 7}</p>" + "</section>" * deep + "</div>" * deep
+
+    marked = "<main>" + "<div>" * deep + "<p>marked</p><aside>gone</aside>" + "</div>" * deep + "</main><p>outside</p>"
+    rows = [(i, "http://deep.example/", page(i)) for i in range(3)] + [(9, "http://m.example/", marked)]
+    frame = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r.page_id: r.text for r in wrappers.extract_main_text(frame).collect()}
+    assert got == {**{i: f"story {i} of {i * 7}" for i in range(3)}, 9: "marked"}
 
 
 def test_open_quotes_and_comments_end():
