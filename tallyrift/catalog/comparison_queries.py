@@ -19,7 +19,7 @@ from tallyrift.operators.rollup import roll_up_all
 from tallyrift.plans.comparison import match_sweep, rules_at, score_all, sweep_rates, sweep_summary
 from tallyrift.plans.discovery import discover_rules, split_population
 from tallyrift.session import shared_folder
-from tallyrift.sources import exchange, tables
+from tallyrift.sources import exchange, rule_stream, tables
 
 URGENT = ("1-URGENT", "2-HIGH")
 CUT = "1996-01-01"
@@ -284,6 +284,14 @@ def rules_plain_text_roundtrip(spark, folder):
     return show_exchanged(exchange.read_rule_lines(spark, path))
 
 
+@query("rules_stream_roundtrip", sql.query(EVENTS, sql.histogram(), sql.KL, select=EXCHANGED))
+def rules_stream_roundtrip(spark, folder):
+    path = new_path(spark, "rule-stream")
+    rules = rules_at(split_population(b.event_transactions(spark, folder), 0.025), 0.025)
+    rule_stream.write_rule_stream(rules, path)
+    return show_exchanged(rule_stream.read_rule_stream(spark, path))
+
+
 @query("rule_store_roundtrip", sql.query(FLAT, sql.histogram(), sql.KL, select=EXCHANGED))
 def rule_store_roundtrip(spark, folder):
     path = new_path(spark, "rule-store")

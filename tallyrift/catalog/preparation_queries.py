@@ -220,6 +220,24 @@ def distinct_counts(spark, folder):
     return profile.distinct_counts(rows, ["patientunitstayid", "uniquepid"])
 
 
+SKETCHED = ("l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate", "l_returnflag")
+
+
+@query(
+    "distinct_sketches_agree",
+    "\nUNION ALL ".join(f"SELECT '{c}' AS column_name, count(DISTINCT {c}) AS n, true AS agrees FROM lineitem" for c in SKETCHED),
+)
+def distinct_sketches_agree(spark, folder):
+    """Sketches per line number, merged, against exact counts: within four standard errors."""
+    lines = b.table(spark, folder, "lineitem")
+    parts = materialize(profile.distinct_sketches(lines.withColumn("part", F.col("l_linenumber")), SKETCHED, ["part"]), "sketches")
+    estimates = profile.sketch_counts(profile.merge_sketches(parts, SKETCHED), SKETCHED)
+    exact = profile.distinct_counts(lines, SKETCHED)
+    exact = exact.select(*[F.col(f"n_{c}").alias(c) for c in SKETCHED]).unpivot([], list(SKETCHED), "column_name", "n")
+    near = F.abs(F.col("estimate") - F.col("n")) <= F.greatest(F.lit(1.0), F.col("n") * 4 * profile.sketch_error())
+    return exact.join(estimates, "column_name").select("column_name", "n", near.alias("agrees"))
+
+
 def unit_tx(kind: str) -> str:
     return f"""{UNIT},
 {CODES},

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+LG_K = 14  # a sketch has 2**LG_K registers of one byte
+
 
 def category_shares(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Share of every value of every column in whole percent (half to even).
@@ -27,6 +29,31 @@ def distinct_counts(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     return rows.agg(*[F.countDistinct(c).alias(f"n_{c}") for c in columns])
 
 
+def distinct_sketches(rows: DataFrame, columns: Sequence[str], by: Sequence[str] = (), lg_k: int = LG_K) -> DataFrame:
+    """One sketch of the distinct values of every column, per group of ``by``: a single pass
+    with one fixed-size state per column and task, however many columns and values there are.
+    Nulls are not counted, as in ``distinct_counts``; values are told apart by their text."""
+    values = [F.hll_sketch_agg(F.col(c).cast("string"), lg_k).alias(c) for c in columns]
+    return rows.groupBy(*by).agg(*values)
+
+
+def merge_sketches(sketches: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Stored sketches of parts (days, partitions, databases) as sketches of the whole; the
+    parts are not read again, and overlapping parts count their common values once."""
+    return sketches.groupBy(*by).agg(*[F.hll_union_agg(c).alias(c) for c in columns])
+
+
+def sketch_error(lg_k: int = LG_K) -> float:
+    """Relative standard error of an estimate from merged sketches."""
+    return 1.04 / (1 << lg_k) ** 0.5
+
+
+def sketch_counts(sketches: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """``by.., column_name, estimate``; no rows counted give 0."""
+    estimates = [F.coalesce(F.hll_sketch_estimate(c), F.lit(0).cast("bigint")).alias(c) for c in columns]
+    return sketches.select(*by, *estimates).unpivot(list(by), list(columns), "column_name", "estimate")
+
+
 def columns_without_nulls(rows: DataFrame) -> list[str]:
     """Names of the columns that hold no null, from one pass."""
     nulls = rows.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in rows.columns]).first()

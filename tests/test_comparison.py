@@ -1,3 +1,4 @@
+import io
 import random
 
 import literal
@@ -14,7 +15,7 @@ from tallyrift.plans import report
 from tallyrift.operators.rollup import roll_up_all
 from tallyrift.plans.comparison import match_sweep, rolled_sweep, rules_at, score_all, sweep_rates, sweep_summary
 from tallyrift.plans.discovery import score_rules, split_population
-from tallyrift.sources import exchange, tables
+from tallyrift.sources import exchange, rule_stream, tables
 from pyspark.sql import functions as F
 
 
@@ -232,3 +233,44 @@ def test_shortened_sweep_equals_the_settings_one_by_one(transactions):
     assert any(g[0] == 1 and "4019_diagnose" in g[3] for g in got) and any(g[0] == 0 and "401_diagnose" in g[3] for g in got)
     one = match_sweep(sides[0], sides[1:], supports, percents, depth=0).withColumn("depth", F.lit(0))
     assert shown(one) == [g for g in got if g[0] == 0]
+
+
+@pytest.mark.parametrize("piece", [1, 7, 1 << 20])
+def test_rule_stream_in_pieces_of_any_size(tmp_path, monkeypatch, piece):
+    """Ranges and pieces may end anywhere in a line; every line is read once and whole."""
+    monkeypatch.setattr(rule_stream, "PIECE_BYTES", piece)
+    lines = ["b,a;0.5;1*2,30,4*5", "", "ü%2C;1.5E-3,7,7", "empty;2.0;", "z;-1.0;-3*4\r", "last;0.25;8"]
+    want = {"b,a": (0.5, [(1, 2), (30, 1), (4, 5)]), "ü%2C": (1.5e-3, [(7, 1), (7, 1)]), "empty": (2.0, []), "z": (-1.0, [(-3, 4)]), "last": (0.25, [(8, 1)])}
+    data = "\n".join(lines).encode()
+    for step in (1, 5, 13, len(data)):
+        rows = []
+        for at in range(0, len(data), step):
+            for batch in rule_stream.read_range(io.BytesIO(data), rule_stream.Range("f", at, min(at + step, len(data)))):
+                rows += batch.to_pylist()
+        heads = {r["at"]: (r["items"], float(r["score"])) for r in rows if r["items"] is not None}
+        got = {name: (score, [(r["target"], r["n"]) for r in rows if r["at"] == at and r["items"] is None]) for at, (name, score) in heads.items()}
+        assert got == want and sum(r["items"] is not None for r in rows) == len(want)
+    with pytest.raises(ValueError, match="no rule line: nonsense"):
+        list(rule_stream.read_range(io.BytesIO(b"a;1;2\nnonsense\n"), rule_stream.Range("f", 0, 15)))
+
+
+def test_rule_stream_round_trip(spark, tmp_path):
+    rules = rule_set(spark, {("a,;", "b%\n"): (-0.25, [1, 1, 3]), ("c",): (3.0e-5, [2])})
+    many = spark.range(300_000).select(F.array(F.lit("wide")).alias("itemset"), F.col("id").alias("target"), F.lit(2).cast("bigint").alias("n"))
+    head = spark.createDataFrame([(["wide"], 1.0, 2)], schemas.RULES)
+    rules = RuleSet(rules.rules.unionByName(head), rules.values.unionByName(many))
+    for counted in (True, False):
+        path = f"file:{tmp_path}/stream-{counted}"
+        rule_stream.write_rule_stream(rules, path, counted)
+        got = rule_stream.read_rule_stream(spark, path)
+        sums = lambda r: sorted((tuple(x.itemset), x.c, x.n, x.t) for x in r.values.groupBy("itemset").agg(F.count("*").alias("c"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("target")).alias("t")).collect())
+        assert sums(got) == sums(rules)
+        assert [(tuple(r.itemset), r.score) for r in got.rules.orderBy("position").collect()] == [(("a,;", "b%\n"), -0.25), (("c",), 3.0e-5), (("wide",), 1.0)]
+        assert sums(exchange.read_rule_lines(spark, path)) == sums(rules)
+        with pytest.raises(FileExistsError):
+            rule_stream.write_rule_stream(rules, path)
+    small = rule_set(spark, {("c",): (0.5, [2])})
+    rule_stream.write_rule_stream(small, path, mode="overwrite")
+    assert content(rule_stream.read_rule_stream(spark, path)) == content(small)
+    rule_stream.write_rule_stream(rule_set(spark, {("d",): (0.75, [4, 4])}), path, mode="append")
+    assert len(content(rule_stream.read_rule_stream(spark, path))) == 2

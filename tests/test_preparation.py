@@ -125,3 +125,17 @@ def test_rule_and_code_text(spark):
     for depth, first in ((0, "401"), (1, "4019"), (9, "40199")):
         got = items.select(F.transform("i", lambda i: text.shorten_item(i, depth))).first()[0]
         assert got == [f"{first}_diagnose", "401_diagnose", "9904_procedure", "male"]
+
+
+def test_sketches_of_parts_count_like_a_sketch_of_the_whole(spark):
+    rows = spark.range(60_000).selectExpr("id % 20000 AS a", "if(id % 7 = 0, null, cast(id % 50 AS string)) AS b", "cast(null AS string) AS c", "id % 3 AS part")
+    names = ["a", "b", "c"]
+    whole = {r.column_name: r.estimate for r in profile.sketch_counts(profile.distinct_sketches(rows, names), names).collect()}
+    parts = profile.merge_sketches(profile.distinct_sketches(rows, names, ["part"]), names)
+    merged = {r.column_name: r.estimate for r in profile.sketch_counts(parts, names).collect()}
+    exact = profile.distinct_counts(rows, names).first()
+    for got in (whole, merged):
+        assert got["c"] == 0 and got["b"] == exact.n_b == 50
+        assert abs(got["a"] - exact.n_a) <= 4 * profile.sketch_error() * exact.n_a
+    nothing = profile.sketch_counts(profile.distinct_sketches(rows.limit(0), names), names)
+    assert {r.estimate for r in nothing.collect()} == {0}
