@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyrift.llm.common import fresh, share
+from tallyrift.llm.common import fresh
 from tallyrift.session import materialize
 
 PIECE = r"[^\x20\x09-\x0D]{1,4}"
@@ -76,18 +76,35 @@ def likeness(left: Column, right: Column) -> Column:
     return F.when(union == 0, F.lit(1.0)).otherwise(common / union)
 
 
+def id_bounds(ids: DataFrame) -> list[int]:
+    """Where ranges of about BUCKET_ROWS ids begin, in order; at most about MOST_BUCKETS of them,
+    which the driver holds as numbers. Ids alone are sorted by ranges and counted inside them."""
+    ranged = ids.where(F.col("_id").isNotNull()).repartitionByRange("_id").withColumn("_part", F.spark_partition_id())
+    ranged = materialize(ranged, "ids")
+    each = max(BUCKET_ROWS, -(-ranged.count() // MOST_BUCKETS))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy("_id"))
+    begins = ranged.withColumn("_place", place - 1).where(F.col("_place") % each == 0)
+    return sorted(r[0] for r in begins.select("_id").distinct().collect())  # a few numbers per MOST_BUCKETS
+
+
+def range_of(number: Column, bounds: list[int]) -> Column:
+    """The place of the last bound that is not above ``number``, by bisection; null is -1, below
+    all others. The bounds are one constant of the plan."""
+    known = F.split(F.lit(",".join(map(str, bounds)) or "0"), ",").cast("array<bigint>")
+    steps = F.array(*[F.lit(1 << k) for k in range(max(len(bounds) - 1, 1).bit_length() - 1, -1, -1)])
+    place = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(known, at + step) <= number, at + step).otherwise(at))
+    return F.when(number.isNull(), F.lit(-1)).otherwise(place).cast("bigint")
+
+
 def with_next(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     """``_at, _ghost`` for a window that meets every document's next one (descending id,
     nulls last, then text; after the last: the first).
 
-    Ids are cut into ranges of about BUCKET_ROWS documents, at most MOST_BUCKETS of them.
-    The first documents of a range are copied behind the range above it, so a window over
-    ranges sees every neighbour and texts are shuffled once."""
-    known = docs.agg(F.count(F.lit(1)), F.min(id_col), F.max(id_col)).first()
-    width = 1 if known[1] is None else max(1, -(-(known[2] - known[1] + 1) // share(known[0], BUCKET_ROWS, MOST_BUCKETS)))
-    width = min(width, (1 << 63) - 1)
-    lowest = -1 if known[1] is None else -(-known[1] // width) - 2
-    docs = docs.withColumn("_at", F.coalesce(F.floor(F.col(id_col).cast("decimal(20,0)") / F.lit(width)).cast("bigint"), F.lit(lowest)))
+    Ids are cut into ranges of equally many documents, however far apart the ids are (see
+    ``id_bounds``). The first documents of a range are copied behind the range above it, so a
+    window over ranges sees every neighbour and texts are shuffled once. Documents of one id share a
+    range."""
+    docs = docs.withColumn("_at", range_of(F.col(id_col).cast("bigint"), id_bounds(docs.select(F.col(id_col).cast("bigint").alias("_id")))))
     heads = docs.groupBy("_at").agg(F.max(id_col).alias("_head"))
     above = F.coalesce(F.lead("_at").over(Window.orderBy("_at")), F.lit(None))
     heads = heads.withColumn("_above", above)

@@ -1,5 +1,6 @@
 """The operators against brute force, round trips and held-out accuracy, and their edge cases."""
 
+import bisect
 import hashlib
 import itertools
 import json
@@ -301,7 +302,7 @@ def test_winnowing_against_the_definition(documents, nothing):
 
 def test_next_document_over_many_ranges(spark, monkeypatch):
     monkeypatch.setattr(winnow, "BUCKET_ROWS", 3)
-    ids = DRAW.sample(range(-500, 500), 40)
+    ids = DRAW.sample(range(-500, 500), 40) + [2**62, -(2**63), 2**63 - 1]
     frame = spark.createDataFrame([(i, f"{i} text " * 9) for i in ids], "doc_id bigint, text string")
     order = sorted(ids, reverse=True)
     got = {r.doc_id: r.edited_sha256 for r in winnow.edited_fingerprints(frame).collect()}
@@ -311,6 +312,20 @@ def test_next_document_over_many_ranges(spark, monkeypatch):
         assert got[i] == hashlib.sha256((text[: len(text) - third] + after[:third]).encode()).hexdigest()
 
 
+def test_id_ranges_hold_equally_many_whatever_the_ids(spark, monkeypatch):
+    monkeypatch.setattr(winnow, "BUCKET_ROWS", 50)
+    ids = [*range(5000), 2**61, -(2**62), None, *[77] * 300]
+    frame = spark.createDataFrame([(i, "x") for i in ids], "doc_id bigint, text string")
+    known = sorted(i for i in ids if i is not None)
+    bounds = winnow.id_bounds(frame.select(F.col("doc_id").alias("_id")))
+    assert bounds[0] == known[0] and len(bounds) <= len(known) / 50 + spark.sparkContext.defaultParallelism + 4
+    for some in (bounds, bounds[:1], bounds[:2], bounds[:7], []):
+        got = frame.select("doc_id", winnow.range_of(F.col("doc_id"), some).alias("at")).collect()
+        assert all(r.at == (-1 if r.doc_id is None else max(bisect.bisect_right(some, r.doc_id) - 1, 0)) for r in got)
+    sizes = winnow.with_next(frame, "doc_id", "text").where("_ghost = 0").groupBy("_at").count().collect()
+    assert max(r["count"] for r in sizes) <= 350 and sorted(r["count"] for r in sizes)[-2] <= 51
+
+
 # ---- Mixing
 
 
