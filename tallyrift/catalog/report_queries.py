@@ -214,8 +214,9 @@ def agreeing():
 
 @query("bootstrap_agrees", sql.query(*best(BASKETS, sql.MEAN), CLOSED_FORM, select=f"SELECT rank, {AGREES}"))
 def bootstrap_agrees(spark, folder):
-    """The closed forms of the standard errors, and that the bootstrap lies near them. The
-    divergence's is of first order: it knows no values that a draw loses altogether. The mean
+    """The closed forms of the standard errors, and that the bootstrap is right. The
+    divergence's closed form is of first order: it knows no values that a draw loses altogether,
+    so the bootstrap is held to the error that resampling cells of this size gives. The mean
     difference's is exact and holds the resampling to 5 %."""
     histograms = best_histograms(b.baskets(spark, folder), 0.05, "mean")
     return checked_error(histograms, 4000, 0.25).select("rank", *agreeing())

@@ -153,6 +153,24 @@ def test_bootstrap(split):
     assert error.error_bar == pytest.approx(round(error.standard_error, 2))
 
 
+def test_sparse_cells_agree(spark):
+    """Values that a draw may lose, where the closed form of first order is off by more than
+    the tolerance: few counts on the set side, on the counter side, and on both."""
+    sides = {
+        1: [(1, 3), (2, 2), (4, 1), (40, 900), (60, 1500), (30, 200), (1, 40), (1, 60), (2, 30), (1, 90)] * 4,
+        2: [(n % 3 + 1, 7 * n % 25 + 1) for n in range(120)],
+        3: [(1, 1), (700, 3000), (1, 2000), (90_000, 1)],
+    }
+    rows = [(rank, t, *counts) for rank, cells in sides.items() for t, counts in enumerate(cells)]
+    frame = spark.createDataFrame(rows, "rank int, target bigint, n_set bigint, n_counter bigint")
+    drawn = {r.rank: r.standard_error for r in bootstrap_error(frame, 4000).collect()}
+    known = {r.rank: r.resampled for r in bootstrap.resampled_error(frame.repartition(3)).collect()}
+    checked = {r.rank: r for r in bootstrap.checked_error(frame, 4000, 0.25).collect()}
+    assert known == pytest.approx(drawn, rel=0.05)
+    assert any(abs(drawn[rank] - r.closed_form) > 0.25 * r.closed_form for rank, r in checked.items())
+    assert all(r.agrees and r.mean_agrees for r in checked.values()) and len(checked) == 3
+
+
 @pytest.mark.parametrize("values", [1, 3, 1000])
 def test_draws_go_down_the_tree_whole(spark, monkeypatch, values):
     """Blocks of any size give one multinomial: replicate sizes are exact, and so are the
