@@ -171,6 +171,16 @@ def test_sparse_cells_agree(spark):
     assert all(r.agrees and r.mean_agrees for r in checked.values()) and len(checked) == 3
 
 
+def test_sweep_agrees_on_sparse_values(transactions):
+    """Both supports, on targets that hardly repeat inside a rule."""
+    rng = random.Random(5)
+    rows = [((["a"] if n % 10 == 0 else []) + (["b"] if n % 4 == 1 else []) + ["c"] * (n % 3 > 0), rng.randrange(300) + 20 * (n % 10 == 0)) for n in range(6000)]
+    split = split_population(transactions(rows), 0.05)
+    bars = report.error_bars(split, "mean", (0.05, 0.2), replicates=2000, tolerance=0.25).collect()
+    assert sorted((r.min_support, r.rank) for r in bars) == [(0.05, 1), (0.05, 2), (0.2, 1), (0.2, 2)]
+    assert all(r.agrees and r.mean_agrees for r in bars)
+
+
 @pytest.mark.parametrize("values", [1, 3, 1000])
 def test_draws_go_down_the_tree_whole(spark, monkeypatch, values):
     """Blocks of any size give one multinomial: replicate sizes are exact, and so are the
