@@ -28,6 +28,8 @@ LOCAL_SETS = 10_000
 LITERAL_ITEMS = 200
 TREE_SETS = 20_000  # itemsets of one of many prefix trees
 TREE_ROWS = 1 << 13  # transactions that meet such a tree at a time
+COPIES = 16  # how often FP-growth sees a merged transaction on average
+GROWTH_ROWS = 1_000_000  # transactions of one task of FP-growth
 IDS = {"ids": pa.list_(pa.int32())}
 
 
@@ -280,22 +282,43 @@ def _level_wise(encoded: Encoded) -> list[tuple[DataFrame, int]]:
     return found
 
 
-def repeat_rows(df: DataFrame, times: str, chunk: int = 10_000) -> DataFrame:
+def repeat_rows(df: DataFrame, times: str, chunk: int = 10_000, partitions: int | None = None) -> DataFrame:
     """Each row ``times`` times. Long runs are cut into chunks that are spread
-    over the cluster before they are written out."""
+    over the cluster, or over ``partitions``, before they are written out."""
     chunks = df.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.ceil(F.col(times) / chunk) - 1)))
     size = F.least(F.lit(chunk), F.col(times) - F.col("_chunk") * chunk).cast("int")
-    spread = chunks.withColumn("_size", size).repartition(*[c for c in df.columns if c != times], "_chunk")
+    dealt = [c for c in df.columns if c != times] + ["_chunk"]
+    spread = chunks.withColumn("_size", size).repartition(*([partitions] if partitions else []), *dealt)
     return spread.withColumn("_one", F.explode(F.array_repeat(F.lit(1), F.col("_size")))).drop(
         "_chunk", "_size", "_one", times
     )
 
 
 def _fp_growth(encoded: Encoded) -> list[tuple[DataFrame, int]]:
-    """MLlib's FP-growth on the unmerged transactions (it knows no weights)."""
-    rows = materialize(repeat_rows(encoded.rows.select("ids", "weight"), "weight"), "unmerged")
-    model = FPGrowth(itemsCol="ids", minSupport=encoded.min_support).fit(rows)
-    found = materialize(model.freqItemsets.select(F.array_sort("items").alias("ids"), "freq"), "mined")
+    """MLlib's FP-growth knows no weights, so merged transactions are repeated: once for every
+    ``unit`` of their weight, rounded up. What has enough support then has at least the support
+    in units, so nothing is lost; candidates that only rounding lifted (down to COPIES /
+    (COPIES + 1) of the support) go when all are counted with the weights themselves.
+    FP-growth's work so follows the different transactions, not how often they come. A unit of
+    1 repeats every transaction as it came, and its counts are exact."""
+    spark = encoded.rows.sparkSession
+    merged = materialize(encoded.rows.groupBy("ids").agg(F.sum("weight").alias("weight")), "merged")
+    different = merged.count()
+    unit = max(1, encoded.n // (COPIES * max(different, 1)))
+    tasks = max(spark.sparkContext.defaultParallelism, -(-(encoded.n // unit + different) // GROWTH_ROWS))
+    copies = F.ceil(F.col("weight") / unit).cast("bigint")
+    rows = materialize(repeat_rows(merged.select("ids", copies.alias("copies")), "copies", partitions=tasks), "repeated")
+    # half below the least count, since MLlib multiplies with the rows again and rounds up
+    least, count = max(1, -(-encoded.min_count // unit)), rows.count()
+    model = FPGrowth(itemsCol="ids", minSupport=(least - 0.5) / max(count, 1), numPartitions=tasks).fit(rows)
+    found = model.freqItemsets.select(F.array_sort("items").alias("ids"), "freq")
+    if unit == 1:
+        found = materialize(found, "mined")
+        return [(found, found.count())]
+    wanted = materialize(found.select("ids").withColumn("at", F.monotonically_increasing_id()), "candidates")
+    weighted = merged.withColumn("target", F.lit(0).cast("bigint"))
+    counted = held_by(weighted, wanted, wanted.count()).withColumnRenamed("n", "freq").join(wanted, "at")
+    found = materialize(counted.filter(F.col("freq") >= encoded.min_count).select("ids", "freq"), "mined")
     return [(found, found.count())]
 
 

@@ -1,4 +1,6 @@
 import random
+from collections import Counter
+from itertools import combinations
 
 import literal
 import pytest
@@ -64,6 +66,31 @@ def test_weights_count_rows(spark, transactions):
     assert mined(itemsets.frequent_itemsets(merged, 0.05, "fpgrowth")) == literal.itemsets(ROWS, 0.05)
 
 
+@pytest.mark.parametrize("short", [None, 0, 1])
+def test_fp_growth_follows_different_transactions(spark, monkeypatch, short):
+    """Transactions that come many thousand times are mined in a few copies, with exact counts,
+    also where an itemset has just enough support or is ``short`` of one transaction."""
+    draw, seen, held = random.Random(3), [], Counter()
+    rows = [(sorted(draw.sample("abcdefghij", draw.randrange(6))), 1, draw.choice([1, 7, 1_000, 50_007])) for _ in range(300)]
+    for items, _, weight in rows:
+        for size in range(1, len(items) + 1):
+            held.update(dict.fromkeys(combinations(items, size), weight))
+    n = sum(weight for *_, weight in rows)
+    support = 0.03 if short is None else (held["c", "f"] + short - 0.5) / n
+    frame = spark.createDataFrame(rows, "items array<string>, target bigint, weight bigint")
+
+    class Seen(itemsets.FPGrowth):
+        def fit(self, frame):
+            seen.append(frame.count())
+            return super().fit(frame)
+
+    monkeypatch.setattr(itemsets, "FPGrowth", Seen)
+    wanted = {s: freq for s, freq in held.items() if freq >= support * n}
+    assert (("c", "f") in wanted) == (short != 1)
+    assert mined(itemsets.frequent_itemsets(frame, support, "fpgrowth")) == wanted
+    assert seen[0] <= (itemsets.COPIES + 1) * len({tuple(items) for items, *_ in rows}) < n / 100
+
+
 def test_higher_support_is_part_of_the_split(transactions):
     split = split_population(transactions(ROWS), 0.05).at_least(120)
     direct = split_population(transactions(ROWS), 0.3)
