@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyrift.operators.itemsets import LITERAL_ITEMS, _item_lookup
 from tallyrift.operators.ranking import number_rows
 from tallyrift.session import materialize
 
@@ -43,6 +44,34 @@ def encode_column(rows: DataFrame, dictionary: DataFrame, code: str) -> DataFram
     return rows.join(dictionary, code, "inner").drop(code)
 
 
+def code_lookup(dictionary: DataFrame) -> Callable[[Column], Column] | None:
+    """Code -> id as a literal of the plan, null for unknown codes; None where ``dictionary``
+    (id, code) has too many codes for that, or codes that are no text."""
+    identifier, code = dictionary.columns
+    if dict(dictionary.dtypes)[code] != "string":
+        return None
+    rows = dictionary.select(identifier, code, F.xxhash64(code)).limit(LITERAL_ITEMS + 1).collect()
+    if len(rows) > LITERAL_ITEMS:
+        return None
+    if not rows:
+        return lambda value: F.lit(None).cast("int")
+    return _item_lookup([(name, hashed) for _, name, hashed in rows], {name: number for number, name, _ in rows})
+
+
+def encode_sets(rows: DataFrame, dictionary: DataFrame, sets: str, key: Sequence[str], name: str) -> DataFrame:
+    """Add the ids of the codes in the array ``sets`` as ``name``; rows without a known code, and
+    those with a null in ``key``, drop out. A small dictionary is looked up inside the row. With
+    a large one codes and dictionary meet, and rows are put together again by ``key``, on which
+    ``sets`` must depend alone."""
+    lookup, (identifier, code) = code_lookup(dictionary), dictionary.columns
+    if lookup is not None:
+        ids = F.array_compact(F.transform(F.array_compact(F.array_distinct(sets)), lookup))
+        return rows.dropna(subset=list(key)).withColumn(name, ids).filter(F.size(name) > 0)
+    long = rows.select(*key, F.explode(sets).alias(code))
+    found = encode_column(long, dictionary, code).groupBy(*key).agg(F.collect_set(identifier).alias(name))
+    return rows.join(found, list(key))
+
+
 def item_dictionary(dictionaries: Mapping[str, DataFrame], starts: Mapping[str, int] | None = None) -> DataFrame:
     """``item, item_text`` of all namespaces; every dictionary is (id, code).
     ``starts`` defaults to the starts that these dictionaries need."""

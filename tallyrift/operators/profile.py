@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 LG_K = 14  # a sketch has 2**LG_K registers of one byte
@@ -67,10 +67,12 @@ def drop_null_columns(rows: DataFrame) -> DataFrame:
 def earliest_records(rows: DataFrame, key: str, time: str) -> DataFrame:
     """All records at the earliest ``time`` of their ``key``, ties included.
 
-    The minimum is combined on the map side and matched on (key, time), so the
-    records of a busy key are spread by time instead of meeting in one window."""
-    first = rows.groupBy(key).agg(F.min(time).alias(time))
-    return rows.join(first, [key, time], "left_semi")
+    ``rows`` are read once. Spark turns a rank of at most 1 into a limit per key before and
+    after the shuffle, so a task sends only what may be earliest, however busy a key is, and the
+    window holds nothing but the ties. Rows that are already dealt by ``key`` stay where they are."""
+    first = F.rank().over(Window.partitionBy(key).orderBy(time))
+    known = rows.filter(F.col(key).isNotNull() & F.col(time).isNotNull())
+    return known.withColumn("_rank", first).filter(F.col("_rank") <= 1).drop("_rank").select(key, time, *[c for c in rows.columns if c not in (key, time)])
 
 
 def long_to_sets(rows: DataFrame, key: str, sets: Sequence[str], singles: Sequence[str]) -> DataFrame:

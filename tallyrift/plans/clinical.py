@@ -169,11 +169,9 @@ def encoded_stays(stays: DataFrame) -> tuple[DataFrame, dict[str, DataFrame]]:
         dictionaries[kind] = materialize(numbered, kind).select(f"{kind}_id", kind)
         encoded = dictionary.encode_column(encoded, dictionaries[kind], kind)
     for kind, column in (("procedure", "procedures"), ("diagnose", "diagnoses")):
-        long = stays.select(*row, F.explode(column).alias(kind))
-        numbered = dictionary.build_dictionary(long, kind, f"{kind}_id")
-        dictionaries[kind] = materialize(numbered, kind).select(f"{kind}_id", kind)
-        sets = dictionary.encode_column(long, dictionaries[kind], kind).groupBy(*row)
-        encoded = encoded.join(sets.agg(F.collect_set(f"{kind}_id").alias(f"{kind}_ids")), row)
+        codes = stays.select(F.explode(column).alias(kind))
+        dictionaries[kind] = materialize(dictionary.build_dictionary(codes, kind, f"{kind}_id"), kind).select(f"{kind}_id", kind)
+        encoded = dictionary.encode_sets(encoded, dictionaries[kind], column, row, f"{kind}_ids")
     return encoded, dictionaries
 
 

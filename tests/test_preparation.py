@@ -111,6 +111,43 @@ def test_dictionary_and_decoding(spark):
     assert {r.set_id: r.itemset for r in decoded} == {1: ["b_diagnose", "male"], 2: ["female"]}
 
 
+def plan(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_earliest_records_read_once(spark):
+    """A task sends only what may be earliest; ties stay, unknown keys and times do not."""
+    rows = [(1, 5, "a"), (1, 3, "b"), (1, 3, "c"), (1, None, "d"), (None, 1, "e"), (2, 9, "f"), (3, None, "g")]
+    rows += [(4, 10 + n, f"late{n}") for n in range(500)] + [(4, 10, "tie"), (4, 10, "tie")]
+    events = spark.createDataFrame(rows, "k int, t int, name string").repartition(7, "name")
+    first = profile.earliest_records(events.select("name", "k", "t"), "k", "t")
+    assert "Join" not in plan(first) and plan(first).count("WindowGroupLimit") == 2  # before and after the shuffle
+    assert first.columns == ["k", "t", "name"]
+    assert sorted(tuple(r) for r in first.collect()) == [
+        (1, 3, "b"), (1, 3, "c"), (2, 9, "f"), (4, 10, "late0"), (4, 10, "tie"), (4, 10, "tie"),
+    ]
+
+
+def test_sets_are_encoded_inside_their_rows(spark, monkeypatch):
+    codes = spark.createDataFrame([(f"c{n}",) for n in range(150)], "code string")
+    numbered = dictionary.build_dictionary(codes, "code", "code_id").select("code_id", "code")
+    rows = spark.createDataFrame(
+        [(1, 2, ["c7", "c0", None, "c7", "?"], "x"), (1, 3, ["c7"], "x"), (1, 3, ["c7"], "y"), (2, None, ["c1"], "x"),
+         (None, 1, ["c1"], "x"), (3, 1, [], "x"), (4, 1, None, "x"), (5, 1, ["?", None], "x"), (6, 1, [f"c{n}" for n in range(150)], "x")],
+        "a int, b int, codes array<string>, more string",
+    )
+    ids = {r.code: r.code_id for r in numbered.collect()}
+    wanted = [(1, 2, "x", [ids["c0"], ids["c7"]]), (1, 3, "x", [ids["c7"]]), (1, 3, "y", [ids["c7"]]), (6, 1, "x", sorted(ids.values()))]
+    for small in (True, False):
+        if not small:
+            monkeypatch.setattr(dictionary, "LITERAL_ITEMS", 149)
+        encoded = dictionary.encode_sets(rows, numbered, "codes", ["a", "b"], "ids")
+        assert sorted((r.a, r.b, r.more, sorted(r.ids)) for r in encoded.collect()) == [(a, b, m, sorted(i)) for a, b, m, i in wanted]
+        assert ("Exchange" in plan(encoded)) != small
+    none = dictionary.encode_sets(rows, numbered.limit(0), "codes", ["a", "b"], "ids")
+    assert none.count() == 0
+
+
 def test_rule_and_code_text(spark):
     rules = spark.createDataFrame([(["diagnose=40199", "gender=male", "x y"], 2.1)], "itemset array<string>, mean double")
     row = rules.select(
