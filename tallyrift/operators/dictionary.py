@@ -65,8 +65,9 @@ def encode_sets(rows: DataFrame, dictionary: DataFrame, sets: str, key: Sequence
     ``sets`` must depend alone."""
     lookup, (identifier, code) = code_lookup(dictionary), dictionary.columns
     if lookup is not None:
-        ids = F.array_compact(F.transform(F.array_compact(F.array_distinct(sets)), lookup))
-        return rows.dropna(subset=list(key)).withColumn(name, ids).filter(F.size(name) > 0)
+        # the filter stops at the first known code; one on the ids would find all of them twice
+        some = rows.dropna(subset=list(key)).filter(F.exists(sets, lambda code: lookup(code).isNotNull()))
+        return some.withColumn(name, F.array_compact(F.transform(F.array_distinct(sets), lookup)))
     long = rows.select(*key, F.explode(sets).alias(code))
     found = encode_column(long, dictionary, code).groupBy(*key).agg(F.collect_set(identifier).alias(name))
     return rows.join(found, list(key))
